@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import query_docs
+from .packing import pack_documents
 from .pieces import encode_documents
+from .repetition import quality_rules
 from .simhash import near_duplicates
 
 
@@ -15,12 +17,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(query_docs(spark, sf_dir))
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(query_docs(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(query_docs(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(query_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op10_simhash)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_repetition, op5_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
