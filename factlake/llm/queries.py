@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import query_docs
+from .language import identify
+from .media import media_columns
 from .packing import pack_documents
 from .pieces import encode_documents
+from .quality import score_quality
 from .repetition import quality_rules
 from .simhash import near_duplicates
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(query_docs(spark, sf_dir))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(query_docs(spark, sf_dir))
 
@@ -25,12 +32,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(query_docs(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(query_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(query_docs(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(query_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_repetition, op5_packing, op10_simhash)}
+    return {f.__name__: f for f in (op2_language, op3_sentencepiece, op4_repetition, op5_packing, op8_quality, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
