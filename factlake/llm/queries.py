@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .common import query_docs
 from .language import identify
 from .media import media_columns
 from .packing import pack_documents
 from .pieces import encode_documents
+from .pii import find_private
 from .quality import score_quality
 from .repetition import quality_rules
 from .simhash import near_duplicates
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(query_docs(spark, sf_dir))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(query_docs(spark, sf_dir))
 
@@ -32,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(query_docs(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(query_docs(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(query_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -45,8 +55,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_sentencepiece, op4_repetition, op5_packing, op8_quality, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_sentencepiece, op4_repetition, op5_packing, op7_licenses, op8_quality, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licenses": licenses.oracle()}
