@@ -107,15 +107,20 @@ def run_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = i[keys[i] == keys[i + d]]
 
 
-def salted_runs(keyed: DataFrame, by: str, name: str, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Deals rows of (key long, ...) out by key and sorts them. A key of one row is dropped: it has no
-    pair. A key of more than run_rows rows is cut by a hash of column `by` into m cuts, and each row goes
-    to the m groups that hold its cut and one other, so that every pair still meets and no task
-    gets an unbounded group. Adds column run, the group."""
-    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
-    cuts = F.ceil(F.col("n") / F.lit(run_rows)).cast("int")
-    own = F.pmod(F.xxhash64(by), F.col("cuts")).cast("int")
-    dealt = keyed.join(counts, "key").withColumn("cuts", cuts).drop("n").withColumn("own", own)
+def salted_runs(keyed: DataFrame, by: str, name: str, run_rows: int = RUN_ROWS, hot: DataFrame | None = None, buckets: int = 0) -> DataFrame:
+    """Deals rows of (key long, ...) out by key and sorts them. A key of more than run_rows rows is cut by a hash of column
+    `by` into m cuts, and each row goes to the m groups that hold its cut and one other, so that every pair still meets
+    and no task gets an unbounded group. Adds column run, the group.
+
+    By default keys are counted, and those of one row dropped: they have no pair. With `hot`, the (bucket, n)
+    of those buckets (lowest bits of key) that hold more than run_rows rows, a bucket's keys are cut alike."""
+    if hot is None:
+        counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+        dealt = keyed.join(counts, "key")
+    else:
+        dealt = keyed.withColumn("bucket", F.col("key").bitwiseAND(F.lit(buckets - 1))).join(hot, "bucket", "left").drop("bucket")
+    dealt = dealt.withColumn("cuts", F.coalesce(F.ceil(F.col("n") / F.lit(run_rows)), F.lit(1)).cast("int")).drop("n")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(by), F.col("cuts")).cast("int"))
     other = F.explode(F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.withColumn("other", other)
     run = F.when(F.col("cuts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))

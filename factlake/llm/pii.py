@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, flat, map_texts
+from .common import as_bytes, flat, map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone", "id")  # the patterns know the first four
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -403,3 +403,20 @@ def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def mask_documents(docs: DataFrame, table: list[tuple[list[str], list[str]]] | None = None, text_col: str = "text") -> DataFrame:
+    """docs with personal data in text_col masked (mask_text); null texts stay null and other columns stay."""
+    field = train(table or training_table())
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            lo = 0
+            for ids, texts in slices(pa.array(range(batch.num_rows)), batch.column(at)):
+                new = [x and mask_text(x, spans) for x, (_, spans) in zip(texts.to_pylist(), all_spans(field, texts))]
+                part = batch.slice(lo, len(ids))
+                lo += len(ids)
+                yield part.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

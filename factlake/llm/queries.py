@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import licenses
 from .common import query_docs
 from .language import identify
+from .lines import line_dedup
 from .media import media_columns
 from .packing import pack_documents
 from .pieces import encode_documents
@@ -38,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(query_docs(spark, sf_dir))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(query_docs(spark, sf_dir))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(query_docs(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_sentencepiece, op4_repetition, op5_packing, op7_licenses, op8_quality, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_sentencepiece, op4_repetition, op5_packing, op6_lines, op7_licenses, op8_quality, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
