@@ -415,6 +415,35 @@ def first_event_window_limit(spark, d):
     return limit_events(table(spark, d, "events").withColumn("at", _stamp("ts")), "user_id", "at", "event_id", 2, 3_600_000_000).select("user_id", "event_id", "allowed")
 
 
+# ---- a whole audit in small ------------------------------------------------------------------------------
+
+_HITS_SQL = """(SELECT doc_id, line_no, rule, severity, confidence, CASE severity WHEN 'CRITICAL' THEN 100.0::DOUBLE WHEN 'HIGH' THEN 75.0 ELSE 50.0 END * confidence AS score, rule || ':' || doc_id || ':' || line_no AS fingerprint FROM (SELECT doc_id, CAST(unnest(range(1, len(p) + 1)) AS BIGINT) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) JOIN (VALUES (1, 'license', 'CRITICAL', 0.9::DOUBLE), (2, 'number', 'HIGH', 0.8::DOUBLE), (3, 'loud', 'MEDIUM', 0.6::DOUBLE)) r(k, rule, severity, confidence) ON (k = 1 AND contains(line, 'License')) OR (k = 2 AND regexp_matches(line, '[0-9]{6,}')) OR (k = 3 AND (contains(line, '!!') OR contains(line, '***'))))"""
+_BEST_SQL = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, fingerprint) AS n FROM {_HITS_SQL}) WHERE n = 1)"""
+
+
+def _hits(spark, d):
+    rows = text.lines(table(spark, d, "documents"), "text", "doc_id")
+    line = F.col("line")
+    rules = ((line.contains("License"), "license", "CRITICAL", 0.9), (line.rlike("[0-9]{6,}"), "number", "HIGH", 0.8), (decide.any_of(line, "!!", "***"), "loud", "MEDIUM", 0.6))
+    hits = F.filter(F.array(*(F.when(t, F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"))) for t, n, s, c in rules)), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "line_no", F.explode(hits).alias("h")).select("doc_id", "line_no", "h.*")
+    rows = rows.withColumn("score", decide.severity_weight(F.col("severity")) * F.col("confidence")).withColumn("fingerprint", F.concat_ws(":", "rule", F.col("doc_id").cast("string"), F.col("line_no").cast("string")))
+    best = rows.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("rule", "severity", "confidence", "score", "fingerprint"), F.struct((-F.col("score")).alias("x"), "fingerprint")).alias("b"))
+    return best.select("doc_id", "line_no", "b.*")
+
+
+@query(f"""SELECT doc_id, line_no, rule, severity, score, fingerprint, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS rank FROM {_BEST_SQL}) WHERE rank <= 20""")
+def line_findings(spark, d):
+    return rank.top_n(_hits(spark, d), ["doc_id"], [F.col("score").desc(), "line_no"], 20).select("doc_id", "line_no", "rule", "severity", "score", "fingerprint", "rank")
+
+
+@query(f"""SELECT doc_id, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, CASE WHEN count(*) FILTER (WHERE severity = 'CRITICAL') > 0 THEN 'DO_NOT_SHIP' WHEN count(*) FILTER (WHERE severity = 'HIGH') > 0 THEN 'FIX_FIRST' ELSE 'REVIEW' END AS verdict FROM {_BEST_SQL} GROUP BY doc_id""")
+def line_verdicts(spark, d):
+    s = F.col("severity")
+    found = _hits(spark, d).groupBy("doc_id").agg(F.count_if(s == "CRITICAL").alias("critical"), F.count_if(s == "HIGH").alias("high"), F.count_if(s == "MEDIUM").alias("medium"))
+    return found.withColumn("verdict", decide.verdict(F.col("critical"), F.col("high"), F.col("medium")))
+
+
 # ---- without SQL -----------------------------------------------------------------------------------------
 
 
