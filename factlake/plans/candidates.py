@@ -209,3 +209,18 @@ def graded(candidates: DataFrame, confirmations: DataFrame, proofs: DataFrame, l
     grade = F.when(proven, "A").when((verdict == "confirmed") & (c("sure") >= least_sure) & some, "B").when((verdict == "confirmed") | some, "C").otherwise("D")
     rows = rows.withColumn("evidence", evidence).withColumn("grade", grade)
     return rows.withColumn("severity", decide.capped_severity(c("severity"), c("grade"))).withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def dispatch_names(p: Parsed) -> DataFrame:
+    """(repo_id, instruction, names): under which variants of a dispatch table a function is called, in order; a dispatcher that isn't
+    called from one itself has all of its variants."""
+    arm = r"(\w+(?:::\w+)*)\s*=>\s*\{?\s*(?:self\.|Self::)?(\w+)\s*\("
+    zipped = F.arrays_zip(F.regexp_extract_all("excerpt", F.lit(arm), F.lit(1)).alias("variant"), F.regexp_extract_all("excerpt", F.lit(arm), F.lit(2)).alias("callee"))
+    rows = p.instructions.select("repo_id", c("name").alias("dispatcher"), "ord", F.posexplode(zipped).alias("k", "x"))
+    rows = rows.select("repo_id", "dispatcher", "ord", "k", F.lower(F.element_at(F.split("x.variant", "::"), -1)).alias("variant"), "x.callee").where(~c("callee").isin("err", "msg", "return"))
+    known = p.instructions.select("repo_id", c("name").alias("callee")).distinct()
+    first = rows.join(known, ["repo_id", "callee"]).groupBy("repo_id", "callee", "variant").agg(F.min(F.struct("ord", "k")).alias("at"))
+    called = first.groupBy("repo_id", c("callee").alias("instruction")).agg(F.array_sort(F.collect_list(F.struct("at", "variant"))).alias("all"))
+    own = rows.groupBy("repo_id", c("dispatcher").alias("instruction")).agg(F.array_sort(F.collect_list(F.struct(F.struct("ord", "k").alias("at"), "variant"))).alias("all"))
+    both = called.unionByName(joins.without(own, called, ["repo_id", "instruction"]))
+    return both.select("repo_id", "instruction", F.transform("all", lambda x: x["variant"]).alias("names"))

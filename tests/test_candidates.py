@@ -106,3 +106,9 @@ def test_evaluate(spark):
     was = spark.createDataFrame([("r", 2, 2, 0, 0, 1.0)], "repo_id string, n_expected long, n_found long, n_false long, n_missed long, f1 double")
     now = spark.createDataFrame([("r", 2, 1, 0, 1, 0.66)], was.schema)
     assert {r.what for r in evaluate.compare(was, now).collect()} == {"r", "recall", "f1"}
+
+
+def test_dispatch(spark):
+    source = "entrypoint!(process_instruction);\nfn process_all(i: I) { match i { I::Swap => process_swap(a), I::Trade => { process_swap(b) } I::Odd => err(x), I::Far => other(y), } }\nfn process_swap(a: A) { }\n"
+    p = candidates.gather(None, syntax.parse(spark.createDataFrame([("d", "lib.rs", source)], "repo_id string, path string, content string")))
+    assert {(r.instruction, tuple(r.names)) for r in candidates.dispatch_names(p).collect()} == {("process_swap", ("swap", "trade")), ("process_all", ("swap", "trade", "far"))}
