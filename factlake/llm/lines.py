@@ -17,6 +17,8 @@ from .common import RUN_ROWS, as_bytes, components, map_texts, materialize, np_c
 EDITS, MIN_CHARS = 2, 20
 #: Bits of the filter that keeps lines without candidates out of the shuffle of texts; its size doesn't grow.
 FILTER_BITS = 1 << 26
+#: Text bytes whose lines are signed at once: their arrays of characters take 60 times as much.
+LINE_BYTES = 1 << 20
 #: Pairs verified together.
 VERIFY_PAIRS = 2048
 #: Lines that a task remembers so as not to send copies twice.
@@ -59,6 +61,12 @@ def substrings(n: int, edits: int) -> tuple[tuple[int, int, int, bool], ...]:
     return tuple(out)
 
 
+@lru_cache(1 << 14)
+def probes(n: int, edits: int) -> bytes:
+    """For each of the substrings a byte: whether it is a probe."""
+    return bytes(p for *_, p in substrings(n, edits))
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """64 bits of each line: parities of its characters (32) and of its pairs of neighbours (31), the lowest bit free."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -148,21 +156,22 @@ def _fresh(texts: pa.Array, seen: dict[int, None], min_chars: int) -> tuple[list
 
 def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all substrings of the lines: key, number of the line, and whether it is a probe."""
-    h = xxhash.xxh64_intdigest
-    keys, number, probe = [], [], []
-    for k, x in enumerate(lines):
-        own = substrings(len(x), edits)
-        keys += [h(x[a:b], seed) for a, b, seed, _ in own]
-        number.append(len(own))
-        probe += [p for *_, p in own]
-    return np.array(keys, np.uint64).view(np.int64), np.repeat(np.arange(len(lines)), number), np.array(probe, bool)
+    h = xxhash.xxh64_digest
+    keys: list[bytes] = []
+    for x in lines:
+        places = substrings(len(x), edits)
+        x = x.encode() if x.isascii() else x  # either way the hash is of UTF-8
+        keys += [h(x[a:b], seed) for a, b, seed, _ in places]
+    number = [len(substrings(len(x), edits)) for x in lines]
+    probe = b"".join([probes(len(x), edits) for x in lines])
+    return np.frombuffer(b"".join(keys), ">i8").astype(np.int64), np.repeat(np.arange(len(lines)), number), np.frombuffer(probe, bool)
 
 
 def _mapped(docs: DataFrame, run, schema: str, text_col: str) -> DataFrame:
     def over(batches: Iterable[pa.RecordBatch]):
         seen: dict[int, None] = {}
         for batch in batches:
-            for _, texts in slices(batch.column(0), batch.column(0)):
+            for _, texts in slices(batch.column(0), batch.column(0), LINE_BYTES):
                 yield from run(texts, seen)
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(over, schema)
