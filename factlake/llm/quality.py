@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, flat, map_texts
+from .common import as_bytes, flat, map_texts, slices
 
 #: Bounds of the training sample: trusted positives and unlabelled texts.
 POSITIVES, UNLABELLED = 2048, 4096
+#: Text bytes that keep_good looks at together.
+FILTER_BYTES = 1 << 20
 HIDDEN, STEPS, RATE, DECAY, SEED = 24, 500, 0.01, 1e-3, 7
 
 _CLASSES = {
@@ -133,16 +135,21 @@ def _sampled(docs: DataFrame, ids: DataFrame, bound: int) -> np.ndarray:
     return np.array([r.x for r in sorted(rows, key=lambda r: (r.doc_id, r.x))]).reshape(-1, len(NAMES))
 
 
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Net | None:
+    """The net learned from bounded samples: trusted positives are training rows with labels.quality 1, the unlabelled are
+    training documents, their labels unseen. None with fewer than 8 of either."""
+    own = F.crc32(F.col("doc_id").cast("string")) % folds != held_fold
+    good = labels.where(own & (F.col("quality") == 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
+    web = docs.where(own).select(F.col("doc_id").cast("long").alias("doc_id"))
+    return fit(_sampled(docs, good, positives), _sampled(docs, web, unlabelled))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
-    Trusted positives are training rows with labels.quality 1; the unlabelled are training documents, their labels
-    unseen. The samples are bounded; every text is scored. Null and empty texts score as empty ones do. Labels
-    of null ids or null quality count for nothing. With fewer than 8 positives every score is 0.5."""
-    learn = F.crc32(F.col("doc_id").cast("string")) % folds != held_fold
-    good = labels.where(learn & (F.col("quality") == 1)).select(F.col("doc_id").cast("long").alias("doc_id"))
-    web = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"))
-    net = fit(_sampled(docs, good, positives), _sampled(docs, web, unlabelled))
+    The samples are bounded; every text is scored. Null and empty texts score as empty ones do. Labels of null ids or null
+    quality count for nothing. With fewer than 8 positives every score is 0.5."""
+    net = learn(docs, labels, folds, held_fold, positives, unlabelled)
 
     def run(ids, texts):
         return {"doc_id": ids, "score": pa.array(net.score(features(texts)) if net else np.full(len(ids), 0.5), pa.float64())}
@@ -150,3 +157,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold:
     out = map_texts(docs, run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores 0.5 or more, all columns as they are. The decision is made in the row: no join."""
+    net = learn(docs, labels)
+
+    def run(batches):
+        for batch in batches:
+            at, lo = batch.schema.get_field_index(text_col), 0
+            for part, texts in slices(batch.column(at), batch.column(at), FILTER_BYTES):
+                rows = batch.slice(lo, len(part))
+                lo += len(part)
+                yield rows.filter(pa.array(net.score(features(texts)) >= 0.5)) if net else rows
+
+    return docs.mapInArrow(run, docs.schema)

@@ -283,6 +283,8 @@ def test_quality(spark, odd_docs, empty_docs):
     assert all(got[i].held_out for i in held) and len(got) == 602
     assert sum(got[i].predicted == kind[i] for i in held) >= 0.95 * len(held)
     assert got[700].score == got[701].score and all(r.predicted == (r.score >= 0.5) for r in got.values())
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted} and quality.keep_good(odd_docs, labels.limit(0)).count() == odd_docs.count()
     assert {r.score for r in quality.score_quality(odd_docs, labels.limit(0)).collect()} == {0.5} and quality.score_quality(empty_docs, labels).count() == 0
 
 
