@@ -14,8 +14,9 @@ from .common import as_bytes, flat, map_texts
 #: Base limits: words a text needs, and percent of its words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: The method's limits: words from which a repeated substring counts, percent of words that such
-#: substrings may cover, and words in the longest one.
-MIN_SUBSTRING, MAX_COVERED_PERCENT, MAX_LONGEST = 10, 50, 400
+#: substrings may cover, and words in the longest one. Repeats of 10 words may make up 10 % as in the rules of Gopher
+#: (Rae et al. 2021), and 50 is the length from which Lee et al. (2022) take out repeated substrings, a passage.
+MIN_SUBSTRING, MAX_COVERED_PERCENT, MAX_LONGEST = 10, 10, 50
 
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1

@@ -184,6 +184,28 @@ def test_repetition(odd_docs, empty_docs):
     assert repetition.quality_rules(empty_docs).count() == 0
 
 
+def test_repetition_kept():
+    """Texts that pass the base rules and fail the method by either limit, or just pass it, against brute force."""
+
+    def page(n, *passages):
+        """n words of which the passages, (words, times), are repeats; the others differ."""
+        parts = [" ".join(f"p{k}w{i}" for i in range(size)) for k, (size, times) in enumerate(passages) for _ in range(times)]
+        left = n - sum(a * b for a, b in passages)
+        fill = [f"f{i}" for i in range(left)]
+        return " ".join(x for k, part in enumerate(parts) for x in [*fill[k :: len(parts)], part]) if parts else " ".join(fill)
+
+    cases = [
+        (page(49), False), (page(50), True), (page(2000, (300, 2)), False), (page(1000, (50, 2)), True), (page(1020, (51, 2)), False), (page(999, (50, 2)), False), (page(400, (20, 2)), True), (page(399, (20, 2)), False),
+        (page(300, (10, 2), (12, 2)), False), (page(100, (9, 4)), True), (page(100, (26, 2)), False),
+    ]
+    got = repetition.rules(pa.array(range(len(cases))), pa.array([x for x, _ in cases]))
+    assert not any(got["base_failed"].tolist()[k] for k in range(1, len(cases) - 1))
+    for k, (x, kept) in enumerate(cases):
+        n, _, _, _, again, cover, longest = plain_rules(x)
+        base = n < 50 or again > 0.5 * n
+        assert (got["base_failed"].tolist()[k], got["kept"].tolist()[k]) == (base, not base and cover <= 0.1 * n and longest <= 50) == (base, kept), k
+
+
 # ---- packing
 
 
