@@ -287,6 +287,21 @@ def test_licenses(spark, odd_docs, empty_docs):
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange", "Join"))
 
 
+NOTICES = {
+    "All rights reserved.": "Proprietary", "all  rights reserved": "Proprietary", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+}
+
+
+def test_notice_lines(spark):
+    """Every notice finds its licence where it stands alone on a line, the shortest too; its words apart don't."""
+    lone = [*NOTICES.items(), *((t, name) for name, t in licenses.TEMPLATES)]
+    rows = [(k, f"some words of a page\n{t}\nmore of it") for k, (t, _) in enumerate(lone)] + [(900, "All rights\nare reserved for guests"), (901, "reserved"), (902, "All rights reserved.")]
+    got = {r.doc_id: (r.n_matches, r.license, r.dice) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k][0] >= 1 and got[k][1:] == (name, 1.0) for k, (_, name) in enumerate(lone))
+    assert got[900] == got[901] == (0, None, None) and got[902] == (1, "Proprietary", 1.0)
+
+
 # ---- quality
 
 
