@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 ]
 
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {2}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+
+#: Full texts of licences of which TEMPLATES has a part.
+FULL_TEXTS: list[tuple[str, str]] = [("BSD-3-Clause", _BSD.format("1. ", "2. ", "3. " + _NAMES)), ("BSD-2-Clause", _BSD.format("1. ", "2. ", ""))]
+
 
 def bigrams_of(text: str) -> list[str]:
     """Distinct word bigrams of a normalised text, in order: the rule that the DataFrame functions below follow too."""
@@ -103,6 +110,56 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     return found.select("doc_id", "n_matches", F.col("best.name").alias("license"), (-F.col("best.less")).alias("dice"), "licenses")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: what a lambda names more than once is computed each time otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs, as scan_licenses gives it, but over all runs of words of template size wherever they begin
+    and end: licences of several paragraphs inside a longer text, and notices within a line or wrapped over lines of prose.
+    n_matches counts templates with such a run. By default also full licence texts are templates.
+
+    A text goes on to a template only if it has enough of its bigrams for a match. Another of them beside a run never makes its
+    coefficient smaller, so the best run begins and ends where a stretch of the template's bigrams does, and
+    only those are scored: one stretch alone at any length, several together up to the template's upper size in words."""
+    rows = template_rows(templates or TEMPLATES + FULL_TEXTS, least)
+    for t, (_, text) in zip(rows, templates or TEMPLATES + FULL_TEXTS):
+        t["long"] = floor((2 - least) / least * (len(re.sub("[^a-z0-9]+", " ", text.lower()).split()) - 1) + 1e-9)
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,own:array<string>,n:int,lo:int,hi:int,long:int>>")
+    every = F.array(*map(F.lit, sorted({b for t in rows for b in t["own"]})))
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def best(pairs: Column, t: Column) -> Column:
+        def over(at: Column) -> Column:  # places of the template's bigrams, from 1 on
+            begins = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
+            ends = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
+            return _let(begins, lambda begins: _let(ends, lambda ends: spans(begins, ends)))
+
+        def spans(begins: Column, ends: Column) -> Column:
+            def from_(a: Column, k: Column) -> Column:
+                near = F.filter(F.slice(ends, k + 1, t["long"]), lambda e: (e - a + 1 >= t["lo"]) & ((e - a + 1 <= t["long"]) | (e == F.get(ends, k))))
+                return F.transform(near, lambda e: _let(F.slice(pairs, a, e - a + 1), lambda own: F.lit(2.0) * F.size(F.array_intersect(own, t["own"])) / (F.size(F.array_distinct(own)) + t["n"])))
+
+            return F.array_max(F.flatten(F.transform(begins, from_)))
+
+        at = F.filter(F.transform(pairs, lambda b, i: F.when(F.array_contains(t["own"], b), i + 1).otherwise(0)), lambda p: p > 0)
+        return F.struct(_let(at, over).alias("dice"), t["name"].alias("name"))
+
+    def scores(pairs: Column) -> Column:
+        def fit(some: Column) -> Column:
+            return F.filter(table, lambda t: (F.size(some) >= t["lo"]) & (F.size(F.array_intersect(some, t["own"])) >= t["lo"]))
+
+        return F.filter(F.transform(_let(F.array_intersect(pairs, every), fit), lambda t: best(pairs, t)), lambda s: s["dice"] >= least)
+
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words")).select("doc_id", _let(pairs, scores).alias("flat"))
+    first = F.element_at(F.array_sort(F.transform("flat", lambda s: F.struct((-s["dice"]).alias("less"), s["name"].alias("name")))), 1)
+    found = found.select("doc_id", F.size("flat").cast("long").alias("n_matches"), F.when(F.size("flat") > 0, first).alias("best"), F.array_join(F.array_sort(F.array_distinct(F.transform("flat", lambda s: s["name"]))), ",").alias("licenses"))
+    return found.select("doc_id", "n_matches", F.col("best.name").alias("license"), (-F.col("best.less")).alias("dice"), "licenses")
+
+
 def oracle(templates: list[tuple[str, str]] | None = None, least: float = SIMILARITY) -> str:
     """The same in plain SQL over all units and templates."""
     rows = template_rows(templates or TEMPLATES, least)

@@ -47,6 +47,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(query_docs(spark, sf_dir))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_passages(query_docs(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(query_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -60,7 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_sentencepiece, op4_repetition, op5_packing, op6_lines, op7_licenses, op8_quality, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_sentencepiece, op4_repetition, op5_packing, op6_lines, op7_licenses, op7_passages, op8_quality, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -302,6 +302,41 @@ def test_notice_lines(spark):
     assert got[900] == got[901] == (0, None, None) and got[902] == (1, "Proprietary", 1.0)
 
 
+def test_passages(spark, odd_docs, empty_docs):
+    """Licences inside longer texts, as people lay them out, and all runs of words by brute force on small texts."""
+    import textwrap
+
+    mit = next(t for _, t in licenses.TEMPLATES if t.startswith("Permission is hereby granted, free"))
+    cut = [mit.index("The above copyright"), mit.index("THE SOFTWARE IS")]
+    layout = "\n\n".join(textwrap.fill(x, 70) for x in (mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]))
+    bsd = licenses.FULL_TEXTS[0][1]
+    code = "\n".join(f"def f{k}(x): return x + {k} * y{k}" for k in range(60))
+    prose = " ".join(f"w{k}" for k in range(40))
+    whole = [(1, f"{layout}\n\n{code}", "MIT"), (2, f"{code}\n# {bsd}\n{code}", "BSD-3-Clause"), (3, f"{prose} Released under the MIT License. {prose}", "MIT"), (4, f"{prose}\nit is licensed under CC\nBY 4.0. {prose}", "CC-BY-4.0"), (5, f"{code}\n{licenses.FULL_TEXTS[1][1]}", "BSD-2-Clause"), (6, code + prose, None), (7, None, None)]
+    frame = spark.createDataFrame([x[:2] for x in whole], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan_passages(frame).collect()} == {i: name for i, _, name in whole}
+    assert {r.doc_id for r in licenses.scan_licenses(frame).where("license is not null").collect()} == set()
+
+    own = [("A", "licensed under cc by sa here"), ("B", "all rights reserved"), ("C", "to be or not to be or to go")]
+    rng = random.Random(3)
+    words = [*"licensed under cc by sa here all rights reserved to be or not to be or to go".split(), "x"]
+    texts = [" ".join(rng.choices(words, k=3) + w + rng.choices(words, k=3)) for _ in range(60) for w in [rng.choice(own)[1].split()] for _ in [w.insert(rng.randrange(len(w)), "x") if rng.random() < 0.7 else w.pop(rng.randrange(len(w)))]]
+
+    def plain(text):
+        w, hits = text.split(), []
+        for name, t in own:
+            goal, most = set(licenses.bigrams_of(t)), int(1.5 * (len(t.split()) - 1))
+            dice = [2.0 * len(b & goal) / (len(b) + len(goal)) for i in range(len(w)) for j in range(i + 2, min(len(w), i + most + 1) + 1) for b in [set(licenses.bigrams_of(" ".join(w[i:j])))]]
+            hits += [(-max(dice), name)] if max(dice) >= 0.8 else []
+        return (len(hits), min(hits)[1], -min(hits)[0], ",".join(sorted(x[1] for x in hits))) if hits else (0, None, None, "")
+
+    got = licenses.scan_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own)
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == {k: plain(x) for k, x in enumerate(texts)}
+    assert licenses.scan_passages(odd_docs).where("n_matches = 0").count() == odd_docs.count() and licenses.scan_passages(empty_docs).count() == 0
+    plan = licenses.scan_passages(frame)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange", "Join"))
+
+
 # ---- quality
 
 
