@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import RUN_ROWS, as_bytes, components, map_texts, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
 
-#: Edits within which two lines are one, and code points from which a line takes part (shorter ones stay as they are).
+#: Edits within which two lines are one, and code points from which a line takes part in that; shorter ones are one if equal.
 EDITS, MIN_CHARS = 2, 20
 #: Bits of the filter that keeps lines without candidates out of the shuffle of texts; its size doesn't grow.
 FILTER_BITS = 1 << 26
@@ -269,12 +269,13 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
     return again.mapInArrow(verify, "a binary, b binary")
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(doc_id, text_hash, lines): of each document that loses lines, their numbers.
 
     Lines that are equal once stripped, or joined by a chain of lines within `edits`, are one class; its first line by
-    doc_id, text hash and number stays (null ids come first)."""
-    occ = materialize(occurrences(docs, min_chars, id_col, text_col), "lines-all")
+    doc_id, text hash and number stays (null ids come first). With short, lines under min_chars take part too, but only
+    with lines that are equal; empty ones don't."""
+    occ = materialize(occurrences(docs, 1 if short else min_chars, id_col, text_col), "lines-all")
     distinct = materialize(occ.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n")), "lines-distinct")
     found = components(line_links(docs, distinct.count(), edits, min_chars, text_col), "lines")
     joined = distinct.join(found, distinct.line == found.node, "left").select("line", "first", "n", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("near"))
@@ -285,13 +286,13 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"))
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with the lines of text_col that repeat an earlier one, exactly or within `edits`, taken out, and a column
     __dropped with how many. Other columns stay.
 
-    Lines shorter than min_chars stay. Null and empty texts stay as they are; rows that repeat id and text
+    Lines shorter than min_chars stay, or with short, those that repeat an earlier one exactly go. Null and empty texts stay as they are; rows that repeat id and text
     are one document and lose the same lines. A line of a third of all documents costs one row for each."""
-    lost = materialize(dropped_lines(docs, edits, min_chars, id_col, text_col), "lines-lost")
+    lost = materialize(dropped_lines(docs, edits, min_chars, id_col, text_col, short), "lines-lost")
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"))
     hashed = with_text_hash(docs, text_col)
     out = hashed.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
@@ -313,9 +314,9 @@ def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, __text_hash long")
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left; null counts as empty)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
-    kept = drop_lines(own.withColumn("__n", n), edits, min_chars)
+    kept = drop_lines(own.withColumn("__n", n), edits, min_chars, short=short)
     return kept.select("doc_id", F.col("__n").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -158,6 +158,20 @@ def test_line_dedup(spark, run_rows, monkeypatch):
     assert set(frame.columns) < set(rows[0].asDict()) and lines.line_dedup(frame.limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    """Short lines go if an earlier one is equal, in op6 and in the pipeline; empty ones and near copies stay."""
+    import hashlib
+
+    import corpus_pipeline as p
+
+    docs = [(1, "Read more\n\nPrivacy Policy\nonly here"), (2, " Read more \n\nRead mere\nPrivacy Policy\nPrivacy Policy\nx"), (3, "x\nRead more\na line that is long enough"), (4, "Read more"), (5, None)]
+    want = {1: docs[0][1], 2: "\nRead mere\nx", 3: "a line that is long enough", 4: "", 5: ""}
+    frame = spark.createDataFrame([(*d, "en", "s", 1) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.line_dedup(frame).collect()}
+    assert got == {i: ((x or "").count("\n") + 1, n, hashlib.sha256(want[i].encode()).hexdigest()) for (i, x), n in zip(docs, (0, 3, 2, 1, 0))}
+    assert {r.doc_id: r.text or "" for r in p.dedup_lines(spark, frame, "").collect()} == {i: x for i, x in want.items() if i != 4}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
