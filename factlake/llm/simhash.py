@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, map_texts, materialize, np_components, run_pairs, salted_runs, as_bytes, whole_runs
@@ -88,6 +88,29 @@ def joined(lab: np.ndarray, at: list[np.ndarray], to: list[np.ndarray]) -> np.nd
     return np_components(len(lab), np.concatenate([more, *at]), np.concatenate([lab, *to]))
 
 
+def roots(fps: DataFrame, least: Column, bits: int = BITS) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints: an aggregate of each one's rows, and the name of its component."""
+    distinct = materialize(fps.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
+    found = components(links(distinct.select("fp"), distinct.count(), bits), "simhash")
+    return materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+
+
+def keep_first(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of near-duplicates: that of the smallest id, null ids last, then of the smallest hash of
+    the text; of rows that have both alike the smallest by their other columns."""
+    own = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    texts = materialize(fingerprints(own, "__hash", text_col).groupBy(F.col("doc_id").alias("h")).agg(F.min("fp").alias("fp")), "simhash-fps")
+    ids = own.groupBy(F.col("__hash").alias("h")).agg(F.min(F.col(id_col)).alias("id"))
+    rooted = roots(texts.join(ids, "h"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")), bits)
+    first = rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
+    first = materialize(first, "simhash-first")
+    # rows that are alike become one before the shuffle where they meet; the same join at every size, as ids follow documents
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = own.groupBy(F.col(id_col).alias("__own"), "__hash").agg(F.min(F.struct(*rest, text_col)).alias("__row"))
+    kept = rows.join(first.hint("merge"), rows["__own"].eqNullSafe(first["__id"]) & (rows["__hash"] == first["__h"]), "left_semi")
+    return kept.select(*[F.col("__own").alias(c) if c == id_col else F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id
     reachable over fingerprints that differ in at most `bits` bits, itself included).
@@ -95,10 +118,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", t
     Null and empty texts have fingerprint zero. Repeated rows stay repeated. Null ids are never a
     component's name unless it has no other. Equal texts are one node, so a group of copies costs one."""
     fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct.select("fp"), distinct.count(), bits), "simhash")
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-rooted")
+    rooted = roots(fps, F.min("doc_id"), bits)
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-named")
     out = fps.join(named, "fp")

@@ -172,6 +172,24 @@ def test_short_lines(spark):
     assert {r.doc_id: r.text or "" for r in p.dedup_lines(spark, frame, "").collect()} == {i: x for i, x in want.items() if i != 4}
 
 
+def test_one_row_of_each_group(spark):
+    """Near-dedup of the pipeline keeps one row of each group, with null ids, repeated ids and equal rows."""
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    docs = [(None, a), (None, a), (2, a), (2, a), (3, a.upper()), (None, b), (None, b), (None, b.upper()), (5, c), (5, c), (5, d), (6, c), (7, None), (None, ""), (8, "")]
+    rows = [(i, x, "en", "s" if k % 2 else "r", k) for k, (i, x) in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [tuple(r) for r in p.near_dedup(spark, frame, "").collect()]
+    assert all(r in rows for r in got) and len(got) == len(set(got))
+    own = groups(sorted({plain_print(x or "") for _, x in docs}), lambda x, y: (x ^ y).bit_count() <= 4)
+    want = {}
+    for i, x in docs:
+        want.setdefault(own[plain_print(x or "")], []).append((i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, *_ in got) == sorted(map(min, want.values())) and len({own[plain_print(r[1] or "")] for r in got}) == len(got)
+    assert len(got) == 5 and p.near_dedup(spark, frame.limit(0), "").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
