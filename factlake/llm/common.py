@@ -20,22 +20,35 @@ RUN_ROWS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. A temporary one is set only where the
-    session names none, as in tests."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it. Where it is unset a local session gets a
+    temporary one; on a cluster that would be another folder on each machine, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames that materialize has written and that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["materialized"])
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage is cut, and lost
-    executors cost nothing that was written. Unlike checkpoint() it computes df once, not twice."""
+    executors cost nothing that was written. Unlike checkpoint() it computes df once, not twice. discard deletes it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["materialized"] = path
+    return out
 
 
 def slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -148,23 +161,44 @@ def whole_runs(batches: Iterable[pa.RecordBatch], rows: int = 1 << 19) -> Iterat
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b) of sortable ids; root is the smallest
-    reachable node. Alternates large-star and small-star steps, each written to the shared folder; a
-    hub's edges are summed to a minimum before the shuffle and its join can be split. Self-loops and repeats are allowed."""
+    reachable node. Alternates large-star and small-star steps, each written to the shared folder and deleted when the next one
+    stands; a hub's edges are summed to a minimum before the shuffle and its join can be split. Self-loops and repeats are allowed."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), f"{name}-large")
+        discard(edges, low)
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a <> b").distinct(), f"{name}-small")
+        discard(large, low)
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         if ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0").isEmpty():
             break  # every node points at one root, and no root points on
     roots = edges.select("b").distinct()
-    return materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root"))), f"{name}-components")
+    out = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root"))), f"{name}-components")
+    discard(edges)
+    return out
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of `bits` bits over the column `hash` (long) of hashes, packed, the lowest bit first. Its size is fixed: with more hashes
+    more rows pass that needn't, and none is missed. It is built in parts of 4 KB by the executors."""
+    at = f"pmod(hash, {bits}) + 1"
+    parts = hashes.groupBy(F.expr(f"bitmap_bucket_number({at})").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({at}))").alias("part")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for x in parts:
+        out[4096 * (x.b - 1) : 4096 * x.b] = np.frombuffer(x.part, np.uint8)
+    return out
+
+
+def bits_of(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the bitmap."""
+    at = hashes % (8 * len(bitmap))
+    return (bitmap[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
 def query_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_ROWS, as_bytes, components, map_texts, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
+from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, map_texts, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
 
 #: Edits within which two lines are one, and code points from which a line takes part in that; shorter ones are one if equal.
 EDITS, MIN_CHARS = 2, 20
@@ -19,8 +19,10 @@ EDITS, MIN_CHARS = 2, 20
 FILTER_BITS = 1 << 26
 #: Text bytes whose lines are signed at once: their arrays of characters take 60 times as much.
 LINE_BYTES = 1 << 20
-#: Pairs verified together.
-VERIFY_PAIRS = 2048
+#: Pairs verified together, and characters of their grid; lines over LONG_CHARS are verified pair by pair.
+VERIFY_PAIRS, VERIFY_CELLS, LONG_CHARS = 2048, 1 << 21, 4096
+#: Characters that are signed at once.
+SIGN_CHARS = 1 << 18
 #: Lines that a task remembers so as not to send copies twice.
 REMEMBERED = 1 << 18
 
@@ -67,8 +69,7 @@ def probes(n: int, edits: int) -> bytes:
     return bytes(p for *_, p in substrings(n, edits))
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """64 bits of each line: parities of its characters (32) and of its pairs of neighbours (31), the lowest bit free."""
+def _parities(lines: list[str]) -> np.ndarray:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     begin = np.cumsum(size) - size
@@ -80,6 +81,24 @@ def signatures(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(chars << np.uint64(32) | pairs, begin) if len(lines) else np.zeros(0, np.uint64)
 
 
+def signatures(lines: list[str]) -> np.ndarray:
+    """64 bits of each line: parities of its characters (32) and of its pairs of neighbours (31), the lowest bit free. A very long
+    line is signed in parts that overlap by a character, whose own parity is taken out again."""
+    out, lo, n = np.zeros(len(lines), np.uint64), 0, 0
+    for k, line in enumerate([*lines, None]):
+        if line is None or n + len(line) > SIGN_CHARS:
+            out[lo:k] = _parities(lines[lo:k])
+            lo, n = k, 0
+        if line is not None and len(line) > SIGN_CHARS:
+            parts = [line[at : at + SIGN_CHARS + 1] for at in range(0, len(line), SIGN_CHARS)]
+            both = [*(_parities([x])[0] for x in parts), *(_parities([x[-1]])[0] for x in parts if len(x) > SIGN_CHARS)]
+            out[k] = np.bitwise_xor.reduce(np.array(both, np.uint64))
+            lo = k + 1
+        elif line is not None:
+            n += len(line)
+    return out
+
+
 def may_match(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     """An edit changes at most 2 parities of characters and 4 of pairs."""
     x = a ^ b
@@ -87,21 +106,43 @@ def may_match(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
 
 
 def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
-    """Whether each left line is within `edits` insertions, deletions or substitutions of the right one: columns of a band of
-    2 * edits + 1 diagonals as bits, all pairs at once."""
-    if not left:
-        return np.zeros(0, bool)
+    """Whether each left line is within `edits` insertions, deletions or substitutions of the right one.
+
+    Pairs are sorted by length and verified in grids of VERIFY_CELLS characters at most, so one long line doesn't widen the
+    others. A line over LONG_CHARS would need a step of Python for each character: its pairs are verified one by one by
+    furthest-reaching diagonals, which walk equal stretches at once."""
+    out = np.zeros(len(left), bool)
+    size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), np.int64, len(left))
+    order = np.argsort(size, kind="stable")
+    short = int(np.searchsorted(size[order], LONG_CHARS, "right"))
+    lo = 0
+    while lo < short:
+        hi = lo + 1
+        while hi < short and (hi + 1 - lo) * (size[order[hi]] + 4 * edits + 2) <= VERIFY_CELLS:
+            hi += 1
+        part = order[lo:hi]
+        out[part] = _banded([left[k] for k in part], [right[k] for k in part], edits)
+        lo = hi
+    for k in order[short:].tolist():
+        out[k] = _diagonals(left[k], right[k], edits)
+    return out
+
+
+def _banded(left: list[str], right: list[str], edits: int) -> np.ndarray:
+    """Columns of a band of 2 * edits + 1 diagonals as bits, all pairs at once. Places outside a line hold code points that no text has."""
     a, b = zip(*((x, y) if len(x) >= len(y) else (y, x) for x, y in zip(left, right)))
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     width = 2 * edits + 1
     top, mask = width - 1, (1 << width) - 1
     wide = int(n.max()) + 2 * width
 
-    def grid(lines, pad, fill):
-        x = np.frombuffer("".join((fill * pad + s).ljust(wide, fill) for s in lines).encode("utf-32-le"), np.uint32)
-        return np.ascontiguousarray(x.reshape(len(lines), wide).T)  # a row for each place
+    def grid(lines, size, pad, fill):
+        x = np.full((wide, len(lines)), fill, np.uint32)  # a row for each place
+        points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        x[np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size) + pad, np.repeat(np.arange(len(lines)), size)] = points
+        return x
 
-    s1, s2 = grid(a, edits, "\x00"), grid(b, 0, "\x01")
+    s1, s2 = grid(a, n, edits, 0x110000), grid(b, m, 0, 0x110001)
     vp = np.full(len(a), (mask << edits) & mask, np.int64)
     vn = np.zeros(len(a), np.int64)
     score = np.full(len(a), edits, np.int64)
@@ -121,6 +162,36 @@ def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return (score <= edits) & (n - m <= edits)
 
 
+def _diagonals(a: str, b: str, edits: int) -> bool:
+    """The same for one pair: how far each diagonal gets with 0, 1, ... edits."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    n, m = len(x), len(y)
+
+    def along(i: int, d: int) -> int:
+        step = 64
+        while (k := min(step, n - i, m - i - d)) > 0:
+            off = x[i : i + k] != y[i + d : i + d + k]
+            if off.any():
+                return i + int(off.argmax())
+            i, step = i + k, 4 * step
+        return i
+
+    far = {0: along(0, 0)}
+    for _ in range(edits):
+        if far.get(m - n) == n:
+            return True
+        new = {}
+        for d in range(min(far) - 1, max(far) + 2):
+            steps = [far[d] + 1] if d in far else []
+            steps += [far[d - 1]] if d - 1 in far else []
+            steps += [far[d + 1] + 1] if d + 1 in far else []
+            i = min(max(steps), n, m - d)
+            if i >= 0 and i + d >= 0:
+                new[d] = along(i, d)
+        far = new
+    return far.get(m - n) == n
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no, line) with the line as a 128-bit hash. A document is its id and text: rows that repeat
     both are one."""
@@ -139,16 +210,17 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     return map_texts(docs, run, "doc_id long, text_hash long, line_no int, line binary", id_col=id_col, text_col=text_col)
 
 
-def _fresh(texts: pa.Array, seen: dict[int, None], min_chars: int) -> tuple[list[str], list[int]]:
-    """Lines not yet sent by this task, and their short hashes."""
+def _fresh(texts: pa.Array, seen: set[bytes], min_chars: int) -> tuple[list[str], list[int]]:
+    """Lines not yet sent by this task, and their short hashes: the first half of line_hash. A pair whose short hashes are equal
+    though its lines differ isn't compared; that takes a collision of 64 bits between two lines that are near copies."""
     lines, short = [], []
     for raw in as_bytes(texts):
         for _, x in document_lines(raw.decode(), min_chars):
-            h = int.from_bytes(line_hash(x)[:8], "big", signed=True)
+            h = line_hash(x)
             if h not in seen:
-                seen[h] = None
+                seen.add(h)
                 lines.append(x)
-                short.append(h)
+                short.append(int.from_bytes(h[:8], "big", signed=True))
     if len(seen) > REMEMBERED:
         seen.clear()
     return lines, short
@@ -169,7 +241,7 @@ def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _mapped(docs: DataFrame, run, schema: str, text_col: str) -> DataFrame:
     def over(batches: Iterable[pa.RecordBatch]):
-        seen: dict[int, None] = {}
+        seen: set[bytes] = set()
         for batch in batches:
             for _, texts in slices(batch.column(0), batch.column(0), LINE_BYTES):
                 yield from run(texts, seen)
@@ -215,17 +287,11 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, short, sig.view(np.int64))], names=["key", "short", "sig"])
 
     marked = materialize(dealt.mapInArrow(mark, "key long, short long, sig long"), "lines-marked")
-    parts = marked.groupBy(F.expr(f"bitmap_bucket_number(pmod(short, {FILTER_BITS}) + 1)").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(pmod(short, {FILTER_BITS}) + 1))").alias("bits")).collect()
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in parts:
-        bitmap[4096 * (part.b - 1) : 4096 * part.b] = np.frombuffer(part.bits, np.uint8)
-    held = spark.sparkContext.broadcast(bitmap)
+    held = spark.sparkContext.broadcast(bit_filter(marked.select(F.col("short").alias("hash")), FILTER_BITS))
 
     def wanted(texts, seen):
-        bits = held.value
         lines, short = _fresh(texts, seen, min_chars)
-        at = np.array(short, np.int64) % FILTER_BITS
-        ok = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
+        ok = np.flatnonzero(bits_of(held.value, np.array(short, np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array([short[k] for k in ok], pa.int64()), pa.array([lines[k] for k in ok], pa.string())], names=["short", "line"])
 
     texts = _mapped(docs, wanted, "short long, line string", text_col)
@@ -270,35 +336,52 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """(doc_id, text_hash, lines): of each document that loses lines, their numbers.
+    """(doc_id, text_hash, lines, n_near, first_docs): of each document that loses lines their numbers, how many of them differ from
+    the line that stays, and in which documents (ids, ascending, null left out) those that stay are.
 
     Lines that are equal once stripped, or joined by a chain of lines within `edits`, are one class; its first line by
     doc_id, text hash and number stays (null ids come first). With short, lines under min_chars take part too, but only
-    with lines that are equal; empty ones don't."""
+    with lines that are equal; empty ones don't. An empty table gives no rows."""
     occ = materialize(occurrences(docs, 1 if short else min_chars, id_col, text_col), "lines-all")
     distinct = materialize(occ.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n")), "lines-distinct")
     found = components(line_links(docs, distinct.count(), edits, min_chars, text_col), "lines")
     joined = distinct.join(found, distinct.line == found.node, "left").select("line", "first", "n", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("near"))
     joined = materialize(joined.where("near or n > 1"), "lines-rooted")
-    stays = materialize(joined.groupBy("root").agg(F.min("first").alias("stays")), "lines-stays")
-    named = materialize(joined.select("line", "root").join(stays, "root").select("line", "stays"), "lines-named")
+    stays = materialize(joined.groupBy("root").agg(F.min(F.struct("first", "line")).alias("stays")), "lines-stays")
+    named = joined.select("line", "root").join(stays, "root").select("line", F.col("stays.first").alias("stays"), (F.col("line") != F.col("stays.line")).alias("near"))
+    named = materialize(named, "lines-named")
     lost = occ.join(named, "line").where(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("stays")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"))
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("stays.doc_id")).alias("first_docs"))
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """docs with the lines of text_col that repeat an earlier one, exactly or within `edits`, taken out, and a column
-    __dropped with how many. Other columns stay.
+    """docs with the lines of text_col that repeat an earlier one, exactly or within `edits`, taken out, and columns
+    __dropped (how many), __near (how many of them differ from the line that stays) and __first (ids of the documents of those that
+    stay). Other columns stay, whatever their names.
 
-    Lines shorter than min_chars stay, or with short, those that repeat an earlier one exactly go. Null and empty texts stay as they are; rows that repeat id and text
-    are one document and lose the same lines. A line of a third of all documents costs one row for each."""
+    Lines shorter than min_chars stay, or with short, those that repeat an earlier one exactly go. Null and empty texts stay as
+    they are, an empty table stays empty; rows that repeat id and text are one document and lose the same lines. A line of a
+    third of all documents costs one row for each. Texts are cut whole, in time in proportion to their lines."""
     lost = materialize(dropped_lines(docs, edits, min_chars, id_col, text_col, short), "lines-lost")
-    lost = lost.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"))
+    lost = lost.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"), F.col("first_docs").alias("__first"))
     hashed = with_text_hash(docs, text_col)
     out = hashed.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    return out.select(*[F.when(F.col("__lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("__lines"), F.lit(0)).alias("__dropped"))
+    out = out.select(*docs.columns, F.coalesce(F.size("__lines"), F.lit(0)).alias("__dropped"), F.coalesce("__near", F.lit(0)).cast("long").alias("__near"), F.coalesce("__first", F.array().cast("array<long>")).alias("__first"), "__lines")
+
+    def cut(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            at, last = batch.schema.get_field_index(text_col), batch.num_columns - 1
+            gone = batch.column(last).to_pylist()
+            if any(gone):
+                texts = batch.column(at).to_pylist()
+                for k, own in enumerate(gone):
+                    if own:
+                        own = set(own)
+                        texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in own)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.select(range(last))
+
+    return out.mapInArrow(cut, out.drop("__lines").schema)
 
 
 def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -315,8 +398,11 @@ def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = True) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left; null counts as empty)."""
+    """One row for each row of docs: doc_id, n_lines, n_dropped, n_near (dropped lines that differ from the one that stays), first_docs
+    (ids of the documents whose lines stay in their place) and kept_sha256 (of the text that is left; null counts as empty).
+
+    Repeated rows give repeated rows, an empty table none; other columns aren't read."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     kept = drop_lines(own.withColumn("__n", n), edits, min_chars, short=short)
-    return kept.select("doc_id", F.col("__n").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.col("__n").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.col("__near").alias("n_near"), F.col("__first").alias("first_docs"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -83,6 +83,20 @@ def test_near_duplicates(spark, odd_docs, empty_docs):
     assert simhash.near_duplicates(empty_docs).count() == 0
 
 
+def test_shared_folder(spark):
+    """Rounds delete what the next one doesn't read, and a session on a cluster must name the folder."""
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    common.components(spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long"), "rounds")
+    assert len(set(folder.iterdir()) - before) == 1
+    far = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(far)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(k, k + 1) for k in range(100, 140)] + [(5, 5)]
@@ -132,6 +146,46 @@ def test_edit_join_parts(limit):
             assert any((t, seed, o) in keys[1] for t, seed, p in keys[0] for o in ((False,) if p else (False, True)))
 
 
+def test_odd_and_long_lines():
+    """Control characters aren't taken for the edges of a line, and pairs of very different lengths are verified together."""
+    rng = random.Random(11)
+    a = ["".join(rng.choices("ab\x00\x01", k=rng.randint(6, 30))) for _ in range(1500)]
+    b = [worn(rng, x, rng.randint(0, 4)) for x in a]
+    for limit in (1, 2, 3):
+        assert (lines.within(a, b, limit) == [edits(x, y) <= limit for x, y in zip(a, b)]).all()
+        assert [lines._diagonals(x, y, limit) for x, y in zip(a, b)] == [edits(x, y) <= limit for x, y in zip(a, b)]
+    long = "".join(rng.choices("abc ", k=400_000))
+    near, far = "q" + long[1:399_990] + long[399_991:], long[:200_000] + "qqq" + long[200_000:]
+    assert lines.within([long, "ab", long, near], [near, "ac", far, "ab"], 2).tolist() == [True, True, False, False]
+
+
+def test_signatures_in_parts(monkeypatch):
+    rng = random.Random(12)
+    own = ["".join(rng.choices("abcé", k=rng.randint(1, 60))) for _ in range(300)]
+    whole = lines.signatures(own)
+    for size in (3, 10, 59):
+        monkeypatch.setattr(lines, "SIGN_CHARS", size)
+        assert (lines.signatures(own) == whole).all()
+
+
+def test_many_equal_lines(spark):
+    """A document of 60,000 equal lines loses all but one in time that follows their number."""
+    import time
+
+    docs = spark.createDataFrame([(1, "a line that is repeated again\n" * 60_000 + "end of it"), (2, "other")], "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: (r.text, r["__dropped"]) for r in lines.drop_lines(docs).collect()}
+    assert got == {1: ("a line that is repeated again\nend of it", 59_999), 2: ("other", 0)} and time.time() - begin < 120
+
+
+def test_links_of_documents(spark):
+    """Each document says how many of its dropped lines were near copies, and where the lines that stay are."""
+    base = "this is a line of some length, number one"
+    docs = [(1, base), (2, base.replace("one", "on")), (3, base + "\nanother line that stands here alone"), (4, "another line that stands here alone\n" + base), (None, "nothing of it at all, nowhere")]
+    got = {r.doc_id: (r.n_dropped, r.n_near, r.first_docs) for r in lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0, []), 2: (1, 1, [1]), 3: (1, 0, [1]), 4: (2, 0, [1, 3]), None: (0, 0, [])}
+
+
 @pytest.mark.parametrize("run_rows", [4096, 6])
 def test_line_dedup(spark, run_rows, monkeypatch):
     monkeypatch.setattr(common.salted_runs, "__defaults__", (run_rows, None, 0))
@@ -181,6 +235,9 @@ def test_one_row_of_each_group(spark):
     rows = [(i, x, "en", "s" if k % 2 else "r", k) for k, (i, x) in enumerate(docs)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [tuple(r) for r in p.near_dedup(spark, frame, "").collect()]
+    simhash.FILTER_BITS, kept = 1 << 15, simhash.FILTER_BITS  # a crowded filter lets more rows pass and decides the same
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in p.near_dedup(spark, frame, "").collect())
+    simhash.FILTER_BITS = kept
     assert all(r in rows for r in got) and len(got) == len(set(got))
     own = groups(sorted({plain_print(x or "") for _, x in docs}), lambda x, y: (x ^ y).bit_count() <= 4)
     want = {}
