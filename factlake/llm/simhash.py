@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 from math import comb
 
@@ -11,9 +12,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, materialize, np_components, run_pairs, salted_runs, as_bytes, whole_runs
+from .common import as_bytes, bit_filter, bits_of, components, discard, map_texts, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
 
 SEED, WORDS, BITS = 42, 4, 4
+#: Bits of the filters that decide rows in place; their size doesn't grow.
+FILTER_BITS = 1 << 26
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -89,34 +92,92 @@ def joined(lab: np.ndarray, at: list[np.ndarray], to: list[np.ndarray]) -> np.nd
 
 
 def roots(fps: DataFrame, least: Column, bits: int = BITS) -> DataFrame:
-    """(fp, least, root) of the distinct fingerprints: an aggregate of each one's rows, and the name of its component."""
-    distinct = materialize(fps.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
+    """(fp, least, n, root) of the distinct fingerprints: an aggregate of each one's rows, their number, and the name of its component."""
+    distinct = materialize(fps.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")), "simhash-distinct")
     found = components(links(distinct.select("fp"), distinct.count(), bits), "simhash")
-    return materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    rooted = materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    discard(distinct, found)
+    return rooted
+
+
+def _short(h: bytes) -> int:
+    return int.from_bytes(h[:8], "little", signed=True)
+
+
+def _row_key(i: int | None, h: bytes) -> int:
+    """64 bits of a row's id and the hash of its text."""
+    return xxhash.xxh3_64_intdigest(h + repr(i).encode()) - (1 << 63)
 
 
 def keep_first(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component of near-duplicates: that of the smallest id, null ids last, then of the smallest hash of
-    the text; of rows that have both alike the smallest by their other columns."""
-    own = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    texts = materialize(fingerprints(own, "__hash", text_col).groupBy(F.col("doc_id").alias("h")).agg(F.min("fp").alias("fp")), "simhash-fps")
-    ids = own.groupBy(F.col("__hash").alias("h")).agg(F.min(F.col(id_col)).alias("id"))
-    rooted = roots(texts.join(ids, "h"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")), bits)
-    first = rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
-    first = materialize(first, "simhash-first")
-    # rows that are alike become one before the shuffle where they meet; the same join at every size, as ids follow documents
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = own.groupBy(F.col(id_col).alias("__own"), "__hash").agg(F.min(F.struct(*rest, text_col)).alias("__row"))
-    kept = rows.join(first.hint("merge"), rows["__own"].eqNullSafe(first["__id"]) & (rows["__hash"] == first["__h"]), "left_semi")
-    return kept.select(*[F.col("__own").alias(c) if c == id_col else F.col("__row")[c].alias(c) for c in docs.columns])
+    """docs with one row of each component of near-duplicates: that of the smallest id (a whole number), null ids last, then of the
+    smallest hash of the text (128 bits); of rows that have both alike the smallest by their other columns. Null and empty texts
+    have fingerprint zero and are one component; an empty table stays empty.
+
+    Only ids and hashes are shuffled to decide. Two bitmaps of fixed size then tell a row in place: one of texts whose component has
+    more than one row (a row of none of those stays), one of the rows that stay of such components (a row of none of those goes).
+    The few rows that pass both meet the list itself, and that decides."""
+
+    def prints(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            for ids, texts in slices(batch.column(0), batch.column(1)):
+                raw = as_bytes(texts)
+                fps = np.array([fingerprint(x) for x in raw], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps)], names=["id", "h", "fp"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    fps = materialize(narrow.mapInArrow(prints, "id long, h binary, fp long"), "simhash-fps")
+    rooted = roots(fps, F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")), bits)
+    groups = materialize(rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1"), "simhash-groups")
+    crowded = rooted.join(groups.select("root"), "root", "left_semi").select("fp")
+
+    def shorts(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_short(h) for h in batch.column(0).to_pylist()], pa.int64())], names=["hash"])
+
+    def keys(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            both = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([_row_key(i, h) for i, h in both], pa.int64())], names=["hash"])
+
+    many = bit_filter(fps.join(crowded, "fp", "left_semi").select("h").mapInArrow(shorts, "hash long"), FILTER_BITS)
+    stay = bit_filter(groups.select("first.id", "first.h").mapInArrow(keys, "hash long"), FILTER_BITS)
+    held = docs.sparkSession.sparkContext.broadcast((many, stay))
+    discard(rooted, fps)
+
+    def told(open_: bool):
+        def run(batches: Iterable[pa.RecordBatch]):
+            many, stay = held.value
+            for batch in batches:
+                names = batch.schema.names
+                raw = as_bytes(batch.column(names.index(text_col)))
+                hashes = [xxhash.xxh3_128_digest(x) for x in raw]
+                ids = batch.column(names.index("__id")).to_pylist()
+                crowd = bits_of(many, np.array([_short(h) for h in hashes], np.int64))
+                if open_:
+                    crowd &= bits_of(stay, np.array([_row_key(i, h) for i, h in zip(ids, hashes)], np.int64))
+                own = pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], names=[*names, "__h"])
+                yield own.filter(pa.array(crowd if open_ else ~crowd))
+
+        return run
+
+    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", __h binary"
+    alone, open_ = (rows.mapInArrow(told(x), schema) for x in (False, True))
+    first = groups.select(F.col("first.id").alias("__f"), F.col("first.h").alias("__g"))
+    rest = [c for c in docs.columns if c != text_col]
+    open_ = open_.groupBy("__id", "__h").agg(F.min(F.struct(*rest, text_col)).alias("__row"))
+    open_ = open_.join(first, F.col("__id").eqNullSafe(F.col("__f")) & (F.col("__h") == F.col("__g")), "left_semi")
+    return alone.select(*docs.columns).unionByName(open_.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id
     reachable over fingerprints that differ in at most `bits` bits, itself included).
 
-    Null and empty texts have fingerprint zero. Repeated rows stay repeated. Null ids are never a
-    component's name unless it has no other. Equal texts are one node, so a group of copies costs one."""
+    Null and empty texts have fingerprint zero. Repeated rows stay repeated; an empty table gives no rows; other columns aren't
+    read. Null ids are never a component's name unless it has no other. Equal texts are one node, so a group of copies costs one;
+    a very long text is a slice of its own, hashed in parts."""
     fps = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
     rooted = roots(fps, F.min("doc_id"), bits)
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
