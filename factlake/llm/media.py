@@ -12,11 +12,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, shared_dir, slices
+from .common import as_bytes, bit_filter, bits_of, materialize, shared_dir, slices
 
 #: Samples in a row of the stored image; a payload is filled up to whole rows.
 WIDTH, FILL = 576, b"\xff"
@@ -25,8 +26,10 @@ SHARD_BYTES = 256 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a stored image that hold its metadata: signature and header chunk.
 HEADER = 33
-#: Payloads, and open shards, that a reading task keeps.
-KEPT_PAYLOADS, KEPT_SHARDS = 256, 16
+#: Open shards that a reading task keeps, and hashes that a writing task remembers.
+KEPT_SHARDS, KEPT_KEYS = 16, 1 << 16
+#: Bits of the filter that tells texts that repeat; its size doesn't grow.
+FILTER_BITS = 1 << 26
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -111,31 +114,73 @@ class Shards:
             self.out = None
 
 
+def _stored(folder: str):
+    """For mapInArrow over (id, key, text): stores each text's payload and gives id, key and its place."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        shards = Shards(folder)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = []
+            for text in as_bytes(batch.column(2)):
+                data = to_png(payload_of(text))
+                digest = hashlib.sha256(data).hexdigest()
+                rows.append((len(text), digest, *shards.add(f"{digest}.png", data), len(data)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "n_bytes", "digest", "shard", "offset", "length"])
+        shards.close()
+
+    return run
+
+
+_PLACES = "doc_id long, key binary, n_bytes long, digest string, shard string, offset long, length long"
+
+
 def store_texts(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores each text's payload in tar shards in folder (a URI that all executors share): doc_id, n_bytes, digest
     (sha256 of the stored form), shard, offset, length.
 
-    Members are named by digest, and a task stores equal payloads once. Null counts as empty. The rows are written
-    before they are returned, so they name shards that are whole."""
+    Payloads are content-addressed: members are named by digest, and equal payloads are stored once in all shards. Which texts
+    repeat is found by their hashes alone and told to the tasks as a bitmap of fixed size; texts that don't are stored where they
+    are read, one row of each other text is shuffled by its hash. Null counts as empty, repeated rows share a place. The rows are
+    written before they are returned, so they name shards that are whole."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        shards, known = Shards(folder), {}
+    def hashed(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            for ids, texts in slices(batch.column(0), batch.column(1)):
-                rows = []
-                for text in as_bytes(texts):
-                    key = hashlib.sha256(text).digest()
-                    if key not in known:
-                        data = to_png(payload_of(text))
-                        digest = hashlib.sha256(data).hexdigest()
-                        known[key] = (len(text), digest, *shards.add(f"{digest}.png", data), len(data))
-                    rows.append(known[key])
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
-        shards.close()
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in as_bytes(batch.column(1))], pa.binary())], names=["key"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    def short(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], names=["hash"])
+
+    repeated = rows.mapInArrow(hashed, "key binary").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    held = rows.sparkSession.sparkContext.broadcast(bit_filter(repeated.mapInArrow(short, "hash long"), FILTER_BITS))
+
+    def keyed(again: bool, texts_too: bool):
+        def run(batches: Iterable[pa.RecordBatch]):
+            seen: set[bytes] = set()
+            for batch in batches:
+                for ids, texts in slices(batch.column(0), batch.column(1)):
+                    key = [hashlib.sha256(x).digest() for x in as_bytes(texts)]
+                    own = bits_of(held.value, np.array([int.from_bytes(x[:8], "little", signed=True) for x in key], np.int64))
+                    own = own if again else ~own
+                    if again and texts_too:  # a task sends a text once while it remembers it
+                        seen = set() if len(seen) > KEPT_KEYS else seen
+                        own &= np.array([x not in seen and not seen.add(x) for x in key], bool)
+                    columns = [ids, pa.array(key, pa.binary()), *([pc.fill_null(texts, "")] if texts_too else [])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "text"][: len(columns)]).filter(pa.array(own))
+
+        return run
+
+    kept = "id long, key binary, text string"
+    alone = materialize(rows.mapInArrow(keyed(False, True), kept).mapInArrow(_stored(folder), _PLACES), "media-alone")
+    one = rows.mapInArrow(keyed(True, True), kept).groupBy("key").agg(F.first("text").alias("text"))
+    shared = materialize(one.select(F.lit(None).cast("long").alias("id"), "key", "text").mapInArrow(_stored(folder), _PLACES), "media-shared")
+    crowd = rows.mapInArrow(keyed(True, False), "id long, key binary").withColumnRenamed("id", "doc_id")
+    crowd = crowd.join(shared.drop("doc_id"), "key")
+    return materialize(alone.unionByName(crowd).drop("key"), "media-rows")
 
 
 class Reader:
@@ -155,56 +200,60 @@ class Reader:
 
 
 def _with_columns(rows: DataFrame, folder: str, fn, schema: str) -> DataFrame:
-    """Adds columns that fn(reader, shard, offset, length) gives for each stored payload; equal ones in a row's
-    neighbourhood are read once."""
+    """Adds columns that fn(reader, shard, offset, length) gives for each stored payload. Each is read once, whatever number of rows
+    point at it: places are dealt out by shard and part of a shard, and rows meet what was read of theirs."""
     names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+    place = ["shard", "offset", "length"]
 
     def run(batches: Iterable[pa.RecordBatch]):
-        reader, known = Reader(folder), OrderedDict()
+        reader = Reader(folder)
         for batch in batches:
-            got = []
-            for key in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
-                if key not in known:
-                    known[key] = fn(reader, *key)
-                    if len(known) > KEPT_PAYLOADS:
-                        known.popitem(last=False)
-                got.append(known[key])
-            columns = [pa.array(c) for c in zip(*got)] if got else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(c.cast(t) for c, t in zip(columns, types))], names=[*batch.schema.names, *names])
+            got = [fn(reader, *key) for key in zip(*(batch.column(c).to_pylist() for c in place))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*got), types)] if got else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*place, *names])
 
-    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kept}, {schema}")
+    # the places are small but what they point at isn't: as many tasks as wrote them
+    dealt = rows.select(*place).distinct().repartition(max(rows.rdd.getNumPartitions(), 1), "shard", F.floor(F.col("offset") / F.lit(8 << 20)))
+    return rows.join(dealt.mapInArrow(run, f"shard string, offset long, length long, {schema}"), place)
+
+
+_METADATA = "width long, height long, sample_bits long"
+_CONTENT = "payload_sha256 string, tail_crc32 long, feature string, stored_sha256 string"
+
+
+def _metadata(reader: Reader, shard: str, offset: int, length: int) -> tuple:
+    return png_header(reader.read(shard, offset, min(HEADER, length)))
+
+
+def _content(reader: Reader, shard: str, offset: int, length: int) -> tuple:
+    data = reader.read(shard, offset, length)
+    payload = from_png(data)
+    return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(payload), hashlib.sha256(data).hexdigest()
 
 
 def fill_metadata(rows: DataFrame, folder: str) -> DataFrame:
     """Adds width, height and sample_bits, reading the header of each stored payload and nothing else."""
-    return _with_columns(rows, folder, lambda reader, shard, offset, length: png_header(reader.read(shard, offset, min(HEADER, length))), "width long, height long, sample_bits long")
+    return _with_columns(rows, folder, _metadata, _METADATA)
 
 
 def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
     """Adds what whole payloads show, read back from the shards: payload_sha256, tail_crc32 (last 32 samples), feature and
     stored_sha256."""
-
-    def read(reader, shard, offset, length):
-        data = reader.read(shard, offset, length)
-        payload = from_png(data)
-        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(payload), hashlib.sha256(data).hexdigest()
-
-    return _with_columns(rows, folder, read, "payload_sha256 string, tail_crc32 long, feature string, stored_sha256 string")
+    return _with_columns(rows, folder, _content, _CONTENT)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every whole text and reads it back, a row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256, feature, then shard, offset, width and height. folder defaults to a new one
-    in the shared folder. Null ids stay null; repeated rows share a payload within a task."""
+    in the shared folder. Null and empty texts are one row of fill bytes; a very long text is one payload. Null ids stay
+    null; repeated rows give repeated rows that share a payload; an empty table gives none; other columns aren't read."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path)
     rows = store_texts(docs, folder, id_col, text_col)
-    # the rows are small but what they point at isn't: dealt by place, into as many tasks as wrote them
-    rows = rows.repartition(max(docs.rdd.getNumPartitions(), 1), "shard", F.floor(F.col("offset") / F.lit(8 << 20)))
-    rows = read_payloads(fill_metadata(rows, folder), folder)
+    # the header first, by itself, then the payload: both of a place in one task
+    rows = _with_columns(rows, folder, lambda *place: (*_metadata(*place), *_content(*place)), f"{_METADATA}, {_CONTENT}")
     return rows.select(
         "doc_id", "n_bytes", (F.col("width") * F.col("height")).alias("payload_bytes"), "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"),
         F.col("stored_sha256").alias("media_sha256"), "feature", "shard", "offset", "width", "height",
