@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, map_texts
+from .common import as_bytes, flat, map_texts
 
 #: Bounds of the training sample: texts and landmarks of each language.
 PER_LANG, LANDMARKS = 256, 32
@@ -37,10 +38,20 @@ def gram_codes(sign: np.ndarray) -> np.ndarray:
     return np.concatenate([s, two + 64, two[:-1] * 64 + s[2:] + 64 + 64**2])
 
 
+#: Signs whose n-grams are marked at once.
+STEP = 1 << 20
+
+
+def mark_grams(mark: np.ndarray, sign: np.ndarray) -> None:
+    """Marks the n-grams of one text's signs; a very long text in steps that overlap by two signs."""
+    for a in range(0, len(sign), STEP):
+        mark[gram_codes(sign[a : a + STEP + 2])] = True
+
+
 def present(text: bytes) -> np.ndarray:
     """The distinct n-grams of a text, ascending: its presence vector."""
     mark = np.zeros(CODES, bool)
-    mark[gram_codes(ALPHABET[np.frombuffer(text, np.uint8)])] = True
+    mark_grams(mark, ALPHABET[np.frombuffer(text, np.uint8)])
     return np.flatnonzero(mark).astype(np.int32)
 
 
@@ -86,25 +97,29 @@ def fit(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, r
 
 
 def sample(docs: DataFrame, train: F.Column, per_lang: int = PER_LANG) -> tuple[list[np.ndarray], list[str]]:
-    """N-grams and languages of at most per_lang training texts a language, picked by a hash of the id: the first
-    pass reads ids and languages only, and the texts of the picked ids become n-grams on the executors."""
+    """N-grams and languages of at most per_lang training rows a language, picked by a hash of the id: the first
+    pass reads ids and languages only, and the texts of the picked (id, language) become n-grams on the executors. Of rows that
+    share both, the one whose text has the smallest hash is learned from, so neither order nor repeats decide and
+    the driver gets no more rows than were picked."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     h = F.xxhash64(F.col("doc_id").cast("long"))
-    picked = rows.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id").alias("id"))).alias("x"))
-    ids = picked.select(F.col("x.id").alias("doc_id"), "lang").collect()  # per_lang rows a language at most
+    picked = rows.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id").cast("long").alias("id"))).alias("x"))
+    ids = [(r.id, r.lang) for r in picked.select(F.col("x.id").alias("id"), "lang").collect()]  # per_lang rows a language at most
     if not ids:
         return [], []
-    lang = {r.doc_id: r.lang for r in ids}
-    small = docs.sparkSession.createDataFrame([(i,) for i in lang], "doc_id long")
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(small), "doc_id", "left_semi")
+    small = docs.sparkSession.createDataFrame(ids, "__id long, __lang string")
+    texts = rows.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").alias("__lang"), "text").join(F.broadcast(small), ["__id", "__lang"])
 
-    def run(ids, texts):
-        data, offsets = flat(texts)
-        return {"doc_id": ids, "grams": pa.array([present(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.list_(pa.int32()))}
+    def run(batches):
+        for batch in batches:
+            raw = as_bytes(batch.column(2))
+            grams = pa.array([present(x) for x in raw], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), grams], names=["id", "lang", "h", "grams"])
 
-    got = {r.doc_id: np.array(r.grams, np.int32) for r in map_texts(texts, run, "doc_id long, grams array<int>").collect() if r.grams}
-    order = sorted(got)
-    return [got[i] for i in order], [lang[i] for i in order]
+    got = texts.mapInArrow(run, "id long, lang string, h binary, grams array<int>").where(F.size("grams") > 0)
+    got = got.groupBy("id", "lang").agg(F.min(F.struct("h", "grams")).alias("x")).select("id", "lang", "x.grams").collect()
+    got = sorted(got, key=lambda r: (r.id, r.lang))
+    return [np.array(r.grams, np.int32) for r in got], [r.lang for r in got]
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
@@ -122,8 +137,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             marks, distinct = np.zeros((len(part), len(model.grams)), bool), np.zeros(len(part))
             for row, k in enumerate(part):
                 mark[:] = False
-                for a in range(offsets[k], offsets[k + 1], 1 << 20):  # a very long text in steps that overlap
-                    mark[gram_codes(sign[a : min(a + (1 << 20) + 2, offsets[k + 1])])] = True
+                mark_grams(mark, sign[offsets[k] : offsets[k + 1]])
                 distinct[row], marks[row] = np.count_nonzero(mark), mark[model.grams]
             out = SHARPNESS * model.decide(marks, distinct)
             e = np.exp(out - out.max(axis=1, keepdims=True))
@@ -140,7 +154,9 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:
 
     Learns from documents whose crc32(doc_id) mod folds isn't held_fold and that have a language. A null text
     or one without a letter is `und` with score 0, and so is every text if there is nothing to learn from. A null id
-    isn't held out and never learned from; of repeated ids one text is learned from."""
+    isn't held out and never learned from; of rows that repeat id and language one is learned from, with its own language.
+    Repeated rows give repeated rows, an empty table none. A very long text counts whole, in steps; of other columns only lang is
+    read, and only to learn."""
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     model = fit(*sample(docs, fold != held_fold))
     out = predict(docs, model)

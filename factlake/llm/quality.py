@@ -124,15 +124,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, bound: int) -> np.ndarray:
-    """Features of at most about `bound` of the ids, those with the least hash in each of `bound` slots."""
+    """Features of at most `bound` of the ids, those with the least hash in each of `bound` slots. Of rows that repeat an id the one
+    with the smallest features is taken, so the driver gets no more rows than were picked."""
     h = F.xxhash64("doc_id")
-    picked = ids.groupBy(F.pmod(h, F.lit(bound)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x")).select("x.doc_id").collect()
+    picked = ids.where("doc_id is not null").groupBy(F.pmod(h, F.lit(bound)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("x")).select("x.doc_id").collect()
     if not picked:
         return np.zeros((0, len(NAMES)))
     small = docs.sparkSession.createDataFrame([(r.doc_id,) for r in picked], "doc_id long")  # bound rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(small), "doc_id", "left_semi")
-    rows = map_texts(texts, lambda ids, texts: {"doc_id": ids, "x": pa.array(list(features(texts)), pa.list_(pa.float64()))}, "doc_id long, x array<double>").collect()
-    return np.array([r.x for r in sorted(rows, key=lambda r: (r.doc_id, r.x))]).reshape(-1, len(NAMES))
+    rows = map_texts(texts, lambda ids, texts: {"doc_id": ids, "x": pa.array(list(features(texts)), pa.list_(pa.float64()))}, "doc_id long, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    return np.array([r.x for r in sorted(rows, key=lambda r: r.doc_id)]).reshape(-1, len(NAMES))
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Net | None:
@@ -147,8 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
-    The samples are bounded; every text is scored. Null and empty texts score as empty ones do. Labels of null ids or null
-    quality count for nothing. With fewer than 8 positives every score is 0.5."""
+    The samples are bounded; every text is scored, a very long one whole. Null and empty texts score as empty ones do. Labels of null
+    ids or null quality count for nothing. With fewer than 8 positives or 8 training documents every score is 0.5. Repeated
+    rows give repeated rows, an empty table none; other columns aren't read."""
     net = learn(docs, labels, folds, held_fold, positives, unlabelled)
 
     def run(ids, texts):
@@ -160,7 +163,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores 0.5 or more, all columns as they are. The decision is made in the row: no join."""
+    """The rows of docs whose text scores 0.5 or more, all columns as they are; repeated rows stay or go together. The decision is
+    made in the row: no join. Where there is too little to learn from (see learn), all rows stay; an empty table stays empty."""
     net = learn(docs, labels)
 
     def run(batches):
