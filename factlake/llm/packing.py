@@ -21,8 +21,8 @@ TOKENIZER, SEQUENCE, END_ID = "word_bpe_49k.json", 2048, 1
 GRAIN = 16
 #: The program ends when its value is this near to the bound that its prices prove.
 GAP = 0.0005
-#: Chunks remembered for reuse in a task: two generations of so many.
-REMEMBERED = 400_000
+#: Bytes of chunks, and of words, remembered for reuse in a task: two generations of so many. An entry counts as ENTRY bytes more.
+REMEMBERED, ENTRY = 64 << 20, 160
 #: How the vocabulary cuts a chunk before its merges.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks below this character are in composed form, and Python lower-cases them as the library does.
@@ -48,6 +48,7 @@ class Chunks:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = self.held_words = 0
         self.merge = self.tokenizer.model.tokenize
 
     def word(self, word: str) -> bytes:
@@ -56,21 +57,24 @@ class Chunks:
         if ids is None:
             spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(SPELLING)
             own = [t.id for t in self.merge(spelt)]
-            if len(self.words) >= self.remembered:
+            if self.held_words >= self.remembered:
                 self.words.clear()
+                self.held_words = 0
             ids = self.words[word] = struct.pack(f"<{len(own)}I", *own)
+            self.held_words += len(word) + len(ids) + ENTRY
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [x.split() for x in texts]
         new, old = self.new, self.old
-        if len(new) > self.remembered:
+        if self.held > self.remembered:
             self.old, self.new = old, new = new, {}
-        missing = set().union(*cut).difference(new)
+            self.held = 0
+        missing = added = set().union(*cut).difference(new)
         if again := missing & old.keys():
             new.update(zip(again, map(old.__getitem__, again)))
-            missing -= again
+            missing = missing - again
         if missing:
             odd = []
             for x in missing:
@@ -82,6 +86,7 @@ class Chunks:
             coded = self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False)
             new.update((x, struct.pack(f"<{len(i)}I", *i)) for x, i in zip(odd, (c.ids for c in coded)))
         get = new.__getitem__
+        self.held += sum(len(x) + len(get(x)) for x in added) + ENTRY * len(added)
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 
@@ -199,21 +204,22 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN, gap: f
 
     Only the histogram of lengths, at most sequence / grain rows, comes to the driver. Pieces are ranked
     within their length by buckets of a hash, so that a common length is ranked by many tasks; each rank has its
-    place in a pattern. Pieces that are equal in all columns may swap places."""
-    pieces = materialize(pieces, "packing-pieces").withColumn("__size", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
+    place in a pattern. Buckets take a number that each row gets when it is written, so rows that are equal in all columns are
+    dealt out too; such rows may swap places. An empty table gives no rows."""
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "packing-pieces").withColumn("__size", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
     histogram = pieces.groupBy("__size").count().collect()
     demand = np.zeros(-(-sequence // grain), np.int64)
     for size, n in histogram:
         demand[size - 1] = n
     table = slots(patterns(demand, gap))
     buckets = int(demand.sum()) // BUCKET_ROWS + 256
-    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int"))
     counts = pieces.groupBy("__size", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy("__size", "__bucket").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("__size", "__bucket").orderBy("__row")
     ranked = pieces.withColumn("__rank", F.row_number().over(within) - 1).join(counts, ["__size", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__bucket")
+    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__bucket", "__row")
 
     def place(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -240,6 +246,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, sequence: int = SEQ
     """Packs all documents into sequences of at most `sequence` tokens, a row for each piece: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have the end id only. A text longer than a sequence is cut at its multiples and only
-    its rest shares a sequence. An empty table gives no rows; repeated rows are packed each."""
+    Null and empty texts have the end id only. A text longer than a sequence, however long, is cut at its multiples and only
+    its rest shares a sequence. An empty table gives no rows; repeated rows are packed each; other columns aren't read."""
     return pack(token_pieces(docs, path, sequence, id_col=id_col, text_col=text_col), sequence)

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from .common import as_bytes, map_texts
 
 MODEL = "piece_bpe_32k.model"
-#: Segments remembered for reuse in a task: two generations of so many.
-REMEMBERED = 400_000
+#: Bytes of segments remembered for reuse in a task: two generations of so many. An entry counts as ENTRY bytes more.
+REMEMBERED, ENTRY = 64 << 20, 200
 #: Longer segments use one heap; shorter ones are merged together in arrays.
 ARRAY_CHARS = 48
 SPACE = "▁"
@@ -233,6 +233,7 @@ class Codec:
         self.v, self.remembered = vocabulary(path), remembered
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.library = None
         if check:
             import sentencepiece
@@ -252,13 +253,13 @@ class Codec:
         """Ids of each text with begin and end ids, as little-endian unsigned 32-bit integers."""
         cut = [self.segments(t) for t in texts]
         new, old = self.new, self.old
-        if len(new) > self.remembered:
+        if self.held > self.remembered:
             self.old, self.new = old, new = new, {}
-        missing = set().union(*cut).difference(new)
-        if again := missing & old.keys():
-            new.update(zip(again, map(old.__getitem__, again)))
-            missing -= again
-        missing = list(missing)
+            self.held = 0
+        added = set().union(*cut).difference(new)
+        again = added & old.keys()
+        new.update(zip(again, map(old.__getitem__, again)))
+        missing = list(added - again)
         found = self.v.agendas([SPACE + s for s in missing])
         if self.library and missing:
             # the library puts the space sign before each itself, but for an empty text
@@ -267,6 +268,7 @@ class Codec:
                 if x != struct.pack(f"<{len(ids)}I", *ids):
                     raise ValueError(f"the sentencepiece library encodes {s!r} otherwise")
         new.update(zip(missing, found))
+        self.held += sum(len(s) + len(new[s]) for s in added) + ENTRY * len(added)
         get, b, e = new.__getitem__, struct.pack("<I", self.v.bos), struct.pack("<I", self.v.eos)
         return [b"".join([b, *map(get, segs), e]) for segs in cut]
 
@@ -286,10 +288,11 @@ class Codec:
 
 def encode_documents(docs: DataFrame, path: str | None = None, check: bool = True, keep: str = "digests", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text and decodes the ids again: doc_id, n_tokens (with begin and end ids),
-    then with keep="digests" ids_sha256 and decoded_sha256, with keep="ids" ids (array) and decoded.
+    then with keep="digests" ids_sha256 and decoded_sha256, with keep="ids" ids (array) and decoded. With check the library decodes
+    the ids of every batch too, and a difference stops the job.
 
-    Null and empty texts have the two ids only. Each row of docs gives one row, repeats too; other
-    columns aren't read."""
+    Null and empty texts have the two ids only. Each row of docs gives one row, repeats too, an empty table none; other
+    columns aren't read. A very long text is a slice of its own."""
     path = path or public_tokenizers.path(MODEL)
 
     def start():
@@ -299,6 +302,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, check: bool = Tru
         coded = codec.encode([x.decode() for x in as_bytes(texts)])
         out = {"doc_id": ids, "n_tokens": pa.array([len(x) // 4 for x in coded], pa.int64())}
         text = [codec.decode(x) for x in coded]
+        if codec.library and codec.library.decode([np.frombuffer(x, "<i4").tolist() for x in coded]) != text:
+            raise ValueError("the sentencepiece library decodes otherwise")
         if keep == "ids":
             return out | {"ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32())), "decoded": pa.array(text, pa.string())}
         return out | {"ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text], pa.string())}
