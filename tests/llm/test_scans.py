@@ -43,7 +43,7 @@ def test_base_spans():
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.train(pii.training_table(rows=160), steps=120)
+    return pii.default_field()
 
 
 def test_field(field):
@@ -82,7 +82,9 @@ def test_viterbi_is_best(field):
 
 
 def test_private_rows(odd_docs, empty_docs, field):
-    got = [(r.doc_id, r.base_sha256) for r in pii.find_private(odd_docs).collect()]
+    rows = pii.find_private(odd_docs).collect()
+    assert all(r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in pii.all_spans(pii.default_field(), pa.array([t]))[0][1]) for r in rows for t in [dict((i, t) for i, t in texts_of(odd_docs))[r.doc_id]] if r.doc_id is not None)
+    got = [(r.doc_id, r.base_sha256) for r in rows]
     want = [(i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t)).encode()).hexdigest()) for i, t in texts_of(odd_docs)]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert pii.find_private(empty_docs).count() == 0
@@ -108,6 +110,49 @@ def test_language(spark, odd_docs, empty_docs):
     assert language.identify(odd_docs).count() == odd_docs.count()
 
 
+def test_repeated_ids_keep_their_language(spark):
+    """Of rows that share an id each text is learned with its own language, and the order of rows doesn't matter."""
+    french, english = "le chat est sur la table et il dort", "the cat is on the table and it sleeps"
+    rows = [(1, french, "fr"), (1, english, "en"), (1, english, "en"), (1, None, "fr"), (3, "und", None)]
+    train = language.F.lit(True)
+    found = [language.sample(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(2), train) for x in (rows, rows[::-1])]
+    for grams, langs in found:
+        assert langs == ["en", "fr"] and [g.tolist() for g in grams] == [language.present(x.encode()).tolist() for x in (english, french)]
+
+
+def test_plain_kernel_ridge():
+    """With all texts as landmarks the fit is kernel ridge regression: decisions equal those of the kernel matrix solved directly."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(own, k=rng.randint(10, 40))) for own in ("abcde ", "defgh ", "xyzab ") for _ in range(12)]
+    langs = [n for n in "pqr" for _ in range(12)]
+    grams = [language.present(x.encode()) for x in texts]
+    model = language.fit(grams, langs, landmarks=99, ridge=0.05)
+    sets = [set(g.tolist()) for g in grams]
+    new = [set(language.present("".join(rng.choices("abcdefghxyz ", k=30)).encode()).tolist()) for _ in range(20)]
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    share = np.full(len(texts), 1 / 12)
+    y = np.where(np.array(langs)[:, None] == np.array(list("pqr"))[None, :], 1.0, -1.0)
+    k = kernel(sets, sets)
+    mean = share / share.sum()
+    centred = k - mean @ k - (k @ mean)[:, None] + mean @ k @ mean
+    alpha = np.linalg.solve(share[:, None] * centred + 0.05 * np.eye(len(texts)), share[:, None] * (y - mean @ y))
+    own = kernel(new, sets)
+    want = (own - (own @ mean)[:, None] - mean @ k + mean @ k @ mean) @ alpha + mean @ y
+    marks = np.array([[c in s for c in model.grams.tolist()] for s in new])
+    assert np.allclose(model.decide(marks, np.array([len(s) for s in new])), want, atol=5e-3)
+
+
+def test_long_text_language():
+    """N-grams of a text of several steps are those of the whole."""
+    text = ("abc é " * 300_000 + "zq").encode()
+    mark = np.zeros(language.CODES, bool)
+    mark[language.gram_codes(language.ALPHABET[np.frombuffer(text, np.uint8)])] = True
+    assert np.array_equal(language.present(text), np.flatnonzero(mark))
+
+
 def test_kernel_matches_sets():
     a, b = "abcab é", "bca É"
     gram = [language.present(x.encode()) for x in (a, b)]
@@ -125,7 +170,7 @@ def test_pieces(odd_docs, empty_docs):
 
     path = public_tokenizers.path(pieces.MODEL)
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    codec = pieces.Codec(path, remembered=500)
+    codec = pieces.Codec(path, remembered=90_000)
     rng = random.Random(3)
     texts = ["".join(rng.choices([*"aé ▁ \n\tthe ing日本😀́\x00x  ", "hello", " world", "   "], k=rng.randint(0, 90))) for _ in range(600)] + ["", " ", "▁", "a" * 200, "<s>", "</s> x"]
     for lo in range(0, len(texts), 100):
@@ -210,7 +255,7 @@ def test_repetition_kept():
 
 
 def test_chunks():
-    chunks = packing.Chunks(public_tokenizers.path(packing.TOKENIZER), remembered=200)
+    chunks = packing.Chunks(public_tokenizers.path(packing.TOKENIZER), remembered=30_000)
     rng = random.Random(1)
     texts = ["".join(rng.choices([*"aÉ'ßΣ \n\x85　éİ\x1c日!😀\x00,1", "don't", "<|endoftext|>", " I'LL", "é"], k=rng.randint(0, 50))) for _ in range(500)]
     for t, own in zip(texts, chunks.encode([t.encode() for t in texts])):
@@ -366,6 +411,50 @@ def test_prior_and_correction():
     assert abs(quality.class_prior(p, u) - 0.6) < 0.08
 
 
+@pytest.mark.parametrize("prior, corrected", [(0.3, False), (0.99, True)])
+def test_risk_gradient(monkeypatch, prior, corrected):
+    """One step goes along the gradient of the non-negative risk, found by finite differences: of the whole risk, or where its negative
+    part is below zero, up that part."""
+    rng = np.random.default_rng(3)
+    positive, web = rng.normal(1, 1, (40, 3)), rng.normal(-1, 1, (60, 3))
+    monkeypatch.setattr(quality, "DECAY", 0.0)
+    start = quality.train(positive, web, prior, steps=0)
+    if corrected and start.score(web).mean() > start.score(positive).mean():  # the first net must score the web lower
+        positive, web = web, positive
+        start = quality.train(positive, web, prior, steps=0)
+    x = [((p - start.mean) / start.scale).clip(-8, 8) for p in (positive, web)]
+
+    def parts(values):
+        w, b, v, c = values
+        loss = [1 / (1 + np.exp(np.tanh(q @ w + b) @ v + c)) for q in x]
+        return prior * loss[0].mean(), (1 - loss[1]).mean() - prior * (1 - loss[0]).mean()
+
+    assert (parts(start.parts)[1] < 0) == corrected
+    moved = quality.train(positive, web, prior, steps=1)
+
+    def risk(values):
+        plain, negative = parts(values)
+        return -negative if negative < 0 else plain + negative
+
+    for k, (a, b) in enumerate(zip(start.parts, moved.parts)):
+        flat, signs = np.atleast_1d(a).ravel(), np.sign(np.atleast_1d(b - a)).ravel()
+        for i in range(0, len(flat), max(1, len(flat) // 7)):
+            both = []
+            for h in (1e-5, -1e-5):
+                values = [np.array(p, float) for p in start.parts]
+                values[k].reshape(-1)[i] += h
+                both.append(risk(values))
+            slope = (both[0] - both[1]) / 2e-5
+            assert abs(slope) < 1e-7 or np.sign(slope) == -signs[i], (k, i)  # the first step of Adam has the gradient's sign
+
+
+def test_repeated_ids_collect_once(spark):
+    """Rows that repeat an id give the driver one row, the same in any order."""
+    rows = [(1, "a b c."), (1, "D E!"), (2, "x"), (2, "x")] + [(k, f"text {k}") for k in range(3, 9)]
+    found = [quality._sampled(spark.createDataFrame(r, "doc_id long, text string").repartition(3), spark.createDataFrame([(1,), (1,), (2,), (None,)], "doc_id long"), 64) for r in (rows, rows[::-1])]
+    assert found[0].shape == (2, len(quality.NAMES)) and np.array_equal(*found)
+
+
 # ---- media
 
 
@@ -389,8 +478,72 @@ def test_media(odd_docs, empty_docs, tmp_path):
             assert member.name == f"{r.media_sha256}.png" and len(data) == r.media_bytes and hashlib.sha256(data).hexdigest() == r.media_sha256
 
 
+def test_payloads_are_stored_once(spark, tmp_path):
+    """Equal payloads of many tasks are one member of all shards, and all their rows point at it."""
+    docs = spark.createDataFrame([(k, "the same text" if k % 3 else f"text {k // 2}") for k in range(90)], "doc_id long, text string").repartition(9)
+    rows = media.store_texts(docs, f"file://{tmp_path}/m").collect() if (tmp_path / "m").mkdir() is None else None
+    import tarfile
+
+    names = [m.name for p in (tmp_path / "m").iterdir() for m in tarfile.open(p)]
+    assert len(rows) == 90 and len(names) == len(set(names)) == len({r.digest for r in rows}) == len({(r.shard, r.offset) for r in rows})
+
+
 def test_header_reads_no_more(odd_docs, tmp_path, monkeypatch):
+    """Metadata columns take the header's bytes of each payload and no others."""
+    (tmp_path / "m").mkdir()
+    folder = f"file://{tmp_path}/m"
+    rows = media.store_texts(odd_docs, folder).collect()
+    read, whole = [], media.Reader.read
+    monkeypatch.setattr(media.Reader, "read", lambda self, shard, offset, length: read.append(length) or whole(self, shard, offset, length))
+    reader = media.Reader(folder)
+    for r in rows:
+        assert media._metadata(reader, r.shard, r.offset, r.length) == (576, max(1, -(-r.n_bytes // 576)), 8)
+    assert read == [media.HEADER] * len(rows)
+    got = media.fill_metadata(odd_docs.sparkSession.createDataFrame(rows), folder).collect()
+    assert sorted((repr(r.doc_id), r.width, r.height) for r in got) == sorted((repr(r.doc_id), 576, max(1, -(-r.n_bytes // 576))) for r in rows)
+
+
+def test_damaged_images():
     data = media.to_png(media.payload_of(b"abc" * 900))
     assert media.png_header(data[: media.HEADER]) == (576, 5, 8) and media.from_png(data) == media.payload_of(b"abc" * 900)
     with pytest.raises(ValueError):
         media.from_png(data[:-6] + b"xxxxxx")
+
+
+def test_shards_roll_over(tmp_path):
+    """Shards are closed at their size, and a reader that keeps few open still reads all; one payload is longer than a shard."""
+    shards = media.Shards(f"file://{tmp_path}", limit=3000)
+    parts = [bytes([k]) * (200 + 900 * (k % 4)) for k in range(80)] + [b"z" * 9000]
+    places = [shards.add(f"{k}", x) for k, x in enumerate(parts)]
+    shards.close()
+    reader = media.Reader(f"file://{tmp_path}")
+    assert len({s for s, _ in places}) > media.KEPT_SHARDS and [reader.read(s, at, len(x)) for (s, at), x in zip(places, parts)] == parts
+
+
+def test_feature():
+    payload = media.payload_of(b"abc" * 900)
+    x = [payload[k * len(payload) // 64 : (k + 1) * len(payload) // 64] for k in range(64)]
+    means = [sum(p) / len(p) for p in x]
+    bits = "".join("1" if m > sum(means) / 64 else "0" for m in means)
+    mean = sum(payload) / len(payload)
+    assert media.feature(payload) == f"{int(bits, 2):016x}:{mean:.3f}:{(sum((v - mean) ** 2 for v in payload) / len(payload)) ** 0.5:.3f}"
+
+
+def test_very_long_texts(spark):
+    """One text over a slice of 4 MB beside short ones: the operators of single texts handle it whole."""
+    long = " ".join(f"w{k % 5000}x{k % 77}" for k in range(600_000))
+    docs = spark.createDataFrame([(1, long), (2, "short text."), (3, None)], "doc_id long, text string")
+    words = long.split()
+    windows = list(zip(words, words[1:], words[2:]))
+    seen = Counter(windows)
+    again = len({i + j for i, t in enumerate(windows) if seen[t] > 1 for j in range(3)})
+    got = {r.doc_id: r for r in repetition.quality_rules(docs).collect()}
+    assert got[1].n_words == 600_000 and got[1].word_chars == sum(map(len, words)) and got[1].n_repeat_words == again
+    codes = {r.doc_id: r for r in pieces.encode_documents(docs).collect()}
+    assert codes[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and codes[1].n_tokens > 600_000
+    packed = packing.pack_documents(docs).where("doc_id = 1").collect()
+    assert sum(r.length for r in packed) == packed[0].doc_tokens and len({r.start for r in packed}) == len(packed)
+    assert {r.doc_id for r in language.predict(docs, None).collect()} == {1, 2, 3}
+    assert {r.doc_id: r.n_matches for r in licenses.scan_licenses(docs).collect()} == {1: 0, 2: 0, 3: 0}
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score_quality(docs, labels).count() == 3
