@@ -8,10 +8,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, map_texts, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
+from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
 
 #: Edits within which two lines are one, and code points from which a line takes part in that; shorter ones are one if equal.
 EDITS, MIN_CHARS = 2, 20
@@ -20,7 +20,7 @@ FILTER_BITS = 1 << 26
 #: Text bytes whose lines are signed at once: their arrays of characters take 60 times as much.
 LINE_BYTES = 1 << 20
 #: Pairs verified together, and characters of their grid; lines over LONG_CHARS are verified pair by pair.
-VERIFY_PAIRS, VERIFY_CELLS, LONG_CHARS = 2048, 1 << 21, 4096
+VERIFY_PAIRS, VERIFY_CELLS, LONG_CHARS = 2048, 1 << 19, 4096
 #: Characters that are signed at once.
 SIGN_CHARS = 1 << 18
 #: Lines that a task remembers so as not to send copies twice.
@@ -37,7 +37,8 @@ def line_hash(line: str) -> bytes:
 
 
 def text_hash(text: bytes) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(text), "big", signed=True)
+    """The number that xxhash64 of Spark gives for a text."""
+    return np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64).item()
 
 
 @lru_cache(1 << 14)
@@ -63,10 +64,11 @@ def substrings(n: int, edits: int) -> tuple[tuple[int, int, int, bool], ...]:
     return tuple(out)
 
 
-@lru_cache(1 << 14)
-def probes(n: int, edits: int) -> bytes:
-    """For each of the substrings a byte: whether it is a probe."""
-    return bytes(p for *_, p in substrings(n, edits))
+@lru_cache(1 << 12)
+def _places(n: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of substrings."""
+    start, end, seed, probe = zip(*substrings(n, edits))
+    return np.array(start), np.array(end), np.array(seed, np.uint64), np.array(probe, bool)
 
 
 def _parities(lines: list[str]) -> np.ndarray:
@@ -196,18 +198,24 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     """(doc_id, text_hash, line_no, line) with the line as a 128-bit hash. A document is its id and text: rows that repeat
     both are one."""
 
-    def run(ids, texts):
-        row, th, no, line = [], [], [], []
-        for k, raw in enumerate(as_bytes(texts)):
-            h = text_hash(raw)
-            for i, x in document_lines(raw.decode(), min_chars):
-                row.append(k)
-                th.append(h)
-                no.append(i)
-                line.append(line_hash(x))
-        return {"doc_id": ids.take(pa.array(row, pa.int64())), "text_hash": pa.array(th, pa.int64()), "line_no": pa.array(no, pa.int32()), "line": pa.array(line, pa.binary())}
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            for rows, texts in slices(pa.array(np.arange(batch.num_rows)), batch.column(2)):
+                row, no, line = [], [], []
+                for k, raw in zip(rows.to_pylist(), as_bytes(texts)):
+                    own = document_lines(raw.decode(), min_chars)
+                    row += [k] * len(own)
+                    no += [i for i, _ in own]
+                    line += [line_hash(x) for _, x in own]
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(line, pa.binary())], names=["doc_id", "text_hash", "line_no", "line"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, line_no int, line binary")
+
 
-    return map_texts(docs, run, "doc_id long, text_hash long, line_no int, line binary", id_col=id_col, text_col=text_col)
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash")
 
 
 def _fresh(texts: pa.Array, seen: set[bytes], min_chars: int) -> tuple[list[str], list[int]]:
@@ -226,17 +234,58 @@ def _fresh(texts: pa.Array, seen: set[bytes], min_chars: int) -> tuple[list[str]
     return lines, short
 
 
+_ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: Characters from which the substrings of a line of that length are hashed one by one.
+HASHED_CHARS = 1 << 14
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    base = np.full(n, _ODD, np.uint64)
+    back = np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
+    base[0] = back[0] = 1
+    return np.multiply.accumulate(base), np.multiply.accumulate(back)
+
+
 def _keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all substrings of the lines: key, number of the line, and whether it is a probe."""
-    h = xxhash.xxh64_digest
-    keys: list[bytes] = []
-    for x in lines:
-        places = substrings(len(x), edits)
-        x = x.encode() if x.isascii() else x  # either way the hash is of UTF-8
-        keys += [h(x[a:b], seed) for a, b, seed, _ in places]
-    number = [len(substrings(len(x), edits)) for x in lines]
-    probe = b"".join([probes(len(x), edits) for x in lines])
-    return np.frombuffer(b"".join(keys), ">i8").astype(np.int64), np.repeat(np.arange(len(lines)), number), np.frombuffer(probe, bool)
+    """For all substrings of the lines: key, number of the line, and whether it is a probe.
+
+    A substring's hash is a difference of prefix sums of a polynomial modulo 2**64, for all substrings at once. Where the
+    line looked up is longer than HASHED_CHARS they are hashed one by one. Keys only nominate pairs, so a collision costs a comparison."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(size, kind="stable")
+    short = order[: int(np.searchsorted(size[order], HASHED_CHARS + edits, "right"))]
+    at = 0
+    while at < len(short):  # some LINE_BYTES characters at once
+        end = at + max(1, int(np.searchsorted(np.cumsum(size[short[at:]]), LINE_BYTES, "right")))
+        part = short[at:end]
+        at = end
+        points = np.frombuffer("".join([lines[k] for k in part.tolist()]).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        power, back = _powers(LINE_BYTES + HASHED_CHARS + 64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * power[: len(points)], dtype=np.uint64)])
+        own = size[part]
+        places = [_places(n, edits) for n in own.tolist()]
+        count = np.array([len(x[0]) for x in places])
+        start, stop, seed, probe = (np.concatenate(x) for x in zip(*places))
+        begin = np.repeat(np.cumsum(own) - own, count)
+        begin, stop = begin + start, begin + stop
+        key = (total[stop] - total[begin]) * back[begin] + seed * _MIX
+        key ^= key >> np.uint64(32)
+        key *= _MIX
+        key ^= key >> np.uint64(29)
+        number = np.repeat(part, count)
+        for j in np.flatnonzero(seed > HASHED_CHARS << 8 | 255).tolist():
+            x, lo = lines[number[j]], int(start[j])
+            key[j] = xxhash.xxh64_intdigest(x[lo : lo + int(stop[j] - begin[j])], int(seed[j]))
+        out.append((key.view(np.int64), number, probe))
+    for k in order[len(short) :].tolist():
+        own = [(xxhash.xxh64_intdigest(lines[k][a:b], seed), p) for a, b, seed, p in substrings(len(lines[k]), edits)]
+        out.append((np.array([h for h, _ in own], np.uint64).view(np.int64), np.full(len(own), k), np.array([p for _, p in own], bool)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _mapped(docs: DataFrame, run, schema: str, text_col: str) -> DataFrame:
@@ -364,37 +413,17 @@ def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     third of all documents costs one row for each. Texts are cut whole, in time in proportion to their lines."""
     lost = materialize(dropped_lines(docs, edits, min_chars, id_col, text_col, short), "lines-lost")
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"), F.col("first_docs").alias("__first"))
-    hashed = with_text_hash(docs, text_col)
-    out = hashed.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    out = out.select(*docs.columns, F.coalesce(F.size("__lines"), F.lit(0)).alias("__dropped"), F.coalesce("__near", F.lit(0)).cast("long").alias("__near"), F.coalesce("__first", F.array().cast("array<long>")).alias("__first"), "__lines")
-
-    def cut(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            at, last = batch.schema.get_field_index(text_col), batch.num_columns - 1
-            gone = batch.column(last).to_pylist()
-            if any(gone):
-                texts = batch.column(at).to_pylist()
-                for k, own in enumerate(gone):
-                    if own:
-                        own = set(own)
-                        texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in own)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.select(range(last))
-
-    return out.mapInArrow(cut, out.drop("__lines").schema)
+    out = docs.withColumn("__text_hash", _text_hash(text_col))
+    out = out.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
 
+    def kept(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
 
-def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with column __text_hash, as text_hash gives it; null counts as empty."""
-
-    def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            own = batch.column(batch.schema.get_field_index(text_col))
-            hashes = pa.array([text_hash(x) for x in as_bytes(own)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, "__text_hash"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, __text_hash long")
+    # split once: what a lambda takes from outside is computed for each element otherwise
+    cut = F.element_at(F.transform(F.array(F.split(F.col(text_col), "\n")), kept), 1)
+    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(cut).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("__lines"), F.lit(0)).alias("__dropped"), F.coalesce("__near", F.lit(0)).cast("long").alias("__near"), F.coalesce("__first", F.array().cast("array<long>")).alias("__first"))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = True) -> DataFrame:
