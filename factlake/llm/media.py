@@ -213,8 +213,11 @@ def _with_columns(rows: DataFrame, folder: str, fn, schema: str) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*got), types)] if got else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*place, *names])
 
-    # the places are small but what they point at isn't: as many tasks as wrote them
-    dealt = rows.select(*place).distinct().repartition(max(rows.rdd.getNumPartitions(), 1), "shard", F.floor(F.col("offset") / F.lit(8 << 20)))
+    # the places are small but what they point at isn't: tasks of as many bytes as Spark's own scans have
+    places = materialize(rows.select(*place).distinct(), "media-places")
+    part = int(rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").rstrip("bB").replace("m", "000000").replace("k", "000").replace("g", "000000000"))
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = places.repartition(total // part + 1, "shard", F.floor(F.col("offset") / F.lit(max(part // 4, 1))))
     return rows.join(dealt.mapInArrow(run, f"shard string, offset long, length long, {schema}"), place)
 
 
