@@ -18,6 +18,7 @@ _PUBLIC = re.compile(r"pub\s+fn\s+(\w+)\s*[<(]")
 _CONTEXT = re.compile(r"pub\s+fn\s+(\w+)\s*\(\s*ctx\s*:\s*Context")
 _NATIVE = re.compile(r"fn\s+((?:process|handle)_\w+)")
 _STRUCT, _FIELD = re.compile(r"pub\s+struct\s+(\w+)"), re.compile(r"pub\s+(\w+)\s*:\s*(.+)")
+_ERROR = re.compile(r'#\[msg\("[^"]*"\)\]\s*(\w+)|(\w+)(?:\s*=\s*(\d+))?')
 #: Words that make a number a value. Fixed values.
 VALUE_WORDS = ("amount", "balance", "lamports", "price", "fee", "u64", "u128")
 
@@ -88,14 +89,37 @@ def _closes(rows: list[str], first: int) -> bool:
 
 
 def frameworks(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
-    """(repo_id, framework) from sources alone where there is no manifest."""
+    """(repo_id, framework): anchor if a manifest names it, else native if a source has an entry point, else unknown. Without a table of
+    manifests sources that use the framework stand for them."""
     c = F.col("content")
     found = files.groupBy("repo_id").agg(F.bool_or(c.contains("anchor_lang") | c.contains("#[program]")).alias("a"), F.bool_or(c.contains("entrypoint!") | c.contains("process_instruction")).alias("n"))
-    own = found.select("repo_id", F.when(F.col("a"), "anchor").when(F.col("n"), "native").otherwise("unknown").alias("framework"))
-    if manifests is None:
-        return own
-    named = manifests.groupBy("repo_id").agg(F.bool_or(c.contains("anchor-lang")).alias("named"))
-    return own.join(named, "repo_id", "left").select("repo_id", F.when(F.col("named"), "anchor").when(F.col("framework") == "anchor", "unknown").otherwise(F.col("framework")).alias("framework"))
+    if manifests is not None:
+        named = manifests.groupBy("repo_id").agg(F.bool_or(c.contains("anchor-lang")).alias("named"))
+        found = found.join(named, "repo_id", "left").withColumn("a", F.col("named"))
+    return found.select("repo_id", F.when(F.col("a"), "anchor").when(F.col("n"), "native").otherwise("unknown").alias("framework"))
+
+
+def error_codes(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, name, code) of error enums: codes count from 6000 in each file, and an explicit number sets them anew. A line
+    that holds only a message gives a code named `msg`, as the lines are read one by one."""
+
+    def run(batches: Iterable[pd.DataFrame]):
+        for batch in batches:
+            rows = []
+            for f in batch.itertuples(index=False):
+                inside, code = False, 6000
+                for k, line in enumerate((f.content or "").split("\n")):
+                    if "#[error_code]" in line or "ProgramError" in line:
+                        inside = True
+                    elif inside and "}" in line:
+                        inside = False
+                    elif inside and (m := _ERROR.search(line)) and (name := m[1] or m[2]) not in ("pub", "enum"):
+                        code = int(m[3]) if m[3] else code
+                        rows.append((f.repo_id, f.path, k + 1, name, code))
+                        code += 1
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "line", "name", "code"])
+
+    return files.select("repo_id", "path", "content").mapInPandas(run, "repo_id string, path string, line int, name string, code long")
 
 
 def _tags(*tests: tuple[Column, str]) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def counts(edges: DataFrame) -> DataFrame:
     """One row: distinct nodes and edges of (src, dst, kind)."""
@@ -14,21 +18,24 @@ def counts(edges: DataFrame) -> DataFrame:
     return n.withColumn("one", F.lit(1)).join(m.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def reach(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """(root, node, depth) of all nodes that each start node reaches over (src, dst), with the length of a shortest path.
-
-    Breadth first: each round joins only the nodes that the round before found, and leaves out those already known. It
-    ends when a round finds none, or after `most` edges."""
-    edges = edges.select("src", "dst").distinct()
-    known = start.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("depth")).distinct()
-    front = known
-    for depth in range(1, most + 1):
-        found = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        front = found.join(known.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+def reach(edges: DataFrame, start: DataFrame, order: str | None = None) -> DataFrame:
+    """(root, node, depth, path) of all nodes that each start node reaches over (src, dst), with the length of a shortest path and that
+    path's nodes. Of several shortest paths it is the first that a search breadth first would find, edges of a node in the order of
+    column `order` (by default of dst).
+
+    Each round joins only the nodes that the round before found, and leaves out those already known. Rounds go on until one finds
+    none; each is written to the shared folder."""
+    edges = edges.groupBy("src", "dst").agg(F.min(F.col(order or "dst").cast("string" if order is None else edges.schema[order].dataType)).alias("ord"))
+    front = start.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast(edges.select(F.array("ord").alias("x")).schema["x"].dataType).alias("place")).distinct()
+    rounds = [front]
+    while True:
+        found = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("place", F.array("ord")).alias("place"))
+        found = found.groupBy("root", "node", "depth").agg(F.min(F.struct("place", "path")).alias("x")).select("root", "node", "depth", "x.path", "x.place")
+        known = reduce(DataFrame.unionByName, (r.select("root", "node") for r in rounds))
+        front = written(found.join(known, ["root", "node"], "left_anti"), "reach")
         if front.isEmpty():
-            break
-        known = known.unionByName(front)
-    return known
+            return reduce(DataFrame.unionByName, rounds).drop("place")
+        rounds.append(front)
 
 
 def collisions(df: DataFrame, key: str, items: str) -> DataFrame:

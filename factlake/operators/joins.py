@@ -49,7 +49,9 @@ def band_first(left: DataFrame, right: DataFrame, on: list[str], at: str, other:
     hit = dealt.join(found, [*on, "__bucket"]).where((F.col(other) >= F.col(at) + F.lit(low)) & (F.col(other) <= F.col(at) + F.lit(high)))
     extra = [c for c in right.columns if c not in on]
     best = hit.groupBy(*left.columns).agg(F.min(F.struct(*order, *[c for c in extra if c not in order])).alias("__first"))
-    return left.join(best, left.columns, "left").select(*left.columns, *[F.col(f"__first.{c}").alias(c) for c in extra])
+    best = best.select(*[F.col(c).alias(f"__{c}") for c in left.columns], "__first")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in left.columns]  # nulls in other columns lose no match
+    return left.join(best, same, "left").select(*left.columns, *[F.col(f"__first.{c}").alias(c) for c in extra])
 
 
 def upsert(known: DataFrame, news: DataFrame, key: list[str]) -> DataFrame:

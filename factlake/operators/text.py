@@ -38,11 +38,12 @@ def running_depth(step: Column, by: list[str], order: list[str]) -> Column:
 
 def block_ends(df: DataFrame, by: list[str], line: str, depth: str, opens: Column) -> DataFrame:
     """(by, line, block_end) of rows where a block opens (depth counts the row itself): the first later row at which the
-    depth is back below; the row itself if there is none. One pass over each partition's rows: a block closes at the next
-    row of the level it was opened from, so openings and returns of a level pair up in order."""
+    depth is back below; the row itself if there is none. A block closes at the next row of the level it was opened from. Rows of
+    a level are read from the last to the first, so that the frame grows from its start: one pass, where a frame that reaches to the
+    end would be summed anew for each row."""
     level = F.when(opens, F.col(depth) - 1).otherwise(F.col(depth))
     marked = df.select(*by, line, level.alias("__level"), opens.alias("__opens"))
-    after = Window.partitionBy(*by, "__level").orderBy(line).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*by, "__level").orderBy(F.col(line).desc()).rowsBetween(Window.unboundedPreceding, -1)
     end = F.min(F.when(~F.col("__opens"), F.col(line))).over(after)
     return marked.withColumn("block_end", F.coalesce(end, F.col(line))).where("__opens").select(*by, line, "block_end")
 

@@ -17,11 +17,36 @@ c = F.col
 #: Kinds of operations that nobody may start unsigned. Fixed values.
 DANGEROUS = ("token_transfer", "sol_transfer", "token_burn", "account_close", "set_authority")
 OWNED = ("Account", "Program", "InterfaceAccount", "Interface")
-FRESH = r"(?i)stale|timestamp|last_update|max_age|publish_time|\bslot\b|get_price_no_older_than"
-SURE = r"(?i)confidence|\bconf\b|deviation"
-SANE = r"(?i)min_price|max_price|price\s*[<>]|bounds"
-CHECKED_CALL = r"(?i)valid|check.*oracle|oracle.*check|verify.*price|staleness"
-READS_PRICE = r"(?i)get_price\s*\(|oracle.*price|price.*oracle|pyth.*get|switchboard.*get|load_price_account|price_account|oracle_ai|\.price\s*\("
+
+# What the third generation looks for in a body, in a line or in the name of a called function.
+STALENESS = (
+    r"(?i)slot[-_]?diff", r"(?i)last[-_]?update", r"(?i)stale", r"(?i)valid[-_]?slot", r"age\s*[<>]", r"(?i)current[-_]?slot\s*-", r"(?i)clock\.slot\s*-", r"(?i)oracle_staleness", r"(?i)max[-_]?age", r"(?i)freshness", r"(?i)expires?[-_]?at",
+    r"(?i)timestamp[-_]?diff", r"(?i)unix[-_]?timestamp", r"(?i)slots?[-_]?since",
+)
+CONFIDENCE = (r"(?i)confidence", r"(?i)deviation", r"(?i)twap", r"(?i)ema[-_]?price", r"(?i)price[-_]?range", r"(?i)oracle[-_]?guard")
+SANITY = (r"price\s*[><=!]=?\s*0", r"(?i)min[-_]?price", r"(?i)max[-_]?price", r"(?i)price[-_]?bound", r"(?i)assert.*price", r"(?i)require.*price")
+VALIDATION_CALL = (r"(?i)valid", r"(?i)check.*oracle", r"(?i)oracle.*check", r"(?i)verify.*price", r"(?i)staleness")
+BODY_VALIDATION_CALL = (r"(?i)valid", r"(?i)staleness", r"(?i)check.*price")
+ORACLE_ACCOUNT = (r"(?i)oracle", r"(?i)price", r"(?i)pyth", r"(?i)switchboard", r"(?i)feed")
+ORACLE_READ = (
+    r"(?i)get_price\s*\(", r"(?i)oracle.*price", r"(?i)price.*oracle", r"(?i)pyth.*get", r"(?i)switchboard.*get", r"(?i)load_price_account", r"(?i)get_pyth_price", r"(?i)price_account", r"(?i)oracle_ai", r"\.price\s*\(", r"(?i)get_price_data",
+)
+DESERIALIZE = (
+    r"try_from_slice", r"unpack\s*\(", r"unpack_unchecked", r"deserialize\s*\(", r"from_account_info", r"try_deserialize", r"try_from_account_info", r"Account::unpack", r"AccountState::unpack", r"Reserve::unpack", r"Obligation::unpack",
+    r"LendingMarket::unpack", r"Mint::unpack", r"TokenAccount::unpack",
+)
+OWNER_CHECK = (
+    r"\.owner\s*==\s*program_id", r"\.owner\s*==\s*&?program_id", r"\.owner\s*!=\s*program_id", r"assert_eq!\s*\([^)]*\.owner", r"check_program_account", r"check_account_owner", r"assert_owned_by", r"(?i)owner_check", r"(?i)validate_owner",
+    r"(?i)verify_account_owner", r"spl_token::check_program_account",
+)
+PROGRAM_CALL = (r"invoke\s*\(", r"invoke_signed\s*\(", r"CpiContext::new", r"anchor_lang::solana_program::program::invoke")
+STATE_READ = (r"(?i)\.amount", r"(?i)\.lamports\(\)", r"(?i)\.data\.borrow", r"(?i)\.balance", r"(?i)\.supply", r"(?i)\.total", r"(?i)unpack\s*\(")
+RELOAD = (r"\.reload\s*\(\)", r"\.try_borrow_data\s*\(\)", r"AccountInfo::try_from", r"Account::try_from", r"Account::unpack", r"exit\s*\(\s*&")
+
+
+def any_pattern(patterns: tuple[str, ...]) -> str:
+    """One pattern that is found where any of these is."""
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 @dataclass
@@ -37,7 +62,9 @@ class Parsed:
 def gather(files: DataFrame, parsed: DataFrame | None = None) -> Parsed:
     """Fact tables of files. Every rule reads them, so on a large set pass `parsed` that is written once (syntax.parse)."""
     parsed = syntax.parse(files) if parsed is None else parsed
-    instructions = syntax.exploded(parsed, "instructions").join(parsed.select("repo_id", "path", "framework"), ["repo_id", "path"])
+    kind = c("framework")
+    kinds = parsed.groupBy("repo_id").agg(F.bool_or(kind == "anchor").alias("a"), F.bool_or(kind == "native").alias("n")).select("repo_id", F.when(c("a"), "anchor").when(c("n"), "native").otherwise("unknown").alias("framework"))
+    instructions = syntax.exploded(parsed, "instructions").join(kinds, "repo_id")
     fields = syntax.account_fields(parsed)
     nested = fields.groupBy("repo_id", "path", "struct", "struct_ord", "accounts").agg(F.array_sort(F.collect_list(F.struct("n", "name", "type", "kind", "inner", "constraints", "is_signer", "is_mut", "line"))).alias("fields"))
     structs = syntax.exploded(parsed, "structs").select("repo_id", "path", c("name").alias("struct"), c("ord").alias("struct_ord"), "line", "end_line").join(nested, ["repo_id", "path", "struct", "struct_ord"])
@@ -138,35 +165,66 @@ def second_generation(p: Parsed) -> DataFrame:
     )
 
 
-def third_generation(p: Parsed, most_prices: int = 5, most_structs: int = 5) -> DataFrame:
-    """Price, owner and stale-read candidates over whole bodies. At most one price and one stale read a function; `most_prices` a
-    repository is the rule's own limit."""
-    bodies = p.instructions.select("repo_id", c("name").alias("instruction"), "calls", "body", "framework", c("ord").alias("i_ord"))
-    fresh, sure, sane = c("body").rlike(FRESH), c("body").rlike(SURE), c("body").rlike(SANE)
-    checked = F.exists("calls", lambda f: F.regexp_like(f, F.lit(CHECKED_CALL)))
-    unguarded = ~(sure | sane)
-    severity, confidence = F.when(unguarded, "CRITICAL").otherwise("HIGH"), F.when(unguarded, 0.82).otherwise(0.65)
-    read = joins.first_match(p.sinks.where("sink = 'oracle_read'"), bodies, ["repo_id", "instruction"], ["i_ord"]).where(~fresh & ~checked)
+def shows(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.regexp_like(text, F.lit(any_pattern(patterns)))
+
+
+def stale_prices(p: Parsed, most: int = 5) -> DataFrame:
+    """Prices read without a test of their age, at most one a function and `most` a repository, the rule's own limit. First the
+    operations that read a price, then, in repositories without any or of another framework, whole bodies."""
+    body = c("body")
+    bodies = p.instructions.select("repo_id", c("name").alias("instruction"), "calls", c("excerpt").alias("body"), c("ord").alias("i_ord"))
+    fresh, sure, sane = shows(body, STALENESS), shows(body, CONFIDENCE), shows(body, SANITY)
+    # of the four guards the two that a candidate can still have
+    grave = ~sure & ~sane
+    read = joins.first_match(p.sinks.where("sink = 'oracle_read'"), bodies, ["repo_id", "instruction"], ["i_ord"]).where(~fresh & ~F.exists("calls", lambda f: shows(f, VALIDATION_CALL)))
     one = joins.first_of(read, ["repo_id", "instruction"], ["ord"])
-    priced = candidate(one, 20, "oracle_validation", severity, confidence, "%s: price is read without a test of its age", F.filter("accounts", lambda a: F.regexp_like(a, F.lit("(?i)oracle|price|pyth|switchboard|feed"))), True)
-    rest = p.instructions.select("*", c("name").alias("instruction")).where(c("body").rlike(READS_PRICE) & ~fresh & ~checked)
-    rest = joins.without(rest, one, ["repo_id", "instruction"])
-    anchored = p.sinks.where("sink = 'oracle_read'").select("repo_id").distinct()
-    rest = union(rest.where("framework <> 'anchor'"), joins.without(rest.where("framework = 'anchor'"), anchored, ["repo_id"]))
-    prices = rank.top_n(union(priced, candidate(rest, 21, "oracle_validation", "HIGH", 0.65, "%s: price is read without a test of its age")), ["repo_id"], ["rule", "ord"], most_prices, "__n").drop("__n")
-    # native code that reads bytes of an account whose owner it never looks at
+    feeds, others = F.filter("accounts", lambda a: shows(a, ORACLE_ACCOUNT)), F.filter("accounts", lambda a: ~shows(a, ORACLE_ACCOUNT))
+    priced = candidate(one, 20, "oracle_validation", F.when(grave, "CRITICAL").otherwise("HIGH"), F.when(grave, 0.82).otherwise(0.65), "%s: price is read without a test of its age", F.concat(feeds, F.slice(others, 1, 2)), True)
+    rest = p.instructions.select("repo_id", "path", c("name").alias("instruction"), "line", "end_line", "framework", "calls", c("excerpt").alias("body"), F.substring("excerpt", 1, 200).alias("excerpt"), "ord")
+    rest = rest.where(shows(body, ORACLE_READ) & ~fresh & ~F.exists("calls", lambda f: shows(f, BODY_VALIDATION_CALL)))
+    rest = joins.first_of(joins.without(rest, one, ["repo_id", "instruction"]), ["repo_id", "instruction"], ["ord"])
+    sunk = p.sinks.where("sink = 'oracle_read'").select("repo_id").distinct()
+    rest = union(rest.where("framework <> 'anchor'"), joins.without(rest.where("framework = 'anchor'"), sunk, ["repo_id"]))
+    found = union(priced, candidate(rest, 21, "oracle_validation", "HIGH", 0.65, "%s: price is read without a test of its age"))
+    return rank.top_n(found, ["repo_id"], ["rule", "ord"], most, "__n").drop("__n")
+
+
+def _lines(instructions: DataFrame) -> DataFrame:
+    """Lines of functions (k from 0), with the number that each has in its file."""
+    rows = instructions.select("repo_id", "path", c("name").alias("instruction"), "ord", c("line").alias("first"), F.posexplode(F.split("excerpt", "\n", -1)).alias("k", "text"))
+    return rows.withColumn("line", c("first") + c("k"))
+
+
+def unowned_bytes(p: Parsed, most_structs: int = 5) -> DataFrame:
+    """In native repositories of few account structs: bytes read from an account whose owner the function never looks at, one row for
+    each account of a function."""
     many = p.structs.groupBy("repo_id").count().where(c("count") > most_structs).select("repo_id")
-    plain = joins.without(p.instructions.where("framework <> 'anchor'").select("*", c("name").alias("instruction")), many, ["repo_id"]).where(~c("body").rlike(r"\.owner\b|check_owner|owner_check|assert_owned_by"))
-    lines = plain.select("repo_id", "path", "instruction", "ord", c("line").alias("first"), F.posexplode(F.split("body", "\n", -1)).alias("k", "excerpt")).where(c("excerpt").rlike(r"try_from_slice|unpack(_unchecked)?\s*\(|deserialize\s*\(|from_bytes"))
-    lines = lines.withColumn("account", F.regexp_extract("excerpt", r"(\w+)\.(?:try_borrow_data|data\.borrow|data)\b", 1)).withColumn("line", c("first") + c("k")).withColumn("end_line", c("line"))
-    owners = candidate(joins.first_of(lines, ["repo_id", "instruction", "account"], ["ord", "k"]), 22, "missing_owner", "HIGH", 0.72, "%s: bytes are read from an account of unknown owner", F.filter(F.array("account"), lambda a: a != ""), False, "k")
-    # a call of another program, and in the lines after it a read of state that wasn't loaded again
-    rows = p.instructions.select("repo_id", "path", c("name").alias("instruction"), "ord", c("line").alias("first"), F.posexplode(F.split("body", "\n", -1)).alias("k", "excerpt"))
-    after = F.collect_list("excerpt").over(Window.partitionBy("repo_id", "path", "instruction", "ord").orderBy("k").rowsBetween(1, 29))
-    rows = rows.withColumn("after", F.array_join(after, "\n")).withColumn("line", c("first") + c("k")).withColumn("end_line", c("line"))
-    stale = rows.where(c("excerpt").rlike(r"invoke(_signed)?\s*\(|CpiContext::new|token::transfer") & c("after").rlike(r"\.(amount|lamports|balance|data)\b") & ~c("after").contains(".reload()"))
-    stale = candidate(joins.first_of(stale, ["repo_id", "instruction"], ["ord", "k"]), 23, "stale_read", "HIGH", 0.68, "%s: state is read after a call without reload", None, False, "k")
-    return union(prices, owners, stale)
+    plain = joins.without(p.instructions.where("framework <> 'anchor'"), many, ["repo_id"]).where(~shows(c("excerpt"), OWNER_CHECK))
+    rows = _lines(plain).where(~F.ltrim("text").startswith("//") & shows(c("text"), DESERIALIZE))
+    account = F.regexp_extract("text", r"let\s+(?:mut\s+)?(\w+)\s*=.*(?:unpack|deserialize|try_from)", 1)
+    rows = rows.withColumn("account", F.when(account != "", account).otherwise("unknown_account")).withColumn("end_line", c("line") + 1).withColumn("excerpt", F.trim("text"))
+    return candidate(joins.first_of(rows, ["repo_id", "instruction", "account"], ["ord", "k"]), 22, "missing_owner", "HIGH", 0.72, "%s: bytes are read from an account of unknown owner", F.array("account"), False, "k")
+
+
+def stale_reads(p: Parsed) -> DataFrame:
+    """A call of another program, and in the next 29 lines a read of state that nothing has loaded again: the first of each function,
+    with the first call of the repository that stands within two lines of it, in whatever file."""
+    order = Window.partitionBy("repo_id", "path", "instruction", "ord").orderBy("k")
+    after = F.array_join(F.collect_list("text").over(order.rowsBetween(1, 29)), "\n")
+    n_after = F.count("text").over(order.rowsBetween(1, 29))
+    rows = _lines(p.instructions).withColumn("after", after).withColumn("end_line", (c("line") + F.least(n_after, F.lit(10))).cast("int"))
+    rows = rows.where(~F.ltrim("text").startswith("//") & shows(c("text"), PROGRAM_CALL) & shows(c("after"), STATE_READ) & ~shows(c("after"), RELOAD))
+    first = joins.first_of(rows, ["repo_id", "instruction"], ["ord", "k"]).select("repo_id", "path", "instruction", "ord", "k", "line", "end_line", F.trim("text").alias("excerpt"))
+    calls = p.calls.select("repo_id", c("line").alias("call_line"), c("ord").alias("call_ord"), F.when(c("target") != "", c("target")).otherwise("unknown_program").alias("target"))
+    near = joins.band_first(first, calls, ["repo_id"], "line", "call_line", -2, 2, ["call_ord", "call_line", "target"], 4)
+    accounts = F.filter(F.array("target"), lambda x: x.isNotNull())
+    return candidate(near, 23, "stale_post_cpi", "HIGH", 0.68, "%s: state is read after a call without reload", accounts, False, "k")
+
+
+def third_generation(p: Parsed) -> DataFrame:
+    """Price, owner and stale-read candidates over the excerpts of bodies."""
+    return union(stale_prices(p), unowned_bytes(p), stale_reads(p))
 
 
 def keyed(candidates: DataFrame, prefix: str = "") -> DataFrame:
@@ -207,10 +265,43 @@ def graded(candidates: DataFrame, confirmations: DataFrame, proofs: DataFrame, l
     evidence = F.filter(F.array(F.when(F.size("accounts") > 0, F.concat(F.lit("accounts "), F.array_join("accounts", ", "))), F.when(c("linked"), F.lit("value-moving operation")), F.when(narrow, F.format_string("lines %d-%d", "line", "end_line")), F.when(c("origin") == "third", F.lit("third-generation rule"))), lambda x: x.isNotNull())
     some = F.size("evidence") > 0
     grade = F.when(proven, "A").when((verdict == "confirmed") & (c("sure") >= least_sure) & some, "B").when((verdict == "confirmed") | some, "C").otherwise("D")
-    rows = rows.withColumn("evidence", evidence).withColumn("grade", grade)
+    rows = rows.withColumn("evidence", evidence).withColumn("grade", grade).withColumn("uncapped", c("severity"))
     return rows.withColumn("severity", decide.capped_severity(c("severity"), c("grade"))).withColumn("evidence", F.array_join("evidence", "; "))
 
 
+def grade_distribution(rows: DataFrame) -> DataFrame:
+    """Findings of each grade and those whose severity their grade lowered, of each repository."""
+    g = c("grade")
+    return rows.groupBy("repo_id").agg(*[F.count_if(g == x).alias(x.lower()) for x in "ABCD"], F.count_if(c("severity") != c("uncapped")).alias("downgraded"))
+
+
+def status_counts(rows: DataFrame) -> DataFrame:
+    s = c("status")
+    return rows.groupBy("repo_id").agg(F.count("*").alias("total"), *[F.count_if(s == x).alias(x.lower()) for x in ("PROVEN", "LIKELY", "NEEDS_HUMAN", "REJECTED")])
+
+
+def not_rejected(rows: DataFrame) -> DataFrame:
+    return rows.where(c("status") != "REJECTED")
+
+
+def at_least(rows: DataFrame, severity: str) -> DataFrame:
+    """Rows as grave as `severity` or graver."""
+    return rows.where(decide.severity_rank(c("severity")) <= decide.severity_rank(F.lit(severity)))
+
+
+def proof_jobs(candidates: DataFrame, confirmations: DataFrame, sure: float = 0.85) -> DataFrame:
+    """Candidates that a proof is worth: confirmed ones, and where nobody has looked the sure and critical ones."""
+    rows = candidates.join(confirmations.select("repo_id", "id", "verdict"), ["repo_id", "id"], "left")
+    return rows.where((c("verdict") == "confirmed") | (c("verdict").isNull() & (c("confidence") >= sure) & (c("severity") == "CRITICAL")))
+
+
+def fallback_topk(candidates: DataFrame, most: int) -> DataFrame:
+    """The first `most` of each repository by severity (100, 50, 10) plus 40 times the confidence; equal ones by id."""
+    s = c("severity")
+    score = F.when(s == "CRITICAL", 100).when(s == "HIGH", 50).otherwise(10) + c("confidence") * 40.0
+    return rank.top_n(candidates.drop("rank"), ["repo_id"], [score.desc(), "id"], most)
+
+
 def dispatch_names(p: Parsed) -> DataFrame:
     """(repo_id, instruction, names): under which variants of a dispatch table a function is called, in order; a dispatcher that isn't
     called from one itself has all of its variants."""

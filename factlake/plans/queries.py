@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -224,13 +225,22 @@ def left_1to1(spark, d):
 
 @query("""SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)""")
 def substring_theta(spark, d):
-    # a text that holds the whole item holds its first words too: equal keys first, then the test
-    words, n = F.split("text", r"\s+"), 8
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(words, 2, n), " ").alias("gram"), F.size(words).alias("size"))
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("w", words)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    long = docs.select("doc_id", "text", F.explode(grams).alias("gram")).join(items.where(F.col("size") > n + 1), "gram").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
-    short = items.where(F.col("size") <= n + 1)
+    # a text that holds the whole item holds the words within it too: hashes of runs of words meet first, without the texts, and
+    # only texts of hits are tested. Items of one or two words have none within and are searched in each text.
+    words, most = F.split("text", r"\s+"), 8
+    n = F.least(F.size(words) - 2, F.lit(most))
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), n.alias("n"), F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.greatest(n, F.lit(0))), " ")).alias("gram"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    sizes = [r.n for r in items.where("n > 0").select("n").distinct().collect()]  # eight values at most
+
+    def runs(n: int):
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))
+
+    grams = reduce(DataFrame.unionByName, [docs.select("doc_id", words.alias("w")).select("doc_id", F.lit(n).alias("n"), F.explode(runs(n)).alias("gram")) for n in sizes] or [docs.select("doc_id", F.lit(0).alias("n"), F.lit(0).cast("long").alias("gram")).limit(0)])
+    hits = grams.join(items.select("item_id", "n", "gram"), ["n", "gram"]).select("doc_id", "item_id").distinct()
+    long = hits.join(items.select("item_id", "item"), "item_id").join(docs, "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    short = items.where("n <= 0").select("item_id", "item")
     return long.unionByName(docs.join(short, docs.text.contains(short.item)).select("item_id", "doc_id"))
 
 
@@ -386,14 +396,15 @@ def graph_build(spark, d):
     return graph.counts(edges)
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT w.root, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node) SELECT root, node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY root, node""")
+@query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth, 'r' || r_regionkey AS path FROM region UNION SELECT w.root, e.dst, w.depth + 1, w.path || '>' || e.dst FROM w JOIN e ON e.src = w.node) SELECT root, node, CAST(min(depth) AS INT) AS depth, arg_min(path, (depth, path)) AS path FROM w GROUP BY root, node""")
 def graph_reach(spark, d):
     def named(letter, column):
         return F.concat(F.lit(letter), F.col(column).cast("string"))
 
     edges = table(spark, d, "nation").select(named("r", "n_regionkey").alias("src"), named("n", "n_nationkey").alias("dst"))
     edges = edges.unionByName(table(spark, d, "customer").select(named("n", "c_nationkey").alias("src"), named("c", "c_custkey").alias("dst")))
-    return graph.reach(edges, table(spark, d, "region").select(named("r", "r_regionkey").alias("node")))
+    found = graph.reach(edges, table(spark, d, "region").select(named("r", "r_regionkey").alias("node")))
+    return found.select("root", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
 # ---- states ----------------------------------------------------------------------------------------------
@@ -447,7 +458,7 @@ def line_verdicts(spark, d):
 # ---- without SQL -----------------------------------------------------------------------------------------
 
 
-@query()
+@query("""SELECT event_id, json(props)::VARCHAR AS fixed FROM events""")
 def json_repair(spark, d):
     from ..functions.scalars import repair_json
 
@@ -455,13 +466,18 @@ def json_repair(spark, d):
     return broken.select("event_id", repair_json("reply").alias("fixed"))
 
 
-@query()
+_EXPECTED = "(SELECT source, doc_id // 400 AS block, doc_id AS e_ord, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"
+_OPTIONS = f"""(SELECT e.source, e.block, e.n, e.e_ord, list(struct_pack(less := -(1.0::DOUBLE / (1.0::DOUBLE + abs(e.e_ord - a.doc_id) / 500.0::DOUBLE)), a_ord := a.doc_id) ORDER BY abs(e.e_ord - a.doc_id), a.doc_id) FILTER (WHERE a.doc_id IS NOT NULL) AS options FROM {_EXPECTED} e LEFT JOIN (SELECT source, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 0) a ON a.source = e.source AND a.doc_id // 400 = e.block AND 1.0::DOUBLE / (1.0::DOUBLE + abs(e.e_ord - a.doc_id) / 500.0::DOUBLE) > 0.8 GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT * FROM {_OPTIONS}), w AS (SELECT source, block, 0::BIGINT AS n, NULL::BIGINT AS e_ord, NULL::STRUCT(less DOUBLE, a_ord BIGINT) AS best, []::BIGINT[] AS used FROM o WHERE n = 1 UNION ALL SELECT source, block, n, e_ord, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.a_ord) END AS used FROM (SELECT o.source, o.block, o.n, o.e_ord, w.used, list_filter(o.options, lambda x: NOT list_contains(w.used, x.a_ord))[1] AS best FROM w JOIN o ON o.source = w.source AND o.block = w.block AND o.n = w.n + 1)) SELECT source, block, e_ord, best.a_ord AS a_ord, -best.less AS score FROM w WHERE best IS NOT NULL""")
 def greedy_match(spark, d):
-    docs = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    e = docs.where("toxic = 1").select("source", F.col("doc_id").alias("e_ord"))
-    a = docs.where("quality = 0").select("source", F.col("doc_id").alias("a_ord"))
-    scores = e.join(a, "source").withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("e_ord") - F.col("a_ord")) / F.lit(500.0)))
-    return joins.greedy_match(e, scores, ["source"], 0.6)
+    # groups of 400 ids of a source, as small as the findings of one repository: the pairs of a group are bounded
+    docs = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("block", F.floor(F.col("doc_id") / 400))
+    e = docs.where("toxic = 1").select("source", "block", F.col("doc_id").alias("e_ord"))
+    a = docs.where("quality = 0").select("source", "block", F.col("doc_id").alias("a_ord"))
+    scores = e.join(a, ["source", "block"]).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("e_ord") - F.col("a_ord")) / F.lit(500.0)))
+    return joins.greedy_match(e, scores, ["source", "block"], 0.8)
 
 
 @query()
@@ -472,9 +488,16 @@ def text_diff(spark, d):
     return docs.select("doc_id", unified_diff("text", F.regexp_replace("text", "the", "THE")).alias("diff"))
 
 
+def _modules() -> None:
+    """Registers the queries of the rules, which are written with this module's decorator."""
+    from . import audit_queries, candidate_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _modules()
     return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
+    _modules()
     return dict(_SQL)

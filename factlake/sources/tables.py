@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the folder that spark.checkpoint.dir names, and read back: its lineage is cut, and lost executors
+    cost nothing that was written. Where the folder is unset a local session gets a temporary one; on a cluster that is an error."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="factlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def source_files(spark: SparkSession, root: str, pattern: str = "*.rs", pruned: tuple[str, ...] = PRUNED, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, length, content) of the files below root, however deep, that match the pattern. The size limit reaches the
     scan, so large files aren't opened."""
@@ -35,6 +54,30 @@ def framework(sources: DataFrame, manifests: DataFrame, repo: str = "repo_id", p
     return named.join(native, repo, "full").select(repo, F.when(F.col("anchor"), "anchor").when(F.col("native"), "native").otherwise("unknown").alias("framework"))
 
 
+def program_name(manifests: DataFrame, directory: str = "directory") -> DataFrame:
+    """(repo_id, program): the first manifest's name, by path, that doesn't hold `test`, else the last part of the directory. manifests:
+    repo_id, path, content, directory; a repository without a manifest has a row with null content."""
+    name = F.regexp_extract(F.coalesce("content", F.lit("")), r'name\s*=\s*"([^"]+)"', 1)
+    rows = manifests.withColumn("__name", F.when((name != "") & ~name.contains("test"), name))
+    found = rows.groupBy("repo_id").agg(F.min(F.when(F.col("__name").isNotNull(), F.struct("path", "__name"))).alias("x"), F.min(directory).alias("d"))
+    return found.select("repo_id", F.coalesce("x.__name", F.element_at(F.split("d", "/"), -1)).alias("program"))
+
+
+def program_id(files: DataFrame) -> DataFrame:
+    """(repo_id, program_id): of the first file by path that declares one; repositories without one are left out."""
+    found = F.regexp_extract("content", r'declare_id!\s*\(\s*"([^"]+)"\s*\)', 1)
+    rows = files.select("repo_id", "path", found.alias("program_id")).where("program_id <> ''")
+    return rows.groupBy("repo_id").agg(F.min_by("program_id", "path").alias("program_id"))
+
+
+def put_objects(df: DataFrame, path: str, job: str, key: str, body: str) -> DataFrame:
+    """Stores bodies by job and key, one folder for each job, and returns (job, key, size in bytes). A later write of a key is found
+    by latest(); the rows are written before they are returned."""
+    rows = df.select(F.col(job).alias("job"), F.col(key).alias("key"), F.octet_length(body).cast("long").alias("size"), F.col(body).alias("body"))
+    rows.write.mode("append").partitionBy("job").parquet(path)
+    return rows.select("job", "key", "size")
+
+
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
     """Adds rows to a Parquet table, one folder for each value of `by`."""
     writer = df.write.mode("append")
