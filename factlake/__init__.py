@@ -1,0 +1,10 @@
+"""Static analysis of contract sources and preparation of training text on Spark.
+
+The public names: `audit` (ranked findings of source files), `rules.rule` (registers a rule), `rules.constraint` (registers a
+constraint), `candidates` (second and third generation), `graphs`, `evaluate`, `reports`, `rollups`, and the sources and sinks."""
+
+from .plans import candidates, evaluate, graphs, reports, rollups, rules
+from .plans.rules import audit, constraint, rule
+from .sources.tables import Store, append, latest, put_objects, source_files, table
+
+__all__ = ["Store", "append", "audit", "candidates", "constraint", "evaluate", "graphs", "latest", "put_objects", "reports", "rollups", "rule", "rules", "source_files", "table"]

@@ -83,6 +83,21 @@ def repair_json(text: pd.Series) -> pd.Series:
     return text.map(repaired)
 
 
+def repaired_loosely(text: str | None) -> str | None:
+    """The same, and where nothing makes the text valid the fields title, impact and exploitability that it shows, if it shows one of the
+    first two."""
+    out = repaired(text)
+    if out is not None or text is None:
+        return out
+    shown = {k: m[1] if (m := re.search(rf'"{k}"\s*:\s*"([^"]+)"', text)) else d for k, d in (("title", ""), ("impact", ""), ("exploitability", "unknown"))}
+    return json.dumps(shown, separators=(",", ":"), ensure_ascii=False) if shown["title"] or shown["impact"] else None
+
+
+@F.pandas_udf(StringType())
+def repair_loosely(text: pd.Series) -> pd.Series:
+    return text.map(repaired_loosely)
+
+
 @F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else "\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), "before", "after", lineterm="", n=3)) for a, b in zip(before, after)])

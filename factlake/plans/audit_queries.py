@@ -6,6 +6,7 @@ The lists are the same literals on both sides; what the rules make of them is wr
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +54,13 @@ def _struct(x: dict) -> str:
     return "{" + ", ".join(f"'{k}': {'NULL' if v is None else _text(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else v if not isinstance(v, list) else _listed(v)}" for k, v in x.items()) + "}"
 
 
-def _pick(values: list, kind: str, place: str) -> tuple[Column, str]:
-    """The value at a place of part's key, for Spark and for SQL."""
-    empty = f"CAST({_listed(values)} AS {_DUCK[kind]}[])"
-    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.expr(place.replace("//", " DIV ")).cast("int") % len(values)), f"({empty})[1 + ({place}) % {len(values)}]"
+def _pick(values: list, kind: str, place: str) -> tuple[Callable[[], Column], str]:
+    """The value at a place of part's key, for Spark (made when a session is there) and for SQL."""
+
+    def column() -> Column:
+        return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.expr(place.replace("//", " DIV ")).cast("int") % len(values))
+
+    return column, f"(CAST({_listed(values)} AS {_DUCK[kind]}[]))[1 + ({place}) % {len(values)}]"
 
 
 _ACCOUNT = "array<struct<name:string,is_signer:boolean,is_mut:boolean>>"
@@ -103,11 +107,11 @@ def _facts(spark, d) -> rules.Facts:
     place = [repo, F.concat(F.lit("f"), (k % 2).cast("string"), F.lit(".rs")).alias("path"), (10 * F.floor(k / 7) + 1).cast("int").alias("line"), F.lpad(k.cast("string"), 9, "0").alias("ord")]
 
     def made(name: str, *more: Column) -> DataFrame:
-        return part.select(k.alias("k"), *place, *(c.alias(n) for n, (c, _) in _COLUMNS[name].items()), *more)
+        return part.select(k.alias("k"), *place, *(c().alias(n) for n, (c, _) in _COLUMNS[name].items()), *more)
 
     ix = made("ix", (10 * F.floor(k / 7) + 6).cast("int").alias("end_line"))
     ix = ix.withColumn("arithmetic", F.transform("sums", lambda s: F.struct((F.col("line") + s["off"]).alias("line"), s["op"].alias("op"), s["checked"].alias("checked")))).drop("sums", "k")
-    kinds = part.select(repo, _COLUMNS["kinds"]["framework"][0].alias("framework")).distinct()
+    kinds = part.select(repo, _COLUMNS["kinds"]["framework"][0]().alias("framework")).distinct()
     return rules.Facts(made("files").select("repo_id", "path", "content", "ord"), kinds, ix, made("structs").drop("k"), made("cpis", (k % 5 == 0).alias("validated")).drop("k"), made("pdas").drop("k"))
 
 

@@ -80,7 +80,7 @@ def _parsed(spark, d) -> candidates.Parsed:
     ]
 
     def made(name: str, *more) -> DataFrame:
-        return part.select(*place, *(c.alias(n) for n, (c, _) in _COLUMNS[name].items()), *more)
+        return part.select(*place, *(c().alias(n) for n, (c, _) in _COLUMNS[name].items()), *more)
 
     none = F.lit("").alias("excerpt")
     ins = made("ins").withColumn("body", F.col("excerpt")).withColumn("params", F.lit(""))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,24 +74,77 @@ def with_first(findings: DataFrame, other: DataFrame, value: str) -> DataFrame:
     return findings.join(joins.earliest(hit.select("repo_id", "title", "ord", value), ["repo_id", "title"], ["ord"]).drop("ord"), ["repo_id", "title"], "left")
 
 
-_EDITS = {
-    1: lambda x: re.sub(r"AccountInfo<'info>", "Signer<'info>", x), 2: lambda x: re.sub(r"UncheckedAccount<'info>", "Account<'info, Checked>", x), 9: lambda x: re.sub(r"(\w[\w.]*)\s*-\s*(\w[\w.]*)\s*;", r"\1.checked_sub(\2).ok_or(Overflow)?;", re.sub(r"(\w[\w.]*)\s*\+\s*(\w[\w.]*)\s*;", r"\1.checked_add(\2).ok_or(Overflow)?;", x)),
+@dataclass(frozen=True)
+class Edit:
+    """A line edit: of the lines from `before` above a finding to `after` below it, the first that fits and isn't guarded already gets lines
+    above and below it, or is changed."""
+
+    before: int
+    after: int
+    fits: Callable[[str], bool]
+    guarded: Callable[[list[str], int], bool] = lambda rows, k: False
+    change: Callable[[str], str] = lambda line: line
+    above: Callable[[list[str], int], list[str]] = lambda rows, k: []
+    below: Callable[[list[str], int], list[str]] = lambda rows, k: []
+
+    def apply(self, rows: list[str], at: int) -> tuple[int, list[str], str, list[str]] | None:
+        """Which line is edited, what comes above it, what it becomes and what comes below it; None if nothing changes."""
+        for k in range(max(0, at - self.before), min(len(rows), at + self.after + 1)):
+            if self.fits(rows[k]) and not self.guarded(rows, k):
+                indent = re.match(r"\s*", rows[k])[0]
+                above, below = ([indent + x for x in make(rows, k)] for make in (self.above, self.below))
+                new = self.change(rows[k])
+                return (k, above, new, below) if above or below or new != rows[k] else None
+        return None
+
+
+def _near(rows: list[str], first: int, last: int, *words: str) -> bool:
+    """Whether the rows [first, last) show all words."""
+    text = "\n".join(rows[max(0, first) : last])
+    return all(w in text for w in words)
+
+
+def _says(*words: str) -> Callable[[str], bool]:
+    return lambda line: any(w in line for w in words)
+
+
+def _signed(line: str) -> str:
+    return line.replace("#[account(", "#[account(signer, ", 1) if "#[account(" in line else re.sub(r"(Account|Unchecked|System)\w*<'info>", "Signer<'info>", line)
+
+
+def _checked(line: str) -> str:
+    for sign, name in (("+", "add"), ("-", "sub"), ("*", "mul"), ("/", "div")):
+        line = re.sub(rf"(\w[\w.]*)\s*\{sign}\s*(\w[\w.]*)(?!\s*\))", rf"\1.checked_{name}(\2).ok_or(Overflow)?", line)
+    return line
+
+
+def _read_next(rows: list[str], k: int) -> list[str]:
+    m = re.search(r"ctx\.accounts\.(\w+)", "\n".join(rows[k + 1 : k + 10]))
+    return [f"ctx.accounts.{m[1]}.reload()?;"] if m else []
+
+
+#: Edits by class of finding; the others get a note.
+EDITS = {
+    1: Edit(0, 0, _says("AccountInfo<'info>", "UncheckedAccount<'info>", "#[account("), lambda r, k: "signer" in r[k], _signed), 2: Edit(0, 0, lambda x: "#[account(" in x and "has_one" not in x and "owner" not in x, change=lambda x: x.replace("#[account(", "#[account(has_one = authority, ", 1)),
+    3: Edit(5, 4, lambda x: "seeds" in x and "=" in x and "]" in x, lambda r, k: _near(r, k, k + 5, "bump"), lambda x: x.replace("]", "], bump", 1)), 4: Edit(2, 4, _says("invoke", "CpiContext"), lambda r, k: _near(r, k - 5, k, "require!", "InvalidProgram"), above=lambda r, k: ["require!(target_program.key() == EXPECTED_PROGRAM, InvalidProgram);"]),
+    5: Edit(0, 0, lambda x: "AccountInfo<'info>" in x and "Account<" not in x, change=lambda x: x.replace("AccountInfo<'info>", "Account<'info, Checked>", 1)), 6: Edit(5, 4, lambda x: "#[account(" in x and "init" in x, lambda r, k: _near(r, k, k + 5, "constraint", "initialized"), below=lambda r, k: ["    constraint = !account.is_initialized @ AlreadyInitialized,"]),
+    7: Edit(3, 9, lambda x: "close" in x or ("lamports()" in x and "= 0" in x), lambda r, k: _near(r, k + 1, k + 5, "fill(0)") or _near(r, k + 1, k + 5, "discriminator"), below=lambda r, k: ["account.try_borrow_mut_data()?.fill(0);"]), 9: Edit(0, 0, lambda x: not x.lstrip().startswith("//"), change=_checked),
+    14: Edit(2, 4, _says("invoke", "transfer", "CpiContext"), lambda r, k: not _read_next(r, k) or _near(r, k + 1, k + 3, ".reload()"), below=_read_next),
 }
 
 
 def patched(content: str, findings: list[tuple[int, int, str]]) -> str:
-    """Applies line edits (class, line from 1, note) in their order; edits stack, and a class without an edit gets a note above the line."""
-    rows, shift = content.split("\n"), 0
+    """Applies the edits of findings (class, line from 1, note) in their order. Edits of a file stack: a finding's place moves with the
+    lines that earlier ones have added above it. A class without an edit, or one that finds nothing to do, gets a note above the line."""
+    rows = content.split("\n")
+    place = list(range(len(rows)))  # where each line of the content stands now
     for kind, line, note in findings:
-        at = line - 1 + shift
-        if not 0 <= at < len(rows):
+        if not 0 < line <= len(place):
             continue
-        edit = _EDITS.get(kind)
-        if edit and (new := edit(rows[at])) != rows[at]:
-            rows[at] = new
-        else:
-            rows.insert(at, f"// TODO: {note}")
-            shift += 1
+        at = place[line - 1]
+        k, above, new, below = (kind in EDITS and EDITS[kind].apply(rows, at)) or (at, [f"// TODO: {note}"], rows[at], [])
+        rows[k : k + 1] = [*above, new, *below]
+        place = [p + len(above) * (p >= k) + len(below) * (p > k) for p in place]
     return "\n".join(rows)
 
 

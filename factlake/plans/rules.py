@@ -32,6 +32,7 @@ def gather(files: DataFrame, manifests: DataFrame | None = None) -> Facts:
     return Facts(files, kinds, facts.instructions(files, kinds), facts.account_structs(files), facts.cpi_calls(files), facts.pda_derivations(files))
 
 
+# Fixed values from here on: the names of the classes, the words that each rule looks for, and its severities and confidences.
 RULES: dict[int, tuple[str, Callable[[Facts], DataFrame]]] = {}
 
 
@@ -209,20 +210,46 @@ def detect(f: Facts, numbers: list[int] | None = None) -> DataFrame:
 # ---- constraints and permutations ------------------------------------------------------------------------
 
 
-def violations(f: Facts) -> DataFrame:
-    """(repo_id, kind, subject, severity, message, ord) of constraints that don't hold."""
+CONSTRAINTS: dict[str, tuple[int, Callable[[Facts], DataFrame]]] = {}
+
+
+def constraint(kind: str, class_id: int):
+    """Registers a constraint: it gives (repo_id, kind, subject, severity, message, ord) of what doesn't hold."""
+
+    def add(f):
+        CONSTRAINTS[kind] = class_id, f
+        return f
+
+    return add
+
+
+def violations(f: Facts, kinds: list[str] | None = None) -> DataFrame:
+    """Violations of the constraints named, in the order in which they were registered; by default of all."""
+    return both(*(CONSTRAINTS[k][1](f) for k in kinds or CONSTRAINTS))
+
+
+@constraint("authority_chain", 1)
+def authority_chain(f: Facts) -> DataFrame:
     one = each_account(f.instructions, lambda a: a["is_mut"] & ~a["name"].contains("system_program") & ~a["name"].contains("token_program"))
     one = one.where(~F.exists("accounts", lambda a: a["is_signer"]))
     name = c("account.name")
     linked = body("has_one") | F.regexp_like("body", F.concat(F.lit("constraint.*"), name, F.lit(".*(authority|owner)")))
     chain = one.where(~linked).select("repo_id", F.lit("authority_chain").alias("kind"), F.concat_ws("::", "name", name).alias("subject"), F.lit("HIGH").alias("severity"), F.format_string("'%s' of %s is changed without a verified authority", name, "name").alias("message"), F.concat_ws("#", F.lit("0"), "ord", F.lpad(c("n").cast("string"), 6, "0")).alias("ord"))
+    return chain
+
+
+@constraint("pda_consistency", 3)
+def pda_consistency(f: Facts) -> DataFrame:
     seeds = F.array_join(F.array_sort(F.transform("seeds", lambda s: F.regexp_replace(s, r"\s", ""))), "|")
     grouped = f.pdas.withColumn("set", seeds).groupBy("repo_id", "set").agg(F.array_sort(F.collect_set("bump")).alias("modes"), F.min("ord").alias("first")).where(F.size("modes") > 1)
-    pda = grouped.select("repo_id", F.lit("pda_consistency").alias("kind"), c("set").alias("subject"), F.lit("HIGH").alias("severity"), F.format_string("Address of seeds [%s] is derived with bumps %s", "set", F.array_join("modes", ", ")).alias("message"), F.concat_ws("#", F.lit("1"), "first").alias("ord"))
+    return grouped.select("repo_id", F.lit("pda_consistency").alias("kind"), c("set").alias("subject"), F.lit("HIGH").alias("severity"), F.format_string("Address of seeds [%s] is derived with bumps %s", "set", F.array_join("modes", ", ")).alias("message"), F.concat_ws("#", F.lit("1"), "first").alias("ord"))
+
+
+@constraint("balance_conservation", 9)
+def balance_conservation(f: Facts) -> DataFrame:
     moved = f.instructions.where(body("try_borrow_mut_lamports") | (body("lamports") & body("+=")))
     ups, downs = F.regexp_count("body", F.lit(r"lamports\(\).*\+=")), F.regexp_count("body", F.lit(r"lamports\(\).*-="))
-    balance = moved.where(ups != downs).select("repo_id", F.lit("balance_conservation").alias("kind"), c("name").alias("subject"), F.lit("MEDIUM").alias("severity"), F.format_string("%s adds lamports %d times and takes them %d times", "name", ups, downs).alias("message"), F.concat_ws("#", F.lit("2"), "ord").alias("ord"))
-    return both(chain, pda, balance)
+    return moved.where(ups != downs).select("repo_id", F.lit("balance_conservation").alias("kind"), c("name").alias("subject"), F.lit("MEDIUM").alias("severity"), F.format_string("%s adds lamports %d times and takes them %d times", "name", ups, downs).alias("message"), F.concat_ws("#", F.lit("2"), "ord").alias("ord"))
 
 
 def permutations(f: Facts) -> DataFrame:
@@ -245,7 +272,8 @@ def with_constraints(findings: DataFrame, f: Facts) -> DataFrame:
     """findings, then violations that none of them covers (same function and class), then notes for critical permutations of
     functions without a critical finding."""
     kind = c("kind")
-    found = violations(f).withColumn("class_id", F.when(kind == "authority_chain", 1).when(kind == "pda_consistency", 3).when(kind == "balance_conservation", 9).otherwise(0)).withColumn("instruction", F.element_at(F.split("subject", "::"), 1))
+    class_id = reduce(lambda x, k: x.when(kind == k, CONSTRAINTS[k][0]), CONSTRAINTS, F.when(F.lit(False), 0)).otherwise(0)
+    found = violations(f).withColumn("class_id", class_id).withColumn("instruction", F.element_at(F.split("subject", "::"), 1))
     # of balance rows a later one is covered by an earlier one of the same function
     fresh = joins.without(found, findings, ["repo_id", "instruction", "class_id"])
     again = joins.first_of(fresh.where(kind == "balance_conservation"), ["repo_id", "subject"], ["ord"])

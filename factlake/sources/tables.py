@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,25 @@ def put_objects(df: DataFrame, path: str, job: str, key: str, body: str) -> Data
     return rows.select("job", "key", "size")
 
 
+class Store(Protocol):
+    """Where objects go: anything that takes rows of (job, key, body) and gives back (job, key, size). ParquetStore is the one here."""
+
+    def put(self, rows: DataFrame) -> DataFrame: ...
+
+    def read(self) -> DataFrame: ...
+
+
+class ParquetStore:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        return put_objects(rows, self.path, "job", "key", "body")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
     """Adds rows to a Parquet table, one folder for each value of `by`."""
     writer = df.write.mode("append")

@@ -58,3 +58,23 @@ def test_documents(facts):
 def test_difference(spark):
     a, b = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "d"), (4, "e")]))
     assert {(r.k, r.change) for r in graphs.difference(a, b, ["k"]).collect()} == {(1, "removed"), (3, "modified"), (4, "added")}
+
+
+EDITED = [
+    (1, "pub a: AccountInfo<'info>,", "pub a: Signer<'info>,"), (1, "    #[account(mut)]", "    #[account(signer, mut)]"), (2, "#[account(mut)]", "#[account(has_one = authority, mut)]"), (3, "seeds = [b\"x\"]", "seeds = [b\"x\"], bump"),
+    (4, "  invoke(&ix)?;", "  require!(target_program.key() == EXPECTED_PROGRAM, InvalidProgram);\n  invoke(&ix)?;"), (5, "pub a: AccountInfo<'info>,", "pub a: Account<'info, Checked>,"), (6, " #[account(init)]", " #[account(init)]\n     constraint = !account.is_initialized @ AlreadyInitialized,"),
+    (7, "close(a);", "close(a);\naccount.try_borrow_mut_data()?.fill(0);"), (9, "let x = a + b;", "let x = a.checked_add(b).ok_or(Overflow)?;"), (14, "invoke(x)?;\nctx.accounts.vault;", "invoke(x)?;\nctx.accounts.vault.reload()?;\nctx.accounts.vault;"),
+    (8, "a", "// TODO: note\na"), (3, "seeds = [a]; bump", "// TODO: note\nseeds = [a]; bump"),
+]
+
+
+@pytest.mark.parametrize("kind, before, after", EDITED)
+def test_edits(kind, before, after):
+    assert reports.patched(before, [(kind, 1, "note")]) == after
+
+
+def test_edits_stack():
+    """Places of later findings move with the lines that earlier edits add above them, and not with those below."""
+    text = "invoke(a)?;\nlet x = a + b;\nclose(c);\nlet y = c - d;"
+    got = reports.patched(text, [(7, 3, ""), (4, 1, ""), (9, 4, ""), (9, 2, ""), (9, 99, "")])
+    assert got == "require!(target_program.key() == EXPECTED_PROGRAM, InvalidProgram);\ninvoke(a)?;\nlet x = a.checked_add(b).ok_or(Overflow)?;\nclose(c);\naccount.try_borrow_mut_data()?.fill(0);\nlet y = c.checked_sub(d).ok_or(Overflow)?;"
