@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import shared_path
 
 
 def counts(edges: DataFrame) -> DataFrame:
@@ -24,18 +22,20 @@ def reach(edges: DataFrame, start: DataFrame, order: str | None = None) -> DataF
     column `order` (by default of dst).
 
     Each round joins only the nodes that the round before found, and leaves out those already known. Rounds go on until one finds
-    none; each is written to the shared folder."""
+    none; each adds its rows to one table in the shared folder."""
     edges = edges.groupBy("src", "dst").agg(F.min(F.col(order or "dst").cast("string" if order is None else edges.schema[order].dataType)).alias("ord"))
     front = start.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast(edges.select(F.array("ord").alias("x")).schema["x"].dataType).alias("place")).distinct()
-    rounds = [front]
+    spark, path, schema, depth = edges.sparkSession, shared_path(edges.sparkSession, "reach"), front.schema, 0
     while True:
-        found = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("place", F.array("ord")).alias("place"))
-        found = found.groupBy("root", "node", "depth").agg(F.min(F.struct("place", "path")).alias("x")).select("root", "node", "depth", "x.path", "x.place")
-        known = reduce(DataFrame.unionByName, (r.select("root", "node") for r in rounds))
-        front = written(found.join(known, ["root", "node"], "left_anti"), "reach")
+        front.write.mode("append").parquet(path)
+        known = spark.read.schema(schema).parquet(path)  # the files that are there now
+        front = known.where(F.col("depth") == depth)
         if front.isEmpty():
-            return reduce(DataFrame.unionByName, rounds).drop("place")
-        rounds.append(front)
+            return known.drop("place")
+        depth += 1
+        found = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("place", F.array("ord")).alias("place"))
+        found = found.groupBy("root", "node").agg(F.min(F.struct("place", "path")).alias("x")).select("root", "node", F.lit(depth).alias("depth"), "x.path", "x.place")
+        front = found.join(known.select("root", "node"), ["root", "node"], "left_anti")
 
 
 def collisions(df: DataFrame, key: str, items: str) -> DataFrame:

@@ -18,10 +18,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the folder that spark.checkpoint.dir names, and read back: its lineage is cut, and lost executors
-    cost nothing that was written. Where the folder is unset a local session gets a temporary one; on a cluster that is an error."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset a local session gets a temporary one; on a cluster it
+    is an error, as each machine would write to its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -29,9 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="factlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def source_files(spark: SparkSession, root: str, pattern: str = "*.rs", pruned: tuple[str, ...] = PRUNED, most_bytes: int = MOST_BYTES) -> DataFrame:
