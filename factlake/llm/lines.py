@@ -414,7 +414,8 @@ def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     lost = materialize(dropped_lines(docs, edits, min_chars, id_col, text_col, short), "lines-lost")
     lost = lost.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"), F.col("first_docs").alias("__first"))
     out = docs.withColumn("__text_hash", _text_hash(text_col))
-    out = out.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    # what is lost follows the documents and has no bound: never broadcast
+    out = out.join(lost.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
 
     def kept(lines: Column) -> Column:
         numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
