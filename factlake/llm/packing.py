@@ -86,7 +86,7 @@ class Chunks:
             coded = self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False)
             new.update((x, struct.pack(f"<{len(i)}I", *i)) for x, i in zip(odd, (c.ids for c in coded)))
         get = new.__getitem__
-        self.held += sum(len(x) + len(get(x)) for x in added) + ENTRY * len(added)
+        self.held += sum(map(len, added)) + sum(map(len, map(get, added))) + ENTRY * len(added)
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 

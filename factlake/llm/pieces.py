@@ -268,7 +268,7 @@ class Codec:
                 if x != struct.pack(f"<{len(ids)}I", *ids):
                     raise ValueError(f"the sentencepiece library encodes {s!r} otherwise")
         new.update(zip(missing, found))
-        self.held += sum(len(s) + len(new[s]) for s in added) + ENTRY * len(added)
+        self.held += sum(map(len, added)) + sum(map(len, map(new.__getitem__, added))) + ENTRY * len(added)
         get, b, e = new.__getitem__, struct.pack("<I", self.v.bos), struct.pack("<I", self.v.eos)
         return [b"".join([b, *map(get, segs), e]) for segs in cut]
 
