@@ -62,21 +62,28 @@ def template_rows(templates: list[tuple[str, str]], least: float) -> list[dict]:
     return out
 
 
-def signal_words(rows: list[dict], least: float) -> list[str]:
-    """Words of which every match of any template has one: a match shares least / (2 - least) of a template's bigrams at
+def signal_bigrams(rows: list[dict], least: float) -> list[str]:
+    """Bigrams of which every match of any template has one: a match shares least / (2 - least) of a template's bigrams at
     least, so it has one of any n - that + 1 of them, and these are chosen with the longest words."""
     out = set()
     for t in rows:
-        own = sorted(t["own"], key=lambda b: (-max(map(len, b.split())), b))
-        for b in own[: t["n"] - t["lo"] + 1]:
-            out.add(max(b.split(), key=len))
+        own = sorted(t["own"], key=lambda b: (-min(map(len, b.split())), -len(b), b))
+        out.update(own[: t["n"] - t["lo"] + 1])
     return sorted(out)
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.filter(F.split(unit, " "), lambda w: w != "")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: what a lambda names more than once is computed each time otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _pairs(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _bigrams(unit: Column) -> Column:
+    return F.array_distinct(_let(F.filter(F.split(unit, " "), lambda w: w != ""), _pairs))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,18 +91,23 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     ones by name), licenses (all matched, sorted, comma-joined).
 
     Units are a text's lines, its paragraphs and the whole of it, each once. Texts are lower-cased, and what isn't a-z or 0-9
-    parts words. Null and empty texts, and those with no match, have 0, null, null and an empty string. There is no shuffle:
-    all is decided in the row, and texts without a signal word go no further than that test."""
+    parts words. Null and empty texts, and those with no match, have 0, null, null and an empty string; repeated rows give repeated
+    rows, an empty table none; other columns aren't read. There is no shuffle: all is decided in the row. Texts, and then units, that hold
+    none of the signal bigrams go no further than that test, whose cost follows the length of the text."""
     rows = template_rows(templates or TEMPLATES, least)
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,own:array<string>,n:int,lo:int,hi:int>>")
     clean = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[^a-z0-9\n]+", " ")
     whole = F.translate("clean", "\n", " ")
     low, high = min(t["lo"] for t in rows), max(t["hi"] for t in rows)
-    some = F.arrays_overlap(F.split(whole, " "), F.array(*map(F.lit, signal_words(rows, least))))
+    signals = signal_bigrams(rows, least)
+    signs = F.from_json(F.lit(json.dumps(signals)), "array<string>")
+    # first by words, of which each signal has two, then by the bigrams of the whole text: a unit's are among them
+    firsts = F.from_json(F.lit(json.dumps(sorted({max(b.split(), key=len) for b in signals}))), "array<string>")
+    some = _let(F.split(whole, " "), lambda words: F.arrays_overlap(words, firsts) & F.arrays_overlap(_let(F.filter(words, lambda w: w != ""), _pairs), signs))
     units = F.array_distinct(F.transform(
         F.concat(F.split("clean", "\n"), F.split("clean", "\n ?\n[ \n]*"), F.array(F.col("clean"))), lambda u: F.trim(F.regexp_replace(F.translate(u, "\n", " "), " +", " "))
     ))
-    sized = F.filter(F.transform(units, _bigrams), lambda b: (F.size(b) >= max(low, 1)) & (F.size(b) <= high))
+    sized = F.filter(F.transform(units, _bigrams), lambda b: (F.size(b) >= max(low, 1)) & (F.size(b) <= high) & F.arrays_overlap(b, signs))
 
     def scores(b: Column) -> Column:
         fit = F.filter(table, lambda t: (F.size(b) >= t["lo"]) & (F.size(b) <= t["hi"]))
@@ -110,11 +122,6 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     return found.select("doc_id", "n_matches", F.col("best.name").alias("license"), (-F.col("best.less")).alias("dice"), "licenses")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once: what a lambda names more than once is computed each time otherwise."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs, as scan_licenses gives it, but over all runs of words of template size wherever they begin
     and end: licences of several paragraphs inside a longer text, and notices within a line or wrapped over lines of prose.
