@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_path
+
 
 def keep_best(df: DataFrame, key: list[str], better: Column, order: str) -> DataFrame:
     """Of each key the row of the highest `better`, the earliest of equals, with first_order: where its key first stood."""
@@ -57,3 +59,37 @@ def set_overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """One row: how many distinct keys both have, and how many only one."""
     both = left.select(*on).distinct().withColumn("__l", F.lit(1)).join(right.select(*on).distinct().withColumn("__r", F.lit(1)), on, "full")
     return both.agg(F.count_if(F.col("__l").isNotNull() & F.col("__r").isNotNull()).alias("n_both"), F.count_if(F.col("__r").isNull()).alias("n_left_only"), F.count_if(F.col("__l").isNull()).alias("n_right_only"))
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Adds each row's place from 1 in the order of the whole table, without a task that sees the whole table.
+
+    Rows are dealt by ranges of the order and written in it; what each range holds is counted, and a row's place is the rows of the ranges
+    before its own and its place there. Rows that are equal in the order are split over ranges too, so a value that a third of all rows
+    have makes no large range; which of them comes first is open. Only the counts, one for each range, are added up on the driver."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "numbered")
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    by = [F.col(x) if isinstance(x, str) else x for x in order]
+    placed = tied.repartitionByRange(*by, "__tie").sortWithinPartitions(*by, "__tie").drop("__tie").withColumn("__at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    part, before, at = F.shiftright("__at", 33), [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        before.append((r["part"], at))
+        at += r["count"]
+    parts = spark.createDataFrame(before, "__part long, __before long")  # one row for each range
+    rows = placed.withColumn("__part", part).join(F.broadcast(parts), "__part")
+    return rows.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, name)
+
+
+def next_page(df: DataFrame, order: list[str], after: list | None, size: int, most: int = 100) -> DataFrame:
+    """The rows that follow the one whose order columns are `after` (None: the first page). Unlike an offset, a later page costs no more
+    than the first: the condition reaches the scan, and each task sends at most a page. The order must tell all rows apart; nulls in it
+    come last."""
+    if after is not None:
+        past = F.lit(False)
+        for name, value in reversed(list(zip(order, after))):
+            c = F.col(name)
+            past = (c.isNull() & past) if value is None else (c > F.lit(value)) | c.isNull() | ((c == F.lit(value)) & past)
+        df = df.where(past)
+    return df.orderBy(*[F.col(x).asc_nulls_last() for x in order]).limit(min(size, most))
