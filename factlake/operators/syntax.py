@@ -27,7 +27,7 @@ _KEYWORDS = {"if", "while", "for", "match", "return", "fn", "loop", "let", "in",
 MACROS = ("require", "require_eq", "require_keys_eq", "require_gt", "require_gte", "require_neq", "require_keys_neq", "assert", "assert_eq", "msg", "emit", "declare_id")
 
 INSTRUCTION = "struct<name:string,line:int,end_line:int,params:string,context:string,calls:array<string>,body:string,excerpt:string>"
-FIELD = "struct<name:string,type:string,line:int,attributes:array<string>>"
+FIELD = "struct<name:string,type:string,line:int,end_line:int,attributes:array<string>>"
 STRUCT = f"struct<name:string,line:int,end_line:int,accounts:boolean,state:boolean,fields:array<{FIELD}>>"
 NODE = "struct<kind:string,function:string,text:string,target:string,line:int,end_line:int,aliased:boolean>"
 ITEM = "struct<kind:string,name:string,value:string,line:int>"
@@ -141,7 +141,7 @@ def _fields(s: Source, begin: int, end: int) -> list[dict]:
         while k < end and not (s.bare[k] == "," and depth <= 0):
             depth += (s.bare[k] in "(<[") - (s.bare[k] in ")>]")
             k += 1
-        out.append({"name": m[1], "type": re.sub(r"\s+", " ", s.text[m.end() : k]).strip(), "line": s.line(m.start()), "attributes": attributes})
+        out.append({"name": m[1], "type": re.sub(r"\s+", " ", s.text[m.end() : k]).strip(), "line": s.line(m.start()), "end_line": s.line(m.start() + len(s.text[m.start() : k].rstrip()) - 1), "attributes": attributes})
         attributes, at = [], k
     return out
 
@@ -258,12 +258,12 @@ def account_type(type_: Column) -> tuple[Column, Column]:
 
 
 def account_fields(parsed: DataFrame) -> DataFrame:
-    """A row for each field: struct, struct_ord, accounts, name, type, kind, inner, constraints, is_signer, is_mut, line."""
+    """A row for each field: struct, struct_ord, accounts, name, type, kind, inner, constraints, is_signer, is_mut, line, end_line."""
     rows = exploded(parsed, "structs")
     rows = rows.select("repo_id", "path", F.col("name").alias("struct"), F.col("ord").alias("struct_ord"), "accounts", F.posexplode("fields").alias("n", "f"))
     kind, inner = account_type(F.col("f.type"))
     found = F.flatten(F.transform("f.attributes", lambda a: constraints(a)))
-    rows = rows.select("repo_id", "path", "struct", "struct_ord", "accounts", "n", F.col("f.name").alias("name"), F.col("f.type").alias("type"), F.col("f.line").alias("line"), kind.alias("kind"), inner.alias("inner"), found.alias("constraints"))
+    rows = rows.select("repo_id", "path", "struct", "struct_ord", "accounts", "n", F.col("f.name").alias("name"), F.col("f.type").alias("type"), F.col("f.line").alias("line"), F.col("f.end_line").alias("end_line"), kind.alias("kind"), inner.alias("inner"), found.alias("constraints"))
 
     def has(*kinds: str) -> Column:
         return F.exists("constraints", lambda x: x["kind"].isin(*kinds))

@@ -24,7 +24,7 @@ _STRUCT_NAMES = ["Take", "Read", "Make", "Close", "Give", "Swap", "InitAll"]
 
 def _field(n: int, name: str, kind: str, inner: str | None = None, constraints: str = "", signer: bool = False, mut: bool = False) -> dict:
     own = [{"kind": x.split("=")[0], "expression": x.split("=", 1)[1] if "=" in x else None} for x in constraints.split("|") if x]
-    return {"n": n, "name": name, "type": f"{kind}<'info, {inner}>" if inner else f"{kind}<'info>", "kind": kind, "inner": inner, "constraints": own, "is_signer": signer, "is_mut": mut, "line": n}
+    return {"n": n, "name": name, "type": f"{kind}<'info, {inner}>" if inner else f"{kind}<'info>", "kind": kind, "inner": inner, "constraints": own, "is_signer": signer, "is_mut": mut}
 
 
 _FIELD_LISTS = [
@@ -40,8 +40,8 @@ _SINK_TEXTS = ["token::transfer(CpiContext::new_with_signer(a), b)", "x.lamports
 _CALL_TYPES = ["invoke", "invoke_signed", "CpiContext::new", "token::*", "invoke"]
 _TARGETS = ["&ix", "", "program"]
 
-_FIELD = "array<struct<n:int,name:string,type:string,kind:string,inner:string,constraints:array<struct<kind:string,expression:string>>,is_signer:boolean,is_mut:boolean,line:int>>"
-_DUCK[_FIELD] = 'STRUCT(n INTEGER, name VARCHAR, type VARCHAR, kind VARCHAR, "inner" VARCHAR, constraints STRUCT(kind VARCHAR, expression VARCHAR)[], is_signer BOOLEAN, is_mut BOOLEAN, line INTEGER)[]'
+_FIELD = "array<struct<n:int,name:string,type:string,kind:string,inner:string,constraints:array<struct<kind:string,expression:string>>,is_signer:boolean,is_mut:boolean>>"
+_DUCK[_FIELD] = 'STRUCT(n INTEGER, name VARCHAR, type VARCHAR, kind VARCHAR, "inner" VARCHAR, constraints STRUCT(kind VARCHAR, expression VARCHAR)[], is_signer BOOLEAN, is_mut BOOLEAN)[]'
 _COLUMNS = {
     "ins": {"name": _pick(audit._NAMES, "string", "p_partkey"), "context": _pick(_CONTEXTS, "string", "p_partkey"), "calls": _pick(_CALLED, "array<string>", "p_partkey"), "excerpt": _pick(_EXCERPTS, "string", "p_partkey"), "framework": _pick(audit._FRAMEWORKS, "string", f"p_partkey // {_PER_REPO}")},
     "st": {"struct": _pick(_STRUCT_NAMES, "string", "p_partkey // 2"), "fields": _pick(_FIELD_LISTS, _FIELD, "p_partkey")},
@@ -49,12 +49,15 @@ _COLUMNS = {
     "ca": {"call_type": _pick(_CALL_TYPES, "string", "p_partkey"), "target": _pick(_TARGETS, "string", "p_partkey"), "instruction": _pick(audit._NAMES, "string", "p_partkey // 3")},
     "pd": {"bump": _pick(["canonical", "unchecked", "missing"], "string", "p_partkey"), "source": _pick(["inline", "constraint"], "string", "p_partkey"), "instruction": _pick(audit._NAMES, "string", "p_partkey // 5")},
 }
-_END = "CAST(10 * (p_partkey // 7) + 4 AS INTEGER) AS end_line"
+_END = "CAST(10 * (p_partkey // 7) + 4 + 3 * (p_partkey % 11) AS INTEGER) AS end_line"
 
 
 def _sql_table(name: str, more: str) -> str:
     own = ", ".join(f"{sql} AS {c}" for c, (_, sql) in _COLUMNS[name].items())
-    return f"{name} AS (SELECT {_REPO}, {_PLACE}, {_END}, {own}{more} FROM part)"
+    rows = f"SELECT {_REPO}, {_PLACE}, {_END}, {own}{more} FROM part"
+    if name == "st":  # fields stand in the lines of their struct, each some lines long
+        rows = f"SELECT * EXCLUDE (fields), list_transform(fields, lambda f: struct_insert(f, path := path, line := CAST(line + 1 + f.n AS INTEGER), end_line := CAST(line + 1 + 2 * f.n AS INTEGER))) AS fields FROM ({rows})"
+    return f"{name} AS ({rows})"
 
 
 # a sink or a function with the struct of its context: by name, else the first whose name is a prefix of it or the other way round
@@ -76,7 +79,7 @@ def _parsed(spark, d) -> candidates.Parsed:
     k = F.col("p_partkey")
     place = [
         F.concat(F.lit("r"), F.floor(k / _PER_REPO).cast("string")).alias("repo_id"), F.concat(F.lit("f"), (k % 2).cast("string"), F.lit(".rs")).alias("path"), (10 * F.floor(k / 7) + 1).cast("int").alias("line"),
-        F.lpad(k.cast("string"), 9, "0").alias("ord"), (10 * F.floor(k / 7) + 4).cast("int").alias("end_line"),
+        F.lpad(k.cast("string"), 9, "0").alias("ord"), (10 * F.floor(k / 7) + 4 + 3 * (k % 11)).cast("int").alias("end_line"),
     ]
 
     def made(name: str, *more) -> DataFrame:
@@ -85,6 +88,7 @@ def _parsed(spark, d) -> candidates.Parsed:
     none = F.lit("").alias("excerpt")
     ins = made("ins").withColumn("body", F.col("excerpt")).withColumn("params", F.lit(""))
     st = made("st", (k % 13 != 0).alias("accounts")).withColumnRenamed("ord", "struct_ord")
+    st = st.withColumn("fields", F.transform("fields", lambda f: f.withField("path", F.col("path")).withField("line", F.col("line") + 1 + f["n"]).withField("end_line", F.col("line") + 1 + 2 * f["n"])))
     return candidates.Parsed(part.limit(0), ins, st, made("sk"), made("ca", (k % 4 == 0).alias("validated"), none), made("pd", none))
 
 
@@ -95,10 +99,10 @@ def _shown(found: DataFrame) -> DataFrame:
     return found.select(*_SHOWN, F.array_join("accounts", ",").alias("accounts"))
 
 
-def _row(rule: int, vuln: str, severity: str, confidence: str | float, source: str, where: str, accounts: str = "''", place: str | None = None, line: str = "line", end: str = "end_line", instruction: str = "instruction") -> str:
+def _row(rule: int, vuln: str, severity: str, confidence: str | float, source: str, where: str, accounts: str = "''", place: str | None = None, line: str = "line", end: str = "end_line", at: str = "") -> str:
     order = f"ord || '#' || lpad(CAST({place} AS VARCHAR), 6, '0')" if place else "ord"
     severity = severity if severity.startswith("CASE") else f"'{severity}'"
-    return f"SELECT repo_id, '{vuln}' AS vuln_class, {severity} AS severity, CAST({confidence} AS DOUBLE) AS confidence, {instruction} AS instruction, path, CAST({line} AS INTEGER) AS line, CAST({end} AS INTEGER) AS end_line, {rule} AS rule, {order} AS ord, {accounts} AS accounts FROM {source} WHERE {where}"
+    return f"SELECT repo_id, '{vuln}' AS vuln_class, {severity} AS severity, CAST({confidence} AS DOUBLE) AS confidence, instruction, {at}path AS path, CAST({at}{line} AS INTEGER) AS line, CAST({at}{end} AS INTEGER) AS end_line, {rule} AS rule, {order} AS ord, {accounts} AS accounts FROM {source} WHERE {where}"
 
 
 _KIND = "len(list_filter(f.constraints, lambda x: x.kind IN ({}))) > 0"
@@ -112,18 +116,18 @@ _LINES = "(SELECT repo_id, path, instruction, ord, line + k AS line, line + k AS
 _CANDIDATES = {
     "c01_unsigned_tokens": [_row(1, "missing_signer", "CRITICAL", 0.88, "tok", f"{_UNSIGNED} AND len(rulers) > 0", _NAMED.format("rulers"))],
     "c02_no_authority": [_row(2, "missing_signer", "HIGH", 0.72, "tok", f"len(rulers) = 0 AND NOT {_has('CpiContext::new_with_signer', 'invoke_signed', column='excerpt')}")],
-    "c03_token_account": [_row(3, "token_authority_mismatch", "HIGH", 0.78, _FIELDS_AT.format("tok"), f"(f.\"inner\" = 'TokenAccount' OR contains(f.type, 'TokenAccount')) AND NOT {_KIND.format(repr('token_authority'))} AND list_contains(accounts, f.name)", "f.name", "n")],
+    "c03_token_account": [_row(3, "token_authority_mismatch", "HIGH", 0.78, _FIELDS_AT.format("tok"), f"(f.\"inner\" = 'TokenAccount' OR contains(f.type, 'TokenAccount')) AND NOT {_KIND.format(repr('token_authority'))} AND list_contains(accounts, f.name)", "f.name", "n", at="f.")],
     "c04_unsigned_lamports": [_row(4, "missing_signer", "CRITICAL", 0.85, "at_", f"sink = 'sol_transfer' AND {_UNSIGNED} AND len(rulers) > 0", _NAMED.format("rulers"))],
-    "c05_drained": [_row(5, "close_revive", "CRITICAL", 0.82, "at_", f"sink = 'account_close' AND {_UNSIGNED} AND len(list_filter(fields, lambda f: {_KIND.format(repr('close'))})) = 0 AND contains(excerpt, 'lamports') AND contains(excerpt, '= 0')", _NAMED.format("rulers"))],
+    "c05_drained": [_row(5, "close_revive", "CRITICAL", 0.82, "at_", f"sink = 'account_close' AND {_UNSIGNED} AND len(list_filter(fields, lambda f: {_KIND.format(repr('close'))})) = 0 AND contains(excerpt, 'lamports') AND contains(excerpt, '= 0')", "array_to_string(accounts, ',')")],
     "c06_authority_change": [_row(6, "missing_signer", "CRITICAL", 0.90, "at_", f"sink = 'set_authority' AND {_UNSIGNED}", _NAMED.format("rulers"))],
     "c07_price_account": [
-        _row(7, "oracle_validation", "CRITICAL", 0.80, _FIELDS_AT.format("at_"), f"{_FEEDS} AND NOT (f.kind IN ('Account', 'Program', 'InterfaceAccount', 'Interface') OR {_KIND.format(repr('owner'))})", "f.name", "n"),
-        _row(8, "oracle_validation", "HIGH", 0.65, _FIELDS_AT.format("at_"), f"{_FEEDS} AND NOT {_has('timestamp', 'stale', 'max_age', 'confidence')}", "f.name", "n"),
+        _row(7, "oracle_validation", "CRITICAL", 0.80, _FIELDS_AT.format("at_"), f"{_FEEDS} AND NOT (f.kind IN ('Account', 'Program', 'InterfaceAccount', 'Interface') OR {_KIND.format(repr('owner'))})", "f.name", "n", at="f."),
+        _row(8, "oracle_validation", "HIGH", 0.65, _FIELDS_AT.format("at_"), f"{_FEEDS} AND NOT {_has('timestamp', 'stale', 'max_age', 'confidence')}", "f.name", "n", at="f."),
     ],
     "c08_nobody_signs": [_row(9, "missing_signer", "CRITICAL", 0.90, "own", "fields IS NOT NULL AND len(list_filter(fields, lambda f: f.is_signer)) = 0 AND EXISTS (SELECT 1 FROM sk WHERE sk.repo_id = own.repo_id AND sk.instruction = own.instruction AND sk.sink IN ('token_transfer', 'sol_transfer', 'token_burn', 'account_close', 'set_authority'))", _NAMED.format("fields"))],
-    "c09_loose_authority": [_row(10, "missing_signer", "HIGH", 0.78, _FIELDS_AT.format("own"), f"{_RULER} AND NOT f.is_signer AND f.is_mut AND NOT {_GUARDED}", "f.name", "n")],
-    "c10_bare_account": [_row(11, "missing_owner", "HIGH", 0.72, "parts", f"f.kind IN ('UncheckedAccount', 'AccountInfo') AND f.is_mut AND NOT {_KIND.format(repr('constraint') + ', ' + repr('address') + ', ' + repr('owner'))}", "f.name", "n")],
-    "c11_reinit": [_row(12, "reinit", "HIGH", 0.70, "parts", _KIND.format(repr("init_if_needed")), "f.name", "n")],
+    "c09_loose_authority": [_row(10, "missing_signer", "HIGH", 0.78, _FIELDS_AT.format("own"), f"{_RULER} AND NOT f.is_signer AND f.is_mut AND NOT {_GUARDED}", "f.name", "n", at="f.")],
+    "c10_bare_account": [_row(11, "missing_owner", "HIGH", 0.72, "parts", f"f.kind IN ('UncheckedAccount', 'AccountInfo') AND f.is_mut AND NOT {_KIND.format(repr('constraint') + ', ' + repr('address') + ', ' + repr('owner'))}", "f.name", "n", at="f.")],
+    "c11_reinit": [_row(12, "reinit", "HIGH", 0.70, "parts", _KIND.format(repr("init_if_needed")), "f.name", "n", at="f.")],
     "c12_called_program": [_row(13, "arbitrary_cpi", "CRITICAL", 0.85, "ca", "NOT validated AND contains(call_type, 'invoke')")],
     "c13_address": [_row(14, "pda_derivation", "HIGH", 0.75, "pd", "bump = 'unchecked'"), _row(15, "pda_derivation", "MEDIUM", 0.60, "pd", "bump = 'missing' AND source = 'constraint'")],
     "c14_arithmetic": [_row(16, "integer_overflow", "HIGH", 0.55, _LINES, "NOT starts_with(ltrim(text), '//') AND regexp_matches(text, '[+\\-*]\\s*[^=>]|\\bas\\s+u(64|128)\\b') AND regexp_matches(text, '(?i)amount|balance|lamports|price|fee|rate|supply|reserve') AND NOT regexp_matches(text, 'checked_|saturating_|try_')", "''", "k")],
@@ -191,7 +195,7 @@ _PRINT = "vuln_class || ':' || instruction || ':' || path || ':' || line || ':'
 _GENERATED = f"""(SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {_WEIGHT} * confidence DESC, first) - 1 AS id, 'second' AS origin FROM (SELECT *, min(place) OVER (PARTITION BY repo_id, fingerprint) AS first, row_number() OVER (PARTITION BY repo_id, fingerprint ORDER BY confidence DESC, place) AS n FROM
   (SELECT *, {_PRINT} AS fingerprint, lpad(CAST(rule AS VARCHAR), 3, '0') || '/' || ord AS place FROM ({_ALL}))) WHERE n = 1)"""
 _THIRD = f"(SELECT *, 'v3:' || {_PRINT} AS fingerprint, row_number() OVER (PARTITION BY repo_id ORDER BY rule, ord) + 9999 AS id, 'third' AS origin FROM ({_PRICES} UNION ALL {_OWNERS.replace('<= 20', '<= 5')} UNION ALL {_STALE}))"
-_BOTH = f"(SELECT repo_id, id, origin, fingerprint, severity, confidence, rule, line, end_line, accounts FROM {_GENERATED} UNION ALL SELECT repo_id, id, origin, fingerprint, severity, confidence, rule, line, end_line, accounts FROM {_THIRD})"
+_BOTH = f"(SELECT repo_id, id, origin, fingerprint, severity, confidence, rule, instruction, line, end_line, accounts FROM {_GENERATED} UNION ALL SELECT repo_id, id, origin, fingerprint, severity, confidence, rule, instruction, line, end_line, accounts FROM {_THIRD})"
 
 
 @query(f"{_WITH} SELECT repo_id, id, origin, fingerprint, severity, confidence FROM {_GENERATED}")
@@ -205,16 +209,17 @@ def rule_c19_with_third(spark, d):
     return candidates.with_third(candidates.generate(p), p).select("repo_id", "id", "origin", "fingerprint", "severity", "confidence")
 
 
-_LINKED = "rule IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 20)"
+_LINKED = "rule IN (1, 2, 3, 4, 5, 6, 7, 8, 20)"
+_KNOWN = f"(SELECT repo_id, instruction, {_OF.format(x='s.struct', t='one')} AS known FROM one)"
 _ASKED = f"(SELECT {_REPO}, p_partkey % {_PER_REPO} AS id, ['confirmed', 'rejected', 'uncertain', 'confirmed'][1 + p_partkey % 4] AS verdict, CAST(p_partkey % 101 AS DOUBLE) AS sure, p_partkey % 2 = 0 AS easy FROM part WHERE p_partkey % 7 <> 0)"
 _PROVEN = f"(SELECT {_REPO}, p_partkey % {_PER_REPO} AS id, p_partkey % 9 = 0 AS proven FROM part WHERE p_partkey % 3 = 0)"
 _GRADED = f"""SELECT repo_id, id, status, grade, confidence, CASE WHEN grade = 'C' AND severity = 'CRITICAL' THEN 'HIGH' WHEN grade = 'D' AND severity IN ('CRITICAL', 'HIGH') THEN 'MEDIUM' ELSE severity END AS severity FROM
-  (SELECT *, CASE WHEN proven THEN 'A' WHEN verdict = 'confirmed' AND sure >= 60 AND shown THEN 'B' WHEN verdict = 'confirmed' OR shown THEN 'C' ELSE 'D' END AS grade FROM
-  (SELECT b.repo_id, b.id, verdict, sure, coalesce(proven, false) AS proven, (accounts <> '' OR {_LINKED} OR end_line - line <= 20 OR origin = 'third') AS shown,
+  (SELECT *, CASE WHEN proven THEN 'A' WHEN verdict = 'confirmed' AND sure >= 80 AND shown THEN 'B' WHEN (verdict = 'confirmed' AND sure >= 80) OR shown OR (verdict = 'uncertain' AND sure >= 50) THEN 'C' ELSE 'D' END AS grade FROM
+  (SELECT b.repo_id, b.id, verdict, sure, coalesce(proven, false) AS proven, (accounts <> '' OR {_LINKED} OR known IS NOT NULL OR end_line - line <= 20 OR origin = 'third') AS shown,
     CASE WHEN origin = 'third' AND NOT coalesce(proven, false) THEN 'LIKELY' WHEN coalesce(proven, false) THEN 'PROVEN' WHEN verdict = 'confirmed' THEN 'LIKELY' WHEN verdict = 'rejected' THEN 'REJECTED' WHEN verdict = 'uncertain' THEN 'NEEDS_HUMAN' WHEN confidence >= 0.8 AND severity = 'CRITICAL' THEN 'LIKELY' WHEN confidence >= 0.7 THEN 'NEEDS_HUMAN' ELSE 'REJECTED' END AS status,
     CASE WHEN verdict = 'confirmed' AND sure > 80 AND coalesce(easy, false) AND severity <> 'CRITICAL' THEN 'CRITICAL' WHEN verdict = 'confirmed' AND sure < 40 AND severity = 'CRITICAL' THEN 'HIGH' ELSE severity END AS severity,
     CASE WHEN coalesce(proven, false) THEN greatest(0.95::DOUBLE, m) ELSE m END AS confidence FROM
-    (SELECT *, CASE verdict WHEN 'confirmed' THEN least(1.0::DOUBLE, 0.4::DOUBLE * confidence + 0.6::DOUBLE * (sure / 100.0::DOUBLE)) WHEN 'rejected' THEN 0.2::DOUBLE * confidence WHEN 'uncertain' THEN 0.6::DOUBLE * confidence ELSE confidence END AS m FROM {_BOTH} LEFT JOIN {_ASKED} USING (repo_id, id) LEFT JOIN {_PROVEN} USING (repo_id, id)) b))"""
+    (SELECT *, CASE verdict WHEN 'confirmed' THEN least(1.0::DOUBLE, 0.4::DOUBLE * confidence + 0.6::DOUBLE * (sure / 100.0::DOUBLE)) WHEN 'rejected' THEN 0.2::DOUBLE * confidence WHEN 'uncertain' THEN 0.6::DOUBLE * confidence ELSE confidence END AS m FROM {_BOTH} LEFT JOIN {_ASKED} USING (repo_id, id) LEFT JOIN {_PROVEN} USING (repo_id, id) LEFT JOIN {_KNOWN} USING (repo_id, instruction)) b))"""
 
 
 def _graded(spark, d) -> DataFrame:
@@ -223,7 +228,7 @@ def _graded(spark, d) -> DataFrame:
     verdict = F.get(F.array(*map(F.lit, ("confirmed", "rejected", "uncertain", "confirmed"))), (k % 4).cast("int"))
     asked = part.where("p_partkey % 7 <> 0").select("repo_id", "id", verdict.alias("verdict"), (k % 101).cast("double").alias("sure"), (k % 2 == 0).alias("easy"))
     proofs = part.where("p_partkey % 3 = 0").select("repo_id", "id", (k % 9 == 0).alias("proven"))
-    return candidates.graded(candidates.with_third(candidates.generate(p), p), asked, proofs)
+    return candidates.graded(candidates.with_third(candidates.generate(p), p), asked, proofs, p)
 
 
 @query(f"{_WITH} {_GRADED}")

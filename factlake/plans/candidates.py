@@ -1,7 +1,7 @@
 """Rules of the second and third generation: candidates from parsed sources.
 
-A candidate has repo_id, vuln_class, severity, confidence, instruction, path, line, end_line, accounts (names), reason, linked (whether a
-value-moving operation is behind it), excerpt, rule, ord, and after `generate` fingerprint, rank and id."""
+A candidate has repo_id, vuln_class, severity, confidence, instruction, path, line, end_line, accounts (names), reason, link (the value-moving
+operation behind it, or null), excerpt, rule, ord, and after `generate` fingerprint, rank and id."""
 
 from __future__ import annotations
 
@@ -66,13 +66,13 @@ def gather(files: DataFrame, parsed: DataFrame | None = None) -> Parsed:
     kinds = parsed.groupBy("repo_id").agg(F.bool_or(kind == "anchor").alias("a"), F.bool_or(kind == "native").alias("n")).select("repo_id", F.when(c("a"), "anchor").when(c("n"), "native").otherwise("unknown").alias("framework"))
     instructions = syntax.exploded(parsed, "instructions").join(kinds, "repo_id")
     fields = syntax.account_fields(parsed)
-    nested = fields.groupBy("repo_id", "path", "struct", "struct_ord", "accounts").agg(F.array_sort(F.collect_list(F.struct("n", "name", "type", "kind", "inner", "constraints", "is_signer", "is_mut", "line"))).alias("fields"))
+    nested = fields.groupBy("repo_id", "path", "struct", "struct_ord", "accounts").agg(F.array_sort(F.collect_list(F.struct("n", "name", "type", "kind", "inner", "constraints", "is_signer", "is_mut", "path", "line", "end_line"))).alias("fields"))
     structs = syntax.exploded(parsed, "structs").select("repo_id", "path", c("name").alias("struct"), c("ord").alias("struct_ord"), "line", "end_line").join(nested, ["repo_id", "path", "struct", "struct_ord"])
     sinks, calls = syntax.sinks(parsed), syntax.calls(parsed)
     # the address of a field belongs to the first function that uses its struct, else keeps the struct's name
     users = joins.earliest(instructions.where("context is not null").select("repo_id", c("context").alias("instruction"), "ord", c("name").alias("user")), ["repo_id", "instruction"], ["ord"]).select("repo_id", "instruction", "user")
     pdas = syntax.derivations(parsed).join(users, ["repo_id", "instruction"], "left")
-    pdas = pdas.withColumn("instruction", F.when(c("source") == "constraint", F.coalesce("user", "instruction")).otherwise(c("instruction"))).drop("user")
+    pdas = pdas.withColumn("instruction", F.when(c("source") == "constraint", F.coalesce("user", "instruction")).otherwise(c("instruction"))).drop("user").withColumn("excerpt", F.array_join("seeds", ", "))
     return Parsed(parsed, instructions, structs, sinks, calls, pdas)
 
 
@@ -110,12 +110,15 @@ def names(fields: Column) -> Column:
     return F.transform(fields, lambda f: f["name"])
 
 
-def candidate(df: DataFrame, rule: int, vuln: str, severity: str | Column, confidence: float | Column, reason: str, accounts: Column | None = None, linked: bool = False, place: str | None = None) -> DataFrame:
+def candidate(df: DataFrame, rule: int, vuln: str, severity: str | Column, confidence: float | Column, reason: str, accounts: Column | None = None, linked: bool = False, place: str | None = None, at: str = "", cut: int = 500) -> DataFrame:
+    """`at` is the column whose path, line and end_line are the candidate's place: by default the row itself, else a field of it."""
     order = F.concat_ws("#", "ord", *([F.lpad(c(place).cast("string"), 6, "0")] if place else []))
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    link = F.format_string("%s at line %d", "sink", "line") if linked else F.lit(None).cast("string")
+    where = [c(f"{at}.{x}" if at else x).alias(x) for x in ("path", "line", "end_line")]
     return df.select(
-        "repo_id", F.lit(vuln).alias("vuln_class"), lit(severity).alias("severity"), lit(confidence).alias("confidence"), "instruction", "path", "line", "end_line",
-        (accounts if accounts is not None else F.array().cast("array<string>")).alias("accounts"), F.format_string(reason, "instruction").alias("reason"), F.lit(linked).alias("linked"), F.substring("excerpt", 1, 500).alias("excerpt"), F.lit(rule).alias("rule"), order.alias("ord"),
+        "repo_id", F.lit(vuln).alias("vuln_class"), lit(severity).alias("severity"), lit(confidence).alias("confidence"), "instruction", *where,
+        (accounts if accounts is not None else F.array().cast("array<string>")).alias("accounts"), F.format_string(reason, "instruction").alias("reason"), link.alias("link"), F.substring("excerpt", 1, cut).alias("excerpt"), F.lit(rule).alias("rule"), order.alias("ord"),
     )
 
 
@@ -148,20 +151,20 @@ def second_generation(p: Parsed) -> DataFrame:
     return union(
         candidate(token.where(c("unsigned") & some), 1, "missing_signer", "CRITICAL", 0.88, "%s: tokens move and no authority signs", names(c("rulers")), True),
         candidate(token.where(none & ~decide.any_of(c("excerpt"), "CpiContext::new_with_signer", "invoke_signed")), 2, "missing_signer", "HIGH", 0.72, "%s: tokens move without an authority or a signing address", None, True),
-        candidate(held, 3, "token_authority_mismatch", "HIGH", 0.78, "%s: token account without authority constraint", field, True, "k"),
+        candidate(held, 3, "token_authority_mismatch", "HIGH", 0.78, "%s: token account without authority constraint", field, True, "k", "f"),
         candidate(at.where((c("sink") == "sol_transfer") & c("unsigned") & some), 4, "missing_signer", "CRITICAL", 0.85, "%s: lamports move and no authority signs", names(c("rulers")), True),
-        candidate(at.where((c("sink") == "account_close") & c("unsigned") & ~F.exists("fields", lambda f: has(f, "close")) & c("excerpt").contains("lamports") & c("excerpt").contains("= 0")), 5, "close_revive", "CRITICAL", 0.82, "%s: account is drained by hand", names(c("rulers")), True),
+        candidate(at.where((c("sink") == "account_close") & c("unsigned") & ~F.exists("fields", lambda f: has(f, "close")) & c("excerpt").contains("lamports") & c("excerpt").contains("= 0")), 5, "close_revive", "CRITICAL", 0.82, "%s: account is drained by hand", c("accounts"), True),
         candidate(at.where((c("sink") == "set_authority") & c("unsigned")), 6, "missing_signer", "CRITICAL", 0.90, "%s: authority changes hands unsigned", names(c("rulers")), True),
-        candidate(feeds.where(~owned(c("f"))), 7, "oracle_validation", "CRITICAL", 0.80, "%s: owner of the price account isn't validated", field, True, "k"),
-        candidate(feeds.where(~decide.any_of(c("body"), "timestamp", "stale", "max_age", "confidence")), 8, "oracle_validation", "HIGH", 0.65, "%s: price may be stale", field, True, "k"),
-        candidate(open_.where(F.arrays_overlap("kinds", F.array(*map(F.lit, DANGEROUS))) & ~F.exists("fields", lambda f: f["is_signer"])), 9, "missing_signer", "CRITICAL", 0.90, "%s: value moves and no account signs", names(c("fields")), True),
-        candidate(loose, 10, "missing_signer", "HIGH", 0.78, "%s: mutable authority that nothing ties", field, False, "k"),
-        candidate(bare, 11, "missing_owner", "HIGH", 0.72, "%s: mutable account without any check", field, False, "k"),
-        candidate(parts.where(has(c("f"), "init_if_needed")), 12, "reinit", "HIGH", 0.70, "%s: account may be initialised again", field, False, "k"),
+        candidate(feeds.where(~owned(c("f"))), 7, "oracle_validation", "CRITICAL", 0.80, "%s: owner of the price account isn't validated", field, True, "k", "f"),
+        candidate(feeds.where(~decide.any_of(c("body"), "timestamp", "stale", "max_age", "confidence")), 8, "oracle_validation", "HIGH", 0.65, "%s: price may be stale", field, True, "k", "f"),
+        candidate(open_.where(F.arrays_overlap("kinds", F.array(*map(F.lit, DANGEROUS))) & ~F.exists("fields", lambda f: f["is_signer"])), 9, "missing_signer", "CRITICAL", 0.90, "%s: value moves and no account signs", names(c("fields")), cut=200),
+        candidate(loose, 10, "missing_signer", "HIGH", 0.78, "%s: mutable authority that nothing ties", field, False, "k", "f", 200),
+        candidate(bare, 11, "missing_owner", "HIGH", 0.72, "%s: mutable account without any check", field, False, "k", "f", 200),
+        candidate(parts.where(has(c("f"), "init_if_needed")), 12, "reinit", "HIGH", 0.70, "%s: account may be initialised again", field, False, "k", "f", 200),
         candidate(p.calls.where(~c("validated") & c("call_type").contains("invoke")), 13, "arbitrary_cpi", "CRITICAL", 0.85, "%s: called program isn't validated"),
         candidate(p.pdas.where("bump = 'unchecked'"), 14, "pda_derivation", "HIGH", 0.75, "%s: bump isn't checked"),
         candidate(p.pdas.where("bump = 'missing' and source = 'constraint'"), 15, "pda_derivation", "MEDIUM", 0.60, "%s: address without a stored bump"),
-        candidate(sums, 16, "integer_overflow", "HIGH", 0.55, "%s: unchecked arithmetic on a value", None, False, "k"),
+        candidate(sums.withColumn("excerpt", F.trim("excerpt")), 16, "integer_overflow", "HIGH", 0.55, "%s: unchecked arithmetic on a value", None, False, "k"),
     )
 
 
@@ -251,22 +254,33 @@ def with_third(candidates: DataFrame, p: Parsed) -> DataFrame:
     return candidates.unionByName(more)
 
 
-def graded(candidates: DataFrame, confirmations: DataFrame, proofs: DataFrame, least_sure: int = 60) -> DataFrame:
+def graded(candidates: DataFrame, confirmations: DataFrame, proofs: DataFrame, p: Parsed, sure_from: int = 80, open_from: int = 50) -> DataFrame:
     """Candidates with status, adjusted and capped severity, blended confidence, and grade with its evidence.
 
+    A proof gives A. A confirmation of at least `sure_from` gives B if there is evidence in the source, else C; without it evidence
+    gives C, and so does an uncertain verdict of at least `open_from`; the rest are D. Evidence is accounts, a value-moving operation, a
+    known account struct of the function, a place of 20 lines or fewer, or a rule of the third generation.
+
     confirmations: repo_id, id, verdict, sure, easy; proofs: repo_id, id, proven; both may lack a candidate. Third-generation ones
     are LIKELY unless a proof says more."""
-    rows = candidates.join(confirmations, ["repo_id", "id"], "left").join(proofs, ["repo_id", "id"], "left")
+    uses = joins.earliest(p.instructions.where("context is not null").select("repo_id", c("name").alias("instruction"), "context", "ord"), ["repo_id", "instruction"], ["ord"])
+    firsts = joins.earliest(p.instructions.select("repo_id", c("name").alias("instruction"), "ord"), ["repo_id", "instruction"], ["ord"])
+    known = struct_of(p, uses.join(firsts, ["repo_id", "instruction", "ord"])).where("struct is not null").select("repo_id", "instruction", c("struct").alias("known_struct"))
+    rows = candidates.join(confirmations, ["repo_id", "id"], "left").join(proofs, ["repo_id", "id"], "left").join(known, ["repo_id", "instruction"], "left")
     verdict, proven = c("verdict"), F.coalesce("proven", F.lit(False))
     status = decide.status(proven, verdict, c("severity"), c("confidence"))
     rows = rows.withColumn("status", F.when((c("origin") == "third") & ~proven, "LIKELY").otherwise(status))
     rows = rows.withColumn("severity", decide.adjusted_severity(c("severity"), verdict, c("sure"), F.coalesce("easy", F.lit(False)))).withColumn("confidence", decide.blended_confidence(c("confidence"), verdict, c("sure"), proven))
     narrow = c("end_line") - c("line") <= 20
-    evidence = F.filter(F.array(F.when(F.size("accounts") > 0, F.concat(F.lit("accounts "), F.array_join("accounts", ", "))), F.when(c("linked"), F.lit("value-moving operation")), F.when(narrow, F.format_string("lines %d-%d", "line", "end_line")), F.when(c("origin") == "third", F.lit("third-generation rule"))), lambda x: x.isNotNull())
-    some = F.size("evidence") > 0
-    grade = F.when(proven, "A").when((verdict == "confirmed") & (c("sure") >= least_sure) & some, "B").when((verdict == "confirmed") | some, "C").otherwise("D")
+    signs = [
+        F.when(F.size("accounts") > 0, F.concat(F.lit("accounts "), F.array_join("accounts", ", "))), c("link"), F.concat(F.lit("account struct "), c("known_struct")),
+        F.when(narrow, F.format_string("lines %d-%d", "line", "end_line")), F.when(c("origin") == "third", F.lit("third-generation rule")),
+    ]
+    evidence = F.filter(F.array(*signs), lambda x: x.isNotNull())
+    some, sure = F.size("evidence") > 0, (verdict == "confirmed") & (c("sure") >= sure_from)
+    grade = F.when(proven, "A").when(sure & some, "B").when(sure | some | ((verdict == "uncertain") & (c("sure") >= open_from)), "C").otherwise("D")
     rows = rows.withColumn("evidence", evidence).withColumn("grade", grade).withColumn("uncapped", c("severity"))
-    return rows.withColumn("severity", decide.capped_severity(c("severity"), c("grade"))).withColumn("evidence", F.array_join("evidence", "; "))
+    return rows.withColumn("severity", decide.capped_severity(c("severity"), c("grade"))).withColumn("evidence", F.array_join("evidence", "; ")).drop("known_struct")
 
 
 def grade_distribution(rows: DataFrame) -> DataFrame:

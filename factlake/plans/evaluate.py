@@ -16,7 +16,8 @@ def match_score() -> Column:
     expectation has them."""
     low = F.lower("instruction")
     kind = F.when(c("vuln_class") == c("e_class"), 0.4).when(F.array_contains(F.coalesce("e_alt", F.array().cast("array<string>")), c("vuln_class")), 0.3)
-    same = F.exists("e_instructions", lambda e: low.contains(F.lower(e)) | F.lower(e).contains(low) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a) == F.lower(e)))
+    called = F.concat(F.array(low), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))  # its own name and those it is dispatched under
+    same = F.exists("e_instructions", lambda e: F.exists(called, lambda a: a.contains(F.lower(e)) | F.lower(e).contains(a)))
     wanted = F.transform(F.coalesce("e_accounts", F.array().cast("array<string>")), lambda a: F.lower(a))
     n = F.size(wanted)
     shared = F.size(F.filter(wanted, lambda w: F.exists("accounts", lambda a: F.lower(a).contains(w) | w.contains(F.lower(a)))))

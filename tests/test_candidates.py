@@ -89,7 +89,7 @@ def test_rules(found):
 def test_graded(spark, found):
     confirmations = spark.createDataFrame([("r", 0, "confirmed", 90.0, True), ("r", 1, "rejected", 50.0, False)], "repo_id string, id long, verdict string, sure double, easy boolean")
     proofs = spark.createDataFrame([("r", 2, True)], "repo_id string, id long, proven boolean")
-    rows = {r.id: r for r in candidates.graded(found[1], confirmations, proofs).collect()}
+    rows = {r.id: r for r in candidates.graded(found[1], confirmations, proofs, found[0]).collect()}
     assert (rows[0].status, rows[0].grade) == ("LIKELY", "B") and rows[1].status == "REJECTED" and (rows[2].status, rows[2].grade) == ("PROVEN", "A")
     assert all(r.severity != "CRITICAL" for r in rows.values() if r.grade in "CD") and rows[2].confidence >= 0.95
 
