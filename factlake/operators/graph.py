@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_path
+from ..sources.tables import remove_path, shared_path, written
 
 
 def counts(edges: DataFrame) -> DataFrame:
@@ -22,20 +22,38 @@ def reach(edges: DataFrame, start: DataFrame, order: str | None = None) -> DataF
     column `order` (by default of dst).
 
     Each round joins only the nodes that the round before found, and leaves out those already known. Rounds go on until one finds
-    none; each adds its rows to one table in the shared folder."""
+    none. Each writes a folder of its own, so a round reads the last folder whole and of the others two columns, and what is returned
+    is written once and the rounds' folders deleted."""
     edges = edges.groupBy("src", "dst").agg(F.min(F.col(order or "dst").cast("string" if order is None else edges.schema[order].dataType)).alias("ord"))
     front = start.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast(edges.select(F.array("ord").alias("x")).schema["x"].dataType).alias("place")).distinct()
-    spark, path, schema, depth = edges.sparkSession, shared_path(edges.sparkSession, "reach"), front.schema, 0
+    spark, path, schema, rounds = edges.sparkSession, shared_path(edges.sparkSession, "reach"), front.schema, []
     while True:
-        front.write.mode("append").parquet(path)
-        known = spark.read.schema(schema).parquet(path)  # the files that are there now
-        front = known.where(F.col("depth") == depth)
+        rounds.append(f"{path}/{len(rounds)}")
+        front.write.parquet(rounds[-1])
+        front = spark.read.schema(schema).parquet(rounds[-1])
         if front.isEmpty():
-            return known.drop("place")
-        depth += 1
+            out = written(spark.read.schema(schema).parquet(*rounds).drop("place"), "reached")
+            remove_path(spark, path)
+            return out
+        known = spark.read.schema(schema).parquet(*rounds).select("root", "node")
         found = front.join(edges, front.node == edges.src).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("place", F.array("ord")).alias("place"))
-        found = found.groupBy("root", "node").agg(F.min(F.struct("place", "path")).alias("x")).select("root", "node", F.lit(depth).alias("depth"), "x.path", "x.place")
-        front = found.join(known.select("root", "node"), ["root", "node"], "left_anti")
+        found = found.groupBy("root", "node").agg(F.min(F.struct("place", "path")).alias("x")).select("root", "node", F.lit(len(rounds)).alias("depth"), "x.path", "x.place")
+        front = found.join(known, ["root", "node"], "left_anti")
+
+
+def neighbourhoods(edges: DataFrame, sinks: DataFrame, hops: int, node: str = "node") -> tuple[DataFrame, DataFrame]:
+    """Around each sink the nodes up to `hops` edges away, edges taken both ways, as (sink, node, depth), and the edges that lie between two
+    of them, as (sink, ...edge). All sinks grow at once, each row labelled with its own; a round joins only the nodes that the
+    round before found. edges: src, dst and more."""
+    ends = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    known = front = written(sinks.select(F.col(node).alias("sink"), F.col(node).alias("node"), F.lit(0).alias("depth")).distinct(), "near")
+    for depth in range(1, hops + 1):
+        found = front.join(ends, front.node == ends.src).select("sink", F.col("dst").alias("node")).distinct()
+        front = written(found.join(known, ["sink", "node"], "left_anti").withColumn("depth", F.lit(depth)), "near")
+        known = known.unionByName(front)
+    own = known.select("sink", "node")
+    inner = own.withColumnRenamed("node", "src").join(edges, "src").join(own.withColumnRenamed("node", "dst"), ["sink", "dst"])
+    return known, inner.select("sink", *edges.columns)
 
 
 def collisions(df: DataFrame, key: str, items: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import remove, written
+from .theta import trie
+
 
 def earliest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order; summed to one row before the shuffle."""
@@ -30,8 +33,11 @@ def prefix_fallback(left: DataFrame, right: DataFrame, key: str, name: str, orde
     found = earliest(right.withColumnRenamed(name, "__name"), [*on, "__name"], [order])
     both = left.join(found, [*(left[c] == found[c] for c in on), left[key] == found["__name"]], "left").select(*[left[c] for c in left.columns], F.col("__name").alias("exact_name"))
     missed = both.where(F.col("exact_name").isNull() & F.col(key).isNotNull()).select(*on, key).distinct()
-    near = missed.join(found, [*(missed[c] == found[c] for c in on), missed[key].startswith(found["__name"]) | found["__name"].startswith(missed[key])])
-    near = earliest(near.select(*[missed[c] for c in on], missed[key], F.col(order), F.col("__name")), [*on, key], [order]).select(*on, key, F.col("__name").alias("prefix_name"))
+    # both sides as tries: a name that is a node of the key's, or a key that is a node of the name's
+    shorter = trie(missed, key, "__node").join(found.withColumnRenamed("__name", "__node"), [*on, "__node"]).withColumnRenamed("__node", "__name")
+    longer = trie(found, "__name", "__node").withColumnRenamed("__node", key).join(missed, [*on, key])
+    near = shorter.select(*on, key, order, "__name").unionByName(longer.select(*on, key, order, "__name"))
+    near = earliest(near, [*on, key], [order]).select(*on, key, F.col("__name").alias("prefix_name"))
     return both.join(near, [*on, key], "left").withColumn("matched_name", F.coalesce("exact_name", "prefix_name")).drop("exact_name", "prefix_name")
 
 
@@ -78,13 +84,46 @@ def pairs_within(df: DataFrame, by: list[str], item: str, order: str) -> DataFra
     return grouped.select(*by, F.explode(pairs).alias("p")).select(*by, "p.a", "p.b")
 
 
-def greedy_match(expected: DataFrame, scores: DataFrame, by: list[str], least: float) -> DataFrame:
+#: Pairs of one group that are assigned in one row; larger groups go in rounds until they are as small.
+ROW_PAIRS = 4096
+
+
+def greedy_match(expected: DataFrame, scores: DataFrame, by: list[str], least: float, row_pairs: int = ROW_PAIRS) -> DataFrame:
     """One-to-one assignment in the order of `expected`: each takes its best partner not yet taken, if the score is above
-    `least`; of equal scores the earliest partner. expected: by, e_ord; scores: by, e_ord, a_ord, score. Sequential within a
-    group and parallel over groups: a fold over the group's few expectations, in the JVM. Returns by, e_ord, a_ord, score."""
-    options = scores.where(F.col("score") > least).groupBy(*by, "e_ord").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "a_ord"))).alias("options"))
-    all_ = expected.join(options, [*by, "e_ord"], "left").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("e_ord", "options"))).alias("all"))
-    e_type, a_type = expected.schema["e_ord"].dataType.simpleString(), scores.schema["a_ord"].dataType.simpleString()
+    `least`; of equal scores the earliest partner. expected: by, e_ord; scores: by, e_ord, a_ord, score. Returns by, e_ord, a_ord, score.
+
+    A small group is a fold in its row. In a larger one each round settles all pairs in which the partner is the best that the expectation
+    has left, and the expectation the first that has this partner left: no earlier one can take it any more, so the pair is what the
+    sequence would give. What either end still had goes, and groups that are small by then are folded. A round is two
+    aggregates and joins dealt by both ends, so a group of any size is spread; rounds follow the longest chain of expectations that wait
+    for one another."""
+    settled = []
+    rest = written(scores.where(F.col("score") > least).groupBy(*by, "e_ord", "a_ord").agg(F.max("score").alias("score")).join(expected.select(*by, "e_ord").distinct(), [*by, "e_ord"], "left_semi"), "match-pairs")
+    while True:
+        sizes = rest.groupBy(*by).agg(F.count("*").alias("__n"))
+        small = rest.join(sizes.where(F.col("__n") <= row_pairs).select(*by), by, "left_semi")
+        settled.append(written(_folded(small, by), "match-settled"))
+        large = rest.join(sizes.where(F.col("__n") > row_pairs).select(*by), by, "left_semi")
+        if large.isEmpty():
+            remove(rest)
+            break
+        top = large.groupBy(*by, "e_ord").agg(F.min(F.struct((-F.col("score")).alias("less"), "a_ord")).alias("x")).select(*by, "e_ord", "x.a_ord", (-F.col("x.less")).alias("score"))
+        first = large.groupBy(*by, "a_ord").agg(F.min("e_ord").alias("e_ord"))
+        pairs = written(top.join(first, [*by, "e_ord", "a_ord"]).select(*by, "e_ord", "a_ord", "score"), "match-settled")
+        settled.append(pairs)
+        left = written(large.join(pairs.select(*by, "e_ord"), [*by, "e_ord"], "left_anti").join(pairs.select(*by, "a_ord"), [*by, "a_ord"], "left_anti").select(*rest.columns), "match-pairs")
+        remove(rest)
+        rest = left
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _folded(scores: DataFrame, by: list[str]) -> DataFrame:
+    options = scores.groupBy(*by, "e_ord").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "a_ord"))).alias("options"))
+    all_ = options.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("e_ord", "options"))).alias("all"))
+    e_type, a_type = scores.schema["e_ord"].dataType.simpleString(), scores.schema["a_ord"].dataType.simpleString()
     start = F.array().cast(f"array<struct<e_ord:{e_type},a_ord:{a_type},score:double>>")
 
     def step(done: Column, e: Column) -> Column:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import decide, graph, joins, rank, text
+from ..operators import decide, graph, intervals, joins, rank, text, theta
 from ..sources.tables import latest, table
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,23 +224,36 @@ def left_1to1(spark, d):
 
 @query("""SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)""")
 def substring_theta(spark, d):
-    # a text that holds the whole item holds the words within it too: hashes of runs of words meet first, without the texts, and
-    # only texts of hits are tested. Items of one or two words have none within and are searched in each text.
-    words, most = F.split("text", r"\s+"), 8
-    n = F.least(F.size(words) - 2, F.lit(most))
-    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), n.alias("n"), F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.greatest(n, F.lit(0))), " ")).alias("gram"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    sizes = [r.n for r in items.where("n > 0").select("n").distinct().collect()]  # eight values at most
+    return theta.contains_join(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), "doc_id", "text", "item_id", "item").select("item_id", "doc_id")
 
-    def runs(n: int):
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))
 
-    grams = reduce(DataFrame.unionByName, [docs.select("doc_id", words.alias("w")).select("doc_id", F.lit(n).alias("n"), F.explode(runs(n)).alias("gram")) for n in sizes] or [docs.select("doc_id", F.lit(0).alias("n"), F.lit(0).cast("long").alias("gram")).limit(0)])
-    hits = grams.join(items.select("item_id", "n", "gram"), ["n", "gram"]).select("doc_id", "item_id").distinct()
-    long = hits.join(items.select("item_id", "item"), "item_id").join(docs, "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    short = items.where("n <= 0").select("item_id", "item")
-    return long.unionByName(docs.join(short, docs.text.contains(short.item)).select("item_id", "doc_id"))
+@query("""WITH s AS (SELECT DISTINCT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN split_part(s_name, '#', 1) WHEN 1 THEN substr(s_name, length(s_name) - 2) WHEN 2 THEN 'the' ELSE substr(s_name, 1, 1) END AS item FROM supplier), d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -s_suppkey - 1, s_name FROM supplier) SELECT s_suppkey, count(*) AS n_texts, min(doc_id) AS first_text FROM s JOIN d ON contains(d.text, s.item) GROUP BY s_suppkey""")
+def substring_short(spark, d):
+    # short items, many of them equal: which texts and names of suppliers hold a part of a supplier's name
+    name, k = F.col("s_name"), F.col("s_suppkey")
+    item = F.when(k % 4 == 0, F.split_part("s_name", F.lit("#"), F.lit(1))).when(k % 4 == 1, F.substring(name, F.length(name) - 2, F.length(name))).when(k % 4 == 2, "the").otherwise(F.substring(name, 1, 1))
+    suppliers = table(spark, d, "supplier")
+    texts = table(spark, d, "documents").select("doc_id", "text").unionByName(suppliers.select((-k.cast("long") - 1).alias("doc_id"), name.alias("text")))
+    found = theta.contains_join(texts, suppliers.select("s_suppkey", item.alias("item")).distinct(), "doc_id", "text", "s_suppkey", "item")
+    return found.groupBy("s_suppkey").agg(F.count("*").alias("n_texts"), F.min("doc_id").alias("first_text"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber AS line, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS b, l_suppkey % 50 AS g FROM lineitem UNION ALL SELECT 0, 0, -1000000, 1000000, unnest(range(0, 40))), o AS (SELECT o_orderkey, o_custkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders) SELECT o_orderkey, best.k AS span_order, best.l AS span_line, best.b - best.a AS span_days FROM (SELECT o_orderkey, arg_min(struct_pack(k := l_orderkey, l := line, a := a, b := b), (b - a, a, l_orderkey, line)) AS best FROM o LEFT JOIN x ON o.g = x.g AND t BETWEEN a AND b GROUP BY o_orderkey)""")
+def smallest_span(spark, d):
+    days = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    items = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).cast("long").alias("g"), days("l_shipdate").alias("a"), (days("l_shipdate") + F.col("l_quantity").cast("long")).alias("b"), F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("long").alias("l"))
+    over_all = spark.range(40).select(F.col("id").alias("g"), F.lit(-1000000).cast("long").alias("a"), F.lit(1000000).cast("long").alias("b"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("l"))
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("long").alias("g"), days("o_orderdate").alias("t"))
+    found = intervals.smallest_span(orders, items.unionByName(over_all), ["g"], "t", "a", "b", ["a", "k", "l"])
+    return found.select("o_orderkey", F.col("k").alias("span_order"), F.col("l").alias("span_line"), (F.col("b") - F.col("a")).alias("span_days"))
+
+
+@query("""SELECT o_orderkey, count(*) AS n_spans FROM (SELECT o_orderkey, o_custkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders) o JOIN (SELECT l_suppkey % 50 AS g, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS b FROM lineitem) x ON o.g = x.g AND t BETWEEN a AND b GROUP BY o_orderkey""")
+def spans_around(spark, d):
+    days = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    items = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).cast("long").alias("g"), days("l_shipdate").alias("a"), (days("l_shipdate") + F.col("l_quantity").cast("long")).alias("b"))
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("long").alias("g"), days("o_orderdate").alias("t"))
+    return intervals.enclosing(orders, items, ["g"], "t", "a", "b").groupBy("o_orderkey").agg(F.count("*").alias("n_spans"))
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber""")
@@ -374,6 +386,20 @@ def page_slice(spark, d):
     return rank.page(table(spark, d, "orders"), [F.col("o_orderdate").desc(), "o_orderkey"], 50, 25).select("o_orderkey", "o_totalprice")
 
 
+@query(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_WEIGHT} * o_totalprice DESC, o_orderkey) AS rank FROM orders""")
+def whole_rank(spark, d):
+    return rank.numbered(_weighted(spark, d).select("o_orderkey", "score"), [F.col("score").desc(), "o_orderkey"]).select("o_orderkey", "rank")
+
+
+@query("""SELECT o_orderdate, o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25 OFFSET 50""")
+def keyset_page(spark, d):
+    orders, after = table(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), None
+    for _ in range(2):  # the third page follows the last row of the second
+        last = rank.next_page(orders, ["o_orderdate", "o_orderkey"], after, 25).collect()[-1]
+        after = [last.o_orderdate, last.o_orderkey]
+    return rank.next_page(orders, ["o_orderdate", "o_orderkey"], after, 25)
+
+
 @query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events), b AS (SELECT *, (r - 1) // 15 AS c FROM a WHERE r <= 50), s AS (SELECT *, count(*) OVER (PARTITION BY event_type, c) AS size, count(*) OVER (PARTITION BY event_type) AS total, row_number() OVER (PARTITION BY event_type, c ORDER BY user_id DESC, event_id) AS place FROM b), z AS (SELECT *, CASE WHEN place <= greatest(2, ceil(10.0::DOUBLE / total * size * 1.5)) THEN 0 ELSE 1 END AS rest FROM s), f AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY rest, user_id DESC, event_id) AS chosen_rank FROM z) SELECT * FROM f WHERE chosen_rank <= 10""")
 def chunked_topk(spark, d):
     events = table(spark, d, "events").select("event_type", "event_id", "value", "user_id")
@@ -407,6 +433,30 @@ def graph_reach(spark, d):
     return found.select("root", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
+_PLACED = "SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'placed' AS kind FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives' FROM customer"
+_NEAR = f"WITH RECURSIVE e AS ({_PLACED}), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), w AS (SELECT 'o' || o_orderkey AS sink, 'o' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_totalprice > 400000 UNION SELECT w.sink, b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.node WHERE w.depth < 2), n AS (SELECT sink, node, min(depth) AS depth FROM w GROUP BY sink, node)"
+
+
+def _around(spark, d):
+    def named(letter, column):
+        return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+    orders = table(spark, d, "orders")
+    edges = orders.select(named("o", "o_orderkey").alias("src"), named("c", "o_custkey").alias("dst"), F.lit("placed").alias("kind"))
+    edges = edges.unionByName(table(spark, d, "customer").select(named("c", "c_custkey").alias("src"), named("n", "c_nationkey").alias("dst"), F.lit("lives").alias("kind")))
+    return graph.neighbourhoods(edges, orders.where("o_totalprice > 400000").select(named("o", "o_orderkey").alias("node")), 2)
+
+
+@query(f"{_NEAR} SELECT sink, node, depth FROM n")
+def graph_near_nodes(spark, d):
+    return _around(spark, d)[0]
+
+
+@query(f"{_NEAR} SELECT a.sink, e.src, e.dst, e.kind FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst AND b.sink = a.sink")
+def graph_near_edges(spark, d):
+    return _around(spark, d)[1]
+
+
 # ---- states ----------------------------------------------------------------------------------------------
 
 

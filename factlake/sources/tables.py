@@ -31,6 +31,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet under a new path in the shared folder, and read from there. remove deletes it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def remove(*frames: DataFrame) -> None:
+    """Deletes what written has written, when nothing reads it any more."""
+    for df in frames:
+        remove_path(df.sparkSession, df.__dict__["written_to"])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def source_files(spark: SparkSession, root: str, pattern: str = "*.rs", pruned: tuple[str, ...] = PRUNED, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, length, content) of the files below root, however deep, that match the pattern. The size limit reaches the
     scan, so large files aren't opened."""
