@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factlake.functions import scalars
 from factlake.operators import decide, graph, joins, rank, text
 from factlake.plans import queries
-from factlake.streaming.limiter import limit_events, limit_stream
+from factlake.streaming.limiter import limit_events
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -115,16 +115,6 @@ def test_limiter(spark):
     assert got == [True, True, False, False, True, True, False, True]
 
 
-def test_limiter_stream(spark, tmp_path):
-    rows = [("k", t, n) for n, t in enumerate([0, 1, 2, 10, 11, 12, 13, 30])]
-    spark.createDataFrame(rows, "k string, at long, n int").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("k string, at long, n int").parquet(f"{tmp_path}/in")
-    run = limit_stream(stream, "k", "at", "n", 2, 10).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = [r.allowed for r in sorted(spark.table("limited").collect(), key=lambda r: r.n)]
-    assert got == [True, True, False, False, True, True, False, True]
-
-
 def test_json_repair():
     cases = {'{"a": 1}': '{"a":1}', '```json\n{"a": [1, 2,]}\n```': '{"a":[1,2]}', 'so: {"a": {"b": "x"': '{"a":{"b":"x"}}', 'x {"a": 1} y': '{"a":1}', "none": None, '{"a": "q\\"': '{"a":"q\\""}'}
     assert {k: scalars.repaired(k) for k in cases} == cases and scalars.repaired(None) is None
