@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.common import materialize
+from factlake.llm.common import discard, materialize
 from factlake.llm.lines import drop_lines
 from factlake.llm.packing import pack_documents
 from factlake.llm.pii import mask_documents
@@ -62,12 +62,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; each one's rows are written and read again, and deleted when the next one's are written."""
+    docs, docs_before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            if docs_before is not None:
+                discard(docs_before)
+            docs_before = docs
     return docs
 
 

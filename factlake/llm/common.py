@@ -51,6 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unlike(name: str, columns: list[str]) -> str:
+    """name, longer if a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Cuts a batch at row borders into parts of at most limit bytes of text, one row at least."""
     n = len(texts)
@@ -120,15 +128,18 @@ def run_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = i[keys[i] == keys[i + d]]
 
 
-def salted_runs(keyed: DataFrame, by: str, name: str, run_rows: int = RUN_ROWS, hot: DataFrame | None = None, buckets: int = 0) -> DataFrame:
+def salted_runs(keyed: DataFrame, by: str, name: str, run_rows: int = RUN_ROWS, hot: DataFrame | None = None, buckets: int = 0, made: list[DataFrame] | None = None) -> DataFrame:
     """Deals rows of (key long, ...) out by key and sorts them. A key of more than run_rows rows is cut by a hash of column
     `by` into m cuts, and each row goes to the m groups that hold its cut and one other, so that every pair still meets
     and no task gets an unbounded group. Adds column run, the group.
 
     By default keys are counted, and those of one row dropped: they have no pair. With `hot`, the (bucket, n)
-    of those buckets (lowest bits of key) that hold more than run_rows rows, a bucket's keys are cut alike."""
+    of those buckets (lowest bits of key) that hold more than run_rows rows, a bucket's keys are cut alike. The table of counts that is
+    written for it goes to `made`, to be discarded when the rows have been read."""
     if hot is None:
         counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-keys")
+        if made is not None:
+            made.append(counts)
         dealt = keyed.join(counts, "key")
     else:
         dealt = keyed.withColumn("bucket", F.col("key").bitwiseAND(F.lit(buckets - 1))).join(hot, "bucket", "left").drop("bucket")

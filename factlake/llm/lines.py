@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
+from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, discard, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
 
 #: Edits within which two lines are one, and code points from which a line takes part in that; shorter ones are one if equal.
 EDITS, MIN_CHARS = 2, 20
@@ -299,7 +299,7 @@ def _mapped(docs: DataFrame, run, schema: str, text_col: str) -> DataFrame:
 
 
 def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between hashes of different lines that are joined by lines within `edits`, fewer than all pairs.
+    """Edges (a, b) between hashes of different lines that are joined by lines within `edits`, fewer than all pairs; written once.
 
     First only keys, short hashes and signatures meet: lines with a partner that the signature allows are marked. Then the
     texts of marked lines, found again with the help of a fixed-size bitmap, meet by the same keys and are
@@ -320,7 +320,8 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
 
     counts = _mapped(docs, counted, "bucket long, n long", text_col).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > RUN_ROWS)
     rows = _mapped(docs, keyed, "key long, short long, sig long", text_col)
-    dealt = salted_runs(rows, "short", "lines", hot=materialize(counts, "lines-hot"), buckets=buckets).select("run", "key", "short", "sig")
+    hot = materialize(counts, "lines-hot")
+    dealt = salted_runs(rows, "short", "lines", hot=hot, buckets=buckets).select("run", "key", "short", "sig")
 
     def mark(batches):
         for table in whole_runs(batches):
@@ -336,6 +337,7 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, short, sig.view(np.int64))], names=["key", "short", "sig"])
 
     marked = materialize(dealt.mapInArrow(mark, "key long, short long, sig long"), "lines-marked")
+    discard(hot)
     held = spark.sparkContext.broadcast(bit_filter(marked.select(F.col("short").alias("hash")), FILTER_BITS))
 
     def wanted(texts, seen):
@@ -344,7 +346,9 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
         yield pa.RecordBatch.from_arrays([pa.array([short[k] for k in ok], pa.int64()), pa.array([lines[k] for k in ok], pa.string())], names=["short", "line"])
 
     texts = _mapped(docs, wanted, "short long, line string", text_col)
-    again = salted_runs(materialize(marked.distinct().join(texts, "short"), "lines-texts"), "short", "lines2").select("run", "key", "sig", "line")
+    found, made = materialize(marked.distinct().join(texts, "short"), "lines-texts"), []
+    discard(marked)
+    again = salted_runs(found, "short", "lines2", made=made).select("run", "key", "sig", "line")
 
     def verify(batches):
         for table in whole_runs(batches, 1 << 15):
@@ -381,7 +385,9 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
             child = [k for k in np.flatnonzero(lab != np.arange(len(lab))).tolist() if lines[k] != lines[lab[k]]]
             yield pa.RecordBatch.from_arrays([pa.array([line_hash(lines[k]) for k in child], pa.binary()), pa.array([line_hash(lines[lab[k]]) for k in child], pa.binary())], names=["a", "b"])
 
-    return again.mapInArrow(verify, "a binary, b binary")
+    edges = materialize(again.mapInArrow(verify, "a binary, b binary"), "lines-edges")
+    discard(found, *made)
+    return edges
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -390,48 +396,60 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
     Lines that are equal once stripped, or joined by a chain of lines within `edits`, are one class; its first line by
     doc_id, text hash and number stays (null ids come first). With short, lines under min_chars take part too, but only
-    with lines that are equal; empty ones don't. An empty table gives no rows."""
+    with lines that are equal; empty ones don't. Null texts have no lines, and an empty table gives no rows. The rows are written, and
+    all that was written on the way is deleted."""
     occ = materialize(occurrences(docs, 1 if short else min_chars, id_col, text_col), "lines-all")
     distinct = materialize(occ.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.count("*").alias("n")), "lines-distinct")
-    found = components(line_links(docs, distinct.count(), edits, min_chars, text_col), "lines")
+    edges = line_links(docs, distinct.count(), edits, min_chars, text_col)
+    found = components(edges, "lines")
+    discard(edges)
     joined = distinct.join(found, distinct.line == found.node, "left").select("line", "first", "n", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("near"))
     joined = materialize(joined.where("near or n > 1"), "lines-rooted")
+    discard(distinct, found)
     stays = materialize(joined.groupBy("root").agg(F.min(F.struct("first", "line")).alias("stays")), "lines-stays")
     named = joined.select("line", "root").join(stays, "root").select("line", F.col("stays.first").alias("stays"), (F.col("line") != F.col("stays.line")).alias("near"))
     named = materialize(named, "lines-named")
+    discard(joined, stays)
     lost = occ.join(named, "line").where(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("stays")))
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("stays.doc_id")).alias("first_docs"))
+    out = lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("stays.doc_id")).alias("first_docs"))
+    out = materialize(out, "lines-lost")
+    discard(occ, named)
+    return out
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with the lines of text_col that repeat an earlier one, exactly or within `edits`, taken out, and columns
     __dropped (how many), __near (how many of them differ from the line that stays) and __first (ids of the documents of those that
-    stay). Other columns stay, whatever their names.
+    stay). Other columns stay, whatever their names; only columns of these three names are replaced.
 
     Lines shorter than min_chars stay, or with short, those that repeat an earlier one exactly go. Null and empty texts stay as
     they are, an empty table stays empty; rows that repeat id and text are one document and lose the same lines. A line of a
     third of all documents costs one row for each. Texts are cut whole, in time in proportion to their lines."""
-    lost = materialize(dropped_lines(docs, edits, min_chars, id_col, text_col, short), "lines-lost")
-    lost = lost.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"), F.col("first_docs").alias("__first"))
-    out = docs.withColumn("__text_hash", _text_hash(text_col))
+    lost = dropped_lines(docs, edits, min_chars, id_col, text_col, short)
+    # the rows of docs are one column, so that no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(id_col).cast("long").alias("own_id"), _text_hash(text_col).alias("own_hash"))
     # what is lost follows the documents and has no bound: never broadcast
-    out = out.join(lost.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    out = rows.join(lost.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    text = F.col("row")[text_col]
 
     def kept(lines: Column) -> Column:
-        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
         return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
 
     # split once: what a lambda takes from outside is computed for each element otherwise
-    cut = F.element_at(F.transform(F.array(F.split(F.col(text_col), "\n")), kept), 1)
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(cut).alias(text_col)
-    return out.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("__lines"), F.lit(0)).alias("__dropped"), F.coalesce("__near", F.lit(0)).cast("long").alias("__near"), F.coalesce("__first", F.array().cast("array<long>")).alias("__first"))
+    cut = F.element_at(F.transform(F.array(F.split(text, "\n")), kept), 1)
+    text = F.when(F.col("lines").isNull(), text).otherwise(cut).alias(text_col)
+    own = [text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("__dropped", "__near", "__first")]
+    return out.select(*own, F.coalesce(F.size("lines"), F.lit(0)).alias("__dropped"), F.coalesce("n_near", F.lit(0)).cast("long").alias("__near"), F.coalesce("first_docs", F.array().cast("array<long>")).alias("__first"))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_dropped, n_near (dropped lines that differ from the one that stays), first_docs
     (ids of the documents whose lines stay in their place) and kept_sha256 (of the text that is left; null counts as empty).
 
-    Repeated rows give repeated rows, an empty table none; other columns aren't read."""
+    Null ids come before all others where lines tie. A very long text is cut into lines whole. Repeated rows give repeated rows, an
+    empty table none; other columns aren't read."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     kept = drop_lines(own.withColumn("__n", n), edits, min_chars, short=short)

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, bits_of, materialize, shared_dir, slices
+from .common import as_bytes, bit_filter, bits_of, discard, materialize, shared_dir, slices
 
 #: Samples in a row of the stored image; a payload is filled up to whole rows.
 WIDTH, FILL = 576, b"\xff"
@@ -137,28 +137,28 @@ def _stored(folder: str):
 _PLACES = "doc_id long, key binary, n_bytes long, digest string, shard string, offset long, length long"
 
 
-def store_texts(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text's payload in tar shards in folder (a URI that all executors share): doc_id, n_bytes, digest
-    (sha256 of the stored form), shard, offset, length.
+#: Rows of one repeated text that meet its place in one task; those of a text with more are dealt to so many cuts.
+HOT_ROWS, CUTS = 100_000, 64
 
-    Payloads are content-addressed: members are named by digest, and equal payloads are stored once in all shards. Which texts
-    repeat is found by their hashes alone and told to the tasks as a bitmap of fixed size; texts that don't are stored where they
-    are read, one row of each other text is shuffled by its hash. Null counts as empty, repeated rows share a place. The rows are
-    written before they are returned, so they name shards that are whole."""
+
+def _places(docs: DataFrame, folder: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stores each text's payload: places of the texts that don't repeat, with their ids; of each other text its key and place; and
+    (doc_id, key) of the rows of those. Texts are read three times: to hash them, to store those alone, and to send one of each other."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def hashed(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).digest() for x in as_bytes(batch.column(1))], pa.binary())], names=["key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(x).digest() for x in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "key"])
 
     def short(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], names=["hash"])
 
-    repeated = rows.mapInArrow(hashed, "key binary").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = rows.sparkSession.sparkContext.broadcast(bit_filter(repeated.mapInArrow(short, "hash long"), FILTER_BITS))
+    keys = materialize(rows.mapInArrow(hashed, "doc_id long, key binary"), "media-keys")
+    repeated = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "media-repeated")
+    held = rows.sparkSession.sparkContext.broadcast(bit_filter(repeated.select("key").mapInArrow(short, "hash long"), FILTER_BITS))
 
-    def keyed(again: bool, texts_too: bool):
+    def keyed(again: bool):
         def run(batches: Iterable[pa.RecordBatch]):
             seen: set[bytes] = set()
             for batch in batches:
@@ -166,21 +166,53 @@ def store_texts(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     key = [hashlib.sha256(x).digest() for x in as_bytes(texts)]
                     own = bits_of(held.value, np.array([int.from_bytes(x[:8], "little", signed=True) for x in key], np.int64))
                     own = own if again else ~own
-                    if again and texts_too:  # a task sends a text once while it remembers it
+                    if again:  # a task sends a text once while it remembers it
                         seen = set() if len(seen) > KEPT_KEYS else seen
                         own &= np.array([x not in seen and not seen.add(x) for x in key], bool)
-                    columns = [ids, pa.array(key, pa.binary()), *([pc.fill_null(texts, "")] if texts_too else [])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "text"][: len(columns)]).filter(pa.array(own))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.binary()), pc.fill_null(texts, "")], names=["id", "key", "text"]).filter(pa.array(own))
 
         return run
 
     kept = "id long, key binary, text string"
-    alone = materialize(rows.mapInArrow(keyed(False, True), kept).mapInArrow(_stored(folder), _PLACES), "media-alone")
-    one = rows.mapInArrow(keyed(True, True), kept).groupBy("key").agg(F.first("text").alias("text"))
+    alone = materialize(rows.mapInArrow(keyed(False), kept).mapInArrow(_stored(folder), _PLACES), "media-alone")
+    one = rows.mapInArrow(keyed(True), kept).groupBy("key").agg(F.first("text").alias("text"))
     shared = materialize(one.select(F.lit(None).cast("long").alias("id"), "key", "text").mapInArrow(_stored(folder), _PLACES), "media-shared")
-    crowd = rows.mapInArrow(keyed(True, False), "id long, key binary").withColumnRenamed("id", "doc_id")
-    crowd = crowd.join(shared.drop("doc_id"), "key")
-    return materialize(alone.unionByName(crowd).drop("key"), "media-rows")
+    hot = rows.sparkSession.sparkContext.broadcast(bit_filter(repeated.where(F.col("n") > HOT_ROWS).select("key").mapInArrow(short, "hash long"), FILTER_BITS))
+
+    def hashes(keys_: pa.Array) -> np.ndarray:
+        return np.array([int.from_bytes(x[:8], "little", signed=True) for x in keys_.to_pylist()], np.int64)
+
+    def crowded(batches: Iterable[pa.RecordBatch]):
+        """The rows of repeated texts; those of a hot one go in turn to its cuts."""
+        for batch in batches:
+            h = hashes(batch.column(1))
+            cut = np.where(bits_of(hot.value, h), np.arange(len(h)) % CUTS, 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.int32())], names=["doc_id", "key", "cut"]).filter(pa.array(bits_of(held.value, h)))
+
+    def spread(batches: Iterable[pa.RecordBatch]):
+        """A place for each cut of a hot text, one for each other."""
+        for batch in batches:
+            n = np.where(bits_of(hot.value, hashes(batch.column(batch.schema.names.index("key")))), CUTS, 1)
+            at = np.repeat(np.arange(len(n)), n)
+            cut = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(cut, pa.int32())], names=[*batch.schema.names, "cut"])
+
+    places = materialize(shared.drop("doc_id").mapInArrow(spread, _PLACES.replace("doc_id long, ", "") + ", cut int"), "media-places")
+    crowd = materialize(keys.mapInArrow(crowded, "doc_id long, key binary, cut int"), "media-crowd")
+    discard(keys, repeated, shared)
+    return alone, places, crowd
+
+
+def store_texts(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores each text's payload in tar shards in folder (a URI that all executors share): doc_id, n_bytes, digest
+    (sha256 of the stored form), shard, offset, length.
+
+    Payloads are content-addressed: members are named by digest, and equal payloads are stored once in all shards. Which texts
+    repeat is found by their hashes alone and told to the tasks as a bitmap of fixed size; texts that don't are stored where they
+    are read, one row of each other text is shuffled by its hash. Null counts as empty, repeated rows share a place. The rows are
+    written before they are returned, so they name shards that are whole."""
+    alone, shared, crowd = _places(docs, folder, id_col, text_col)
+    return materialize(alone.drop("key").unionByName(crowd.join(shared, ["key", "cut"]).drop("key", "cut")), "media-rows")
 
 
 class Reader:
@@ -199,26 +231,29 @@ class Reader:
         return self.open[shard].read_at(length, offset)
 
 
-def _with_columns(rows: DataFrame, folder: str, fn, schema: str) -> DataFrame:
-    """Adds columns that fn(reader, shard, offset, length) gives for each stored payload. Each is read once, whatever number of rows
-    point at it: places are dealt out by shard and part of a shard, and rows meet what was read of theirs."""
+def _with_columns(places: DataFrame, folder: str, fn, schema: str) -> DataFrame:
+    """Adds columns that fn(reader, shard, offset, length) gives for each row's stored payload. Rows are small but what they point at
+    isn't: they are dealt out by shard and part of a shard, to tasks of as many bytes as Spark's own scans have. A place whose rows
+    stand one after another is read once."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
-    place = ["shard", "offset", "length"]
 
     def run(batches: Iterable[pa.RecordBatch]):
-        reader = Reader(folder)
+        reader, last, value = Reader(folder), None, None
         for batch in batches:
-            got = [fn(reader, *key) for key in zip(*(batch.column(c).to_pylist() for c in place))]
+            got = []
+            for place in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("shard", "offset", "length"))):
+                if place != last:
+                    last, value = place, fn(reader, *place)
+                got.append(value)
             columns = [pa.array(c, t) for c, t in zip(zip(*got), types)] if got else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*place, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    # the places are small but what they point at isn't: tasks of as many bytes as Spark's own scans have
-    places = materialize(rows.select(*place).distinct(), "media-places")
-    part = int(rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").rstrip("bB").replace("m", "000000").replace("k", "000").replace("g", "000000000"))
+    part = places.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    dealt = places.repartition(total // part + 1, "shard", F.floor(F.col("offset") / F.lit(max(part // 4, 1))))
-    return rows.join(dealt.mapInArrow(run, f"shard string, offset long, length long, {schema}"), place)
+    dealt = places.repartition(total // part + 1, "shard", F.floor(F.col("offset") / F.lit(max(part // 4, 1)))).sortWithinPartitions("shard", "offset")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema)
+    return dealt.mapInArrow(run, f"{kept}, {schema}")
 
 
 _METADATA = "width long, height long, sample_bits long"
@@ -254,9 +289,13 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path)
-    rows = store_texts(docs, folder, id_col, text_col)
-    # the header first, by itself, then the payload: both of a place in one task
-    rows = _with_columns(rows, folder, lambda *place: (*_metadata(*place), *_content(*place)), f"{_METADATA}, {_CONTENT}")
+    alone, shared, crowd = _places(docs, folder, id_col, text_col)
+
+    def both(places: DataFrame) -> DataFrame:  # the header first, by itself, then the payload: both of a place in one task
+        return _with_columns(places, folder, lambda *place: (*_metadata(*place), *_content(*place)), f"{_METADATA}, {_CONTENT}")
+
+    # each payload is read once, before the rows that share it meet it
+    rows = both(alone.drop("key")).unionByName(crowd.join(both(shared), ["key", "cut"]).drop("key", "cut"))
     return rows.select(
         "doc_id", "n_bytes", (F.col("width") * F.col("height")).alias("payload_bytes"), "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"),
         F.col("stored_sha256").alias("media_sha256"), "feature", "shard", "offset", "width", "height",

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, bits_of, components, discard, map_texts, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
+from .common import as_bytes, bit_filter, bits_of, components, discard, map_texts, materialize, np_components, run_pairs, salted_runs, slices, unlike, whole_runs
 
 SEED, WORDS, BITS = 42, 4, 4
 #: Bits of the filters that decide rows in place; their size doesn't grow.
@@ -62,7 +62,8 @@ def links(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
     each group of a shared key, those that are linked point at their smallest."""
     keys = [F.xxhash64(F.lit(i), *(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in own)) for i, own in enumerate(blocks(n, bits))]
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    dealt = salted_runs(keyed, "fp", "simhash").select("run", "fp")
+    made: list[DataFrame] = []
+    dealt = salted_runs(keyed, "fp", "simhash", made=made).select("run", "fp")
 
     def run(batches):
         for table in whole_runs(batches):
@@ -81,7 +82,9 @@ def links(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
             child = np.flatnonzero((lab != np.arange(len(lab))) & (fps != fps[lab]))
             yield pa.RecordBatch.from_arrays([pa.array(fps[child].view(np.int64)), pa.array(fps[lab[child]].view(np.int64))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    edges = materialize(dealt.mapInArrow(run, "a long, b long"), "simhash-edges")
+    discard(*made)
+    return edges
 
 
 def joined(lab: np.ndarray, at: list[np.ndarray], to: list[np.ndarray]) -> np.ndarray:
@@ -94,9 +97,10 @@ def joined(lab: np.ndarray, at: list[np.ndarray], to: list[np.ndarray]) -> np.nd
 def roots(fps: DataFrame, least: Column, bits: int = BITS) -> DataFrame:
     """(fp, least, n, root) of the distinct fingerprints: an aggregate of each one's rows, their number, and the name of its component."""
     distinct = materialize(fps.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")), "simhash-distinct")
-    found = components(links(distinct.select("fp"), distinct.count(), bits), "simhash")
+    edges = links(distinct.select("fp"), distinct.count(), bits)
+    found = components(edges, "simhash")
     rooted = materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    discard(distinct, found)
+    discard(distinct, found, edges)
     return rooted
 
 
@@ -111,7 +115,7 @@ def _row_key(i: int | None, h: bytes) -> int:
 
 def keep_first(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of near-duplicates: that of the smallest id (a whole number), null ids last, then of the
-    smallest hash of the text (128 bits); of rows that have both alike the smallest by their other columns. Null and empty texts
+    smallest hash of the text (128 bits); of rows that have both alike the one whose other columns are the smallest as JSON. Null and empty texts
     have fingerprint zero and are one component; an empty table stays empty.
 
     Only ids and hashes are shuffled to decide. Two bitmaps of fixed size then tell a row in place: one of texts whose component has
@@ -145,6 +149,9 @@ def keep_first(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast((many, stay))
     discard(rooted, fps)
 
+    own_id = unlike("__id", docs.columns)
+    own_hash = unlike("__h", docs.columns)
+
     def told(open_: bool):
         def run(batches: Iterable[pa.RecordBatch]):
             many, stay = held.value
@@ -152,23 +159,23 @@ def keep_first(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_c
                 names = batch.schema.names
                 raw = as_bytes(batch.column(names.index(text_col)))
                 hashes = [xxhash.xxh3_128_digest(x) for x in raw]
-                ids = batch.column(names.index("__id")).to_pylist()
+                ids = batch.column(names.index(own_id)).to_pylist()
                 crowd = bits_of(many, np.array([_short(h) for h in hashes], np.int64))
                 if open_:
                     crowd &= bits_of(stay, np.array([_row_key(i, h) for i, h in zip(ids, hashes)], np.int64))
-                own = pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], names=[*names, "__h"])
+                own = pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], names=[*names, own_hash])
                 yield own.filter(pa.array(crowd if open_ else ~crowd))
 
         return run
 
-    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", __h binary"
+    rows = docs.withColumn(own_id, F.col(id_col).cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{own_hash}` binary"
     alone, open_ = (rows.mapInArrow(told(x), schema) for x in (False, True))
-    first = groups.select(F.col("first.id").alias("__f"), F.col("first.h").alias("__g"))
-    rest = [c for c in docs.columns if c != text_col]
-    open_ = open_.groupBy("__id", "__h").agg(F.min(F.struct(*rest, text_col)).alias("__row"))
-    open_ = open_.join(first, F.col("__id").eqNullSafe(F.col("__f")) & (F.col("__h") == F.col("__g")), "left_semi")
-    return alone.select(*docs.columns).unionByName(open_.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    first = groups.select(F.col("first.id").alias("f"), F.col("first.h").alias("g"))
+    row, other = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]), F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text_col]))
+    open_ = open_.groupBy(F.col(own_id).alias("i"), F.col(own_hash).alias("h")).agg(F.min_by(row, other).alias("row"))
+    open_ = open_.join(first, F.col("i").eqNullSafe(F.col("f")) & (F.col("h") == F.col("g")), "left_semi")
+    return alone.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(open_.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,5 +189,6 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", t
     rooted = roots(fps, F.min("doc_id"), bits)
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-named")
+    discard(rooted, least)
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
