@@ -96,12 +96,24 @@ def fit(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, r
     return model
 
 
-def sample(docs: DataFrame, train: F.Column, per_lang: int = PER_LANG) -> tuple[list[np.ndarray], list[str]]:
-    """N-grams and languages of at most per_lang training rows a language, picked by a hash of the id: the first
+#: Languages that are learned: those of the most training rows, so that a column of stray values sends no more to the driver.
+MOST_LANGS = 256
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category; the pattern alone would take other numbers for one."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
+def sample(docs: DataFrame, train: F.Column, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> tuple[list[np.ndarray], list[str]]:
+    """N-grams and languages of at most per_lang training rows a language, of the most_langs languages with the most of them (equal ones by
+    name), picked by a hash of the id: the first
     pass reads ids and languages only, and the texts of the picked (id, language) become n-grams on the executors. Of rows that
     share both, the one whose text has the smallest hash is learned from, so neither order nor repeats decide and
     the driver gets no more rows than were picked."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    most = [r.lang for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()]
+    rows = rows.where(F.col("lang").isin(most)) if most else rows
     h = F.xxhash64(F.col("doc_id").cast("long"))
     picked = rows.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id").cast("long").alias("id"))).alias("x"))
     ids = [(r.id, r.lang) for r in picked.select(F.col("x.id").alias("id"), "lang").collect()]  # per_lang rows a language at most
@@ -130,7 +142,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         sign = ALPHABET[data]
         n = len(ids)
         lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
-        known = [k for k, t in enumerate(texts.to_pylist()) if t and LETTER.search(t)] if model else []
+        known = [k for k, t in enumerate(texts.to_pylist()) if t and has_letter(t)] if model else []
         mark = np.zeros(CODES, bool)
         for lo in range(0, len(known), block):
             part = known[lo : lo + block]

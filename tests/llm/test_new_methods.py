@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.llm import balls, lines, media, mixing, search, simhash
+from factlake.llm import balls, language, lines, media, mixing, search, simhash
 from factlake.llm.queries import oracle_sql, queries
 from tests.llm.conftest import same_rows
 
@@ -229,3 +229,12 @@ def test_media_reads_sparks_sizes(spark, odd_docs, tmp_path, monkeypatch, part):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     want = sorted((x.doc_id or -1, len((x.text or "").encode())) for x in odd_docs.collect())
     assert sorted((x.doc_id or -1, x.n_bytes) for x in rows) == want
+
+
+def test_letters_and_many_languages(spark):
+    """Numbers that aren't decimal are no letters; of a thousand stray languages only so many are learned."""
+    assert [language.has_letter(x) for x in ("½ ²", "12 _", "", "é", "日", "x²", "ª")] == [False, False, False, True, True, True, True]
+    rows = [(i, f"text number {i} of this language", "en" if i % 2 else "de") for i in range(400)] + [(1000 + i, "stray text", f"l{i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs, F.lit(True), 16, 5)[1]
+    assert set(got) >= {"en", "de"} and len(set(got)) <= 5
