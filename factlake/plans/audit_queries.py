@@ -240,10 +240,10 @@ def rule_20_with_constraints(spark, d):
 
 
 @query(f"""{_WITH}, found AS ({_FINDINGS}), best AS (SELECT repo_id, class_id, path, line, instruction, max(confidence) AS confidence FROM found GROUP BY ALL)
-SELECT b.repo_id, count(*) AS total, count(DISTINCT (b.class_id, b.path, b.line, b.instruction)) AS n_keys, round(sum(b.confidence), 6) AS sure FROM best b GROUP BY b.repo_id""")
+SELECT repo_id, CAST(class_id AS INTEGER) AS class_id, path, CAST(line AS INTEGER) AS line, instruction, confidence FROM best""")
 def audit_assembled(spark, d):
     ranked = rules.assemble(rules.detect(_facts(spark, d)))
-    return ranked.groupBy("repo_id").agg(F.max("rank").alias("total"), F.count_distinct(F.struct("class_id", "path", "line", "instruction")).alias("n_keys"), F.round(F.sum("confidence"), 6).alias("sure"))
+    return ranked.select("repo_id", F.col("class_id").cast("int").alias("class_id"), "path", F.col("line").cast("int").alias("line"), "instruction", "confidence")
 
 
 # ---- graphs ------------------------------------------------------------------------------------------------

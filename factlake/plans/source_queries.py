@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import store, tree, versions
-from ..sources.tables import shared_path, table
+from ..sources.tables import artifacts, shared_path, table
 from .queries import query
 
 
@@ -61,3 +61,13 @@ def versions_latest(spark, d):
     versions.delete_cascade(own.where("o_custkey % 4 = 0").select("o_orderkey"), orders, (lines, "l_orderkey"))
     counts = lines.read().groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     return orders.read().join(counts, "o_orderkey", "left").select("o_orderkey", "status", F.coalesce("n", F.lit(0)).alias("n_lines"))
+
+
+_KEPT = "(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '{broken' WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(json_object('purpose', o_orderpriority) AS VARCHAR) END AS metadata, nullif(o_orderstatus, 'F') AS type, 'order_' || o_orderkey AS name FROM orders)"
+
+
+@query(f"SELECT o_orderkey FROM {_KEPT} WHERE coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.purpose') END = '2-HIGH', false) OR coalesce(type = 'P', false) OR contains(name, '_77')")
+def artifacts_or(spark, d):
+    key, told = F.col("o_orderkey"), F.to_json(F.struct(F.col("o_orderpriority").alias("purpose")))
+    kept = table(spark, d, "orders").select("o_orderkey", F.when(key % 11 == 0, "{broken").when(key % 7 == 0, None).otherwise(told).alias("metadata"), F.nullif("o_orderstatus", F.lit("F")).alias("type"), F.concat(F.lit("order_"), key.cast("string")).alias("name"))
+    return artifacts(kept, "2-HIGH", "P", "_77").select("o_orderkey")

@@ -128,6 +128,13 @@ def latest(events: DataFrame, key: list[str], at: str) -> DataFrame:
     return last.select(*key, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
+def artifacts(df: DataFrame, purpose: str, kind: str, part: str, metadata: str = "metadata", type_: str = "type", name: str = "name") -> DataFrame:
+    """Rows whose metadata (JSON) has the purpose, or whose type is `kind`, or whose name contains `part`; a null or broken side decides
+    nothing by itself."""
+    said = F.try_variant_get(F.try_parse_json(metadata), "$.purpose", "string") == purpose
+    return df.where(F.coalesce(said, F.lit(False)) | F.coalesce(F.col(type_) == kind, F.lit(False)) | F.coalesce(F.col(name).contains(part), F.lit(False)))
+
+
 def without_keys(df: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     """What a delete of these keys leaves; for parent and child tables alike."""
     return df.join(gone.select(*key).distinct(), key, "left_anti")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from factlake.operators import syntax
 from factlake.plans import candidates, evaluate
@@ -112,3 +113,31 @@ def test_dispatch(spark):
     source = "entrypoint!(process_instruction);\nfn process_all(i: I) { match i { I::Swap => process_swap(a), I::Trade => { process_swap(b) } I::Odd => err(x), I::Far => other(y), } }\nfn process_swap(a: A) { }\n"
     p = candidates.gather(None, syntax.parse(spark.createDataFrame([("d", "lib.rs", source)], "repo_id string, path string, content string")))
     assert {(r.instruction, tuple(r.names)) for r in candidates.dispatch_names(p).collect()} == {("process_swap", ("swap", "trade")), ("process_all", ("swap", "trade", "far"))}
+
+
+def test_grades_by_sureness_and_evidence(spark, found):
+    """Below 80 a confirmation gives no B; without evidence it gives C from 80, and an uncertain verdict C from 50."""
+    base = found[1].where("repo_id = 'r'").limit(1)
+    cases = [(k, verdict, float(sure), wide) for k, (verdict, sure, wide) in enumerate([("confirmed", 60, 0), ("confirmed", 79, 0), ("confirmed", 80, 0), ("confirmed", 80, 1), ("confirmed", 79, 1), ("uncertain", 50, 1), ("uncertain", 49, 1), ("rejected", 99, 1)])]
+    asked = spark.createDataFrame(cases, "id long, verdict string, sure double, wide int")
+    none, lit = F.array().cast("array<string>"), F.lit
+    rows = base.drop("id").crossJoin(asked.select("id", "wide")).withColumn("severity", lit("CRITICAL")).withColumn("origin", lit("second")).withColumn("link", lit(None).cast("string"))
+    rows = rows.withColumn("accounts", none).withColumn("instruction", lit("nowhere")).withColumn("line", lit(1)).withColumn("end_line", F.when(F.col("wide") == 1, 50).otherwise(9)).drop("wide")
+    confirmations = asked.select(lit("r").alias("repo_id"), "id", "verdict", "sure", lit(False).alias("easy"))
+    got = {r.id: (r.grade, r.severity) for r in candidates.graded(rows, confirmations, spark.createDataFrame([], "repo_id string, id long, proven boolean"), found[0]).collect()}
+    assert [got[k][0] for k in range(8)] == ["C", "C", "B", "C", "D", "C", "D", "D"] and got[0][1] == "HIGH" and got[2][1] == "CRITICAL" and got[4][1] == "MEDIUM"
+
+
+def test_two_operations_on_one_field(spark):
+    """Two price reads of one function show the same field: it is found once, where the field stands."""
+    source = "#[program]\npub mod m {\n    pub fn read(ctx: Context<Read>) -> Result<()> {\n        let p = get_price(&ctx.accounts.price_feed)?;\n        let q = get_price(&ctx.accounts.price_feed)?;\n        Ok(())\n    }\n}\n#[derive(Accounts)]\npub struct Read<'info> {\n    pub price_feed:\n        AccountInfo<'info>,\n}\n"
+    p = candidates.gather(None, syntax.parse(spark.createDataFrame([("r", "lib.rs", source)], "repo_id string, path string, content string")))
+    rows = candidates.generate(p).where("rule = 7").collect()
+    assert [(r.line, r.end_line, r.accounts) for r in rows] == [(11, 12, ["price_feed"])] and rows[0].link.startswith("oracle_read at line")
+
+
+def test_aliases_match_by_containment(spark):
+    expected = spark.createDataFrame([("r", 0, "reinit", ["swap_exact"])], "repo_id string, e_ord int, e_class string, e_instructions array<string>")
+    expected = expected.selectExpr("*", "cast(null as array<string>) as e_alt", "cast(null as array<string>) as e_accounts", "cast(null as string) as e_file", "cast(null as string) as e_severity")
+    actual = spark.createDataFrame([("r", 0, "reinit", "process_x", [], "lib.rs", "HIGH", ["Swap"]), ("r", 1, "reinit", "process_y", [], "lib.rs", "HIGH", ["trade"])], "repo_id string, a_ord int, vuln_class string, instruction string, accounts array<string>, path string, severity string, aliases array<string>")
+    assert [(r.e_ord, r.a_ord, r.score) for r in evaluate.match(expected, actual).collect()] == [(0, 0, 1.0)]
