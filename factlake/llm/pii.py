@@ -67,6 +67,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 PLAIN = ("plain", "plain 2", "plain 3", "plain 4")
 
 
+#: Words that say what a number beside them is: one to reach a person at, or one that counts or names a thing.
+CUES = {
+    "reached": "call cell contact dial fax faxed handy hotline kontakt mobil mobile móvil phone ring rufnummer sms telefax telefon telefono teléfono telephone tel text tél téléphone whatsapp".split(),
+    "counted": "account amount article asin balance barcode batch bitcoin block build case catalog chapter code codes contract count customer date dated distance docket ean height iban id index invoice isbn issn issue item items "
+    "km konto length licence license line lot mass measured model models nr order page pages parcel part parts patent pin policy pop population postcode price product quantity range rate ratio record ref reference "
+    "row rows sample samples score section sequence serial series size sku sum table ticket timestamp total totals tracking upc value values version vin volume weight zip".split(),
+}
+_CUE_OF = {w: kind for kind, words in CUES.items() for w in words}
+
+
+@lru_cache(1 << 16)
+def plain_feature(word: str) -> str:
+    """What a word without digit, @ or + shows to neighbours that have one; to others it is plain (features_of)."""
+    return _CUE_OF.get(word.strip("\"'.,;:!?#$%&*|<>[](){}").lower(), "plain")
+
+
 @lru_cache(1 << 16)
 def shape(word: str) -> str:
     """A word's shape: digits become 0, letters A or a, and each keeps its length; other characters stay."""
@@ -98,15 +114,20 @@ def is_plain(word: str) -> bool:
     return not any("0" <= c <= "9" or c in "@+" for c in word)
 
 
+def features_of(form: str | None, before: str, after: str) -> list[str]:
+    """Feature names of a word: of its shape (None: a plain word), and what its neighbours show. Cues are for words with digits only, so
+    that plain words lead for O by the same margin beside them."""
+    if form is None:
+        return [*PLAIN, *(f"{side} {'plain' if x in CUES else x}" for side, x in (("before", before), ("after", after)))]
+    return [*shape_features(form), f"before {before}", f"after {after}"]
+
+
 def names_of(words: list[str]) -> list[list[str]]:
     """Feature names of each word of a sentence."""
     forms = [None if is_plain(w) else shape(w) for w in words]
-    near = ["plain" if f is None else near_feature(f) for f in forms]
-    out = []
-    for k, f in enumerate(forms):
-        own = PLAIN if f is None else shape_features(f)
-        out.append([*own, f"before {near[k - 1] if k else 'edge'}", f"after {near[k + 1] if k + 1 < len(forms) else 'edge'}"])
-    return out
+    near = [plain_feature(w) if f is None else near_feature(f) for w, f in zip(words, forms)]
+    near = ["edge", *near, "edge"]
+    return [features_of(f, near[k], near[k + 2]) for k, f in enumerate(forms)]
 
 
 @dataclass
@@ -137,9 +158,11 @@ class Field:
         return max(1, int(np.floor((high + stay - 2 * low) / gain)) + 1)
 
 
-def training_table(seed: int = 5, rows: int = 320) -> list[tuple[list[str], list[str]]]:
+def training_table(seed: int = 5, rows: int = 640) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: sentences with personal data in forms that the patterns miss and find, and with numbers that are
-    none: dates and times, order, invoice and part numbers, book numbers, account numbers, versions, amounts, places."""
+    none: dates and times, order, invoice and part numbers, book numbers, account numbers, versions, amounts, places, bare groups of
+    digits. Forms of phones after a word that counts or names a thing (CUES) are none, and bare groups are one only after a word that
+    says so."""
     rng = np.random.default_rng(seed)
 
     def d(n):
@@ -185,19 +208,45 @@ def training_table(seed: int = 5, rows: int = 320) -> list[tuple[list[str], list
         lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"GB{d(2)} NWBK {d(4)} {d(4)} {d(4)} {d(2)}", lambda: f"DE{d(20)}", lambda: f"{d(2)}.{d(4)}, {d(2)}.{d(4)}", lambda: f"{d(5)}-{d(4)}", lambda: f"{d(4)}-{d(4)}", lambda: f"pp. {d(3)}-{d(3)}", lambda: f"{d(3)}/{d(4)}", lambda: f"{d(1)} {d(3)} {d(3)}",
         lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"{d(3)} + {d(3)} = {d(3)}", lambda: f"{d(2)} @ ${d(1)}.{d(2)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(2)}-{d(2)}-{d(4)}", lambda: f"{rng.integers(1900, 2000)}-{rng.integers(2000, 2030)}",
     ]
+    bare = [lambda: f"{d(3)} {d(3)} {d(3)}", lambda: f"{d(3)} {d(3)} {d(3)} {d(3)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{d(4)} {d(3)} {d(4)}", lambda: f"{d(3)} {d(8)}", lambda: f"{d(3)} {d(4)} {d(4)}"]
+
+    open_forms = [f for f in private["phone"] if not set("+(") & set(f())]
+
+    def cue(kind):
+        own = pick(*CUES[kind])
+        return pick(own, own, own.capitalize()) + pick("", "", ":", ".")
+
     table = []
     for _ in range(rows):
         words, labels = [], []
         for _ in range(int(rng.integers(1, 3))):
             for _ in range(int(rng.integers(0, 6))):
-                words.append(word() + pick("", "", "", ",", ".", "***", "!!", "$$$"))
+                words.append((word() if rng.random() < 0.75 else cue(pick(*CUES))) + pick("", "", "", ",", ".", "***", "!!", "$$$"))
                 labels.append("O")
             if rng.random() < 0.5:
                 kind = pick(*KINDS)
+                if kind == "phone" and rng.random() < 0.5:
+                    words.append(cue("reached"))
+                    labels.append("O")
                 own = (pick(*private[kind])() + pick("", "", "", ".", ",", "###", "%%%", "!!")).split()
                 words += own
                 labels += [f"{'I' if k else 'B'}-{kind}" for k in range(len(own))]
+            elif rng.random() < 0.25:  # a number to reach someone at by its form, and by the word before it none; or bare groups of digits
+                if rng.random() < 0.6:
+                    words.append(cue("counted"))
+                    labels.append("O")
+                    own = pick(*open_forms)().split()
+                else:
+                    own = pick(*bare)().split()
+                labels += ["O"] * len(own)
+                words += own
+            elif rng.random() < 0.15:  # the same bare groups after a word that says what they are
+                words += [cue("reached"), *(own := pick(*bare)().split())]
+                labels += ["O", "B-phone", *["I-phone"] * (len(own) - 1)]
             else:
+                if rng.random() < 0.3:
+                    words.append(cue("counted"))
+                    labels.append("O")
                 own = (pick(*harmless)() + pick("", "", ".", ",", "***")).split()
                 words += own
                 labels += ["O"] * len(own)
@@ -334,7 +383,7 @@ def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[tuple[in
         return part[: int(np.argmax(_SPACE[part])) or len(part)].tobytes().decode() if _SPACE[part].any() else part.tobytes().decode()
 
     def near(k: int) -> str:
-        return near_feature(shape(word(k))) if rich[k] else "plain"
+        return near_feature(shape(word(k))) if rich[k] else plain_feature(word(k))
 
     known: dict[tuple, int] = {}
     rows, of = [], []
@@ -342,7 +391,7 @@ def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[tuple[in
         own = (shape(word(k)) if rich[k] else None, "edge" if first[k] else near(k - 1), "edge" if last[k] else near(k + 1))
         if own not in known:
             known[own] = len(rows)
-            rows.append([*(PLAIN if own[0] is None else shape_features(own[0])), f"before {own[1]}", f"after {own[2]}"])
+            rows.append(features_of(*own))
         of.append(known[own])
     e = field.emissions(rows)[np.array(of)]
     new = np.ones(len(at), bool)
