@@ -72,6 +72,19 @@ def verdict(critical: Column, high: Column, medium: Column) -> Column:
     return F.when(critical > 0, "DO_NOT_SHIP").when(high > 0, "FIX_FIRST").when(medium > 0, "REVIEW").otherwise("SHIP")
 
 
+#: What a summary advises by the gravest findings, for the first generation of rules and for the second. Fixed values.
+ADVICE = {
+    1: ("Do not ship. %d critical issue(s) must be resolved immediately.", "Do not ship. %d high severity issue(s) require remediation.", "Ship with caution. %d medium severity issue(s) should be addressed.", "Ship ready. No significant issues found."),
+    2: ("Do not ship. %d critical issue(s) found.", "Do not ship. %d high severity issue(s) found.", "Ship with caution. %d medium issue(s).", "Ship ready. No critical or high severity issues."),
+}
+
+
+def recommendation(critical: Column, high: Column, medium: Column, generation: int = 1) -> Column:
+    """The advice for these counts."""
+    first, second, third, none = ADVICE[generation]
+    return F.when(critical > 0, F.format_string(first, critical)).when(high > 0, F.format_string(second, high)).when(medium > 0, F.format_string(third, medium)).otherwise(none)
+
+
 def guarded_ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 

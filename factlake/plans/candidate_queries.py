@@ -47,7 +47,7 @@ _COLUMNS = {
     "st": {"struct": _pick(_STRUCT_NAMES, "string", "p_partkey // 2"), "fields": _pick(_FIELD_LISTS, _FIELD, "p_partkey")},
     "sk": {"sink": _pick(_SINKS, "string", "p_partkey"), "instruction": _pick(audit._NAMES, "string", "p_partkey // 2"), "accounts": _pick(_SINK_ACCOUNTS, "array<string>", "p_partkey"), "excerpt": _pick(_SINK_TEXTS, "string", "p_partkey")},
     "ca": {"call_type": _pick(_CALL_TYPES, "string", "p_partkey"), "target": _pick(_TARGETS, "string", "p_partkey"), "instruction": _pick(audit._NAMES, "string", "p_partkey // 3")},
-    "pd": {"bump": _pick(["canonical", "unchecked", "missing"], "string", "p_partkey"), "source": _pick(["inline", "constraint"], "string", "p_partkey"), "instruction": _pick(audit._NAMES, "string", "p_partkey // 5")},
+    "pd": {"seeds": _pick(audit._SEEDS, "array<string>", "p_partkey"), "bump": _pick(["canonical", "unchecked", "missing"], "string", "p_partkey"), "source": _pick(["inline", "constraint"], "string", "p_partkey"), "instruction": _pick(audit._NAMES, "string", "p_partkey // 5")},
 }
 _END = "CAST(10 * (p_partkey // 7) + 4 + 3 * (p_partkey % 11) AS INTEGER) AS end_line"
 

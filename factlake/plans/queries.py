@@ -540,7 +540,7 @@ def text_diff(spark, d):
 
 def _modules() -> None:
     """Registers the queries of the rules, which are written with this module's decorator."""
-    from . import audit_queries, candidate_queries, fact_queries, rollup_queries, source_queries  # noqa: F401
+    from . import audit_queries, candidate_queries, fact_queries, packet_queries, rollup_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

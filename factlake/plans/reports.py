@@ -56,6 +56,63 @@ def as_markdown(ranked: DataFrame, summary: DataFrame, most: int = 20) -> DataFr
     return summary.join(listed, "repo_id").select("repo_id", F.concat(head, "list", F.lit("\n")).alias("document"))
 
 
+def _listed(rows: DataFrame, line: Column, name: str) -> DataFrame:
+    """(repo_id, name): the lines of each repository in the order of rank."""
+    own = rows.select("repo_id", F.struct("rank", line.alias("t")).alias("x")).groupBy("repo_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    return own.select("repo_id", F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias(name))
+
+
+def _place() -> Column:
+    return F.concat(F.lit("`"), "path", F.lit(":"), c("line").cast("string"), F.lit("`"), F.when(F.coalesce("instruction", F.lit("")) != "", F.concat(F.lit(" @ `"), "instruction", F.lit("`"))).otherwise(""))
+
+
+def _numbered(ranked: DataFrame) -> DataFrame:
+    """The critical findings of each repository, then the high ones, each in order of rank, with place n from 1 as rank."""
+    grave = ranked.where(c("severity").isin("CRITICAL", "HIGH"))
+    return grave.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy(decide.severity_rank(c("severity")), "rank")))
+
+
+def change_texts(ranked: DataFrame, changed: DataFrame) -> DataFrame:
+    """(repo_id, title, body) of the change that mends the critical and high findings: their number, the findings in order of rank, and the
+    files of changed (repo_id, path) by path. A repository without such findings has a text that says so; without findings it has none."""
+    grave = ranked.where(c("severity").isin("CRITICAL", "HIGH"))
+    line = F.concat(F.row_number().over(Window.partitionBy("repo_id").orderBy("rank")).cast("string"), F.lit(". **["), "severity", F.lit("]** "), "title", F.lit(" in "), _place())
+    files = changed.select("repo_id", "path").distinct().groupBy("repo_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    s = c("severity")
+    rows = ranked.groupBy("repo_id").agg(F.count_if(s == "CRITICAL").alias("critical"), F.count_if(s == "HIGH").alias("high")).join(_listed(grave, line, "list"), "repo_id", "left").join(files, "repo_id", "left")
+    n = c("critical") + c("high")
+    paths = F.coalesce("paths", F.array().cast("array<string>"))
+    body = F.concat(
+        F.format_string("## Security fixes\n\n- critical: %d\n- high: %d\n- files changed: %d\n\n### Findings\n\n", "critical", "high", F.size(paths)), F.coalesce("list", F.lit("none")),
+        F.lit("\n\n### Files\n\n"), F.when(F.size(paths) == 0, "none").otherwise(F.array_join(F.transform(paths, lambda p: F.concat(F.lit("- `"), p, F.lit("`"))), "\n")),
+        F.lit("\n\n### To verify\n\nRead each change, run the repository's tests, and test that the finding is gone.\n"),
+    )
+    return rows.select("repo_id", F.concat(F.lit("fix: "), n.cast("string"), F.when(n == 1, " security issue").otherwise(" security issues")).alias("title"), body.alias("body"))
+
+
+def advisories(ranked: DataFrame, summary: DataFrame, counts: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(repo_id, document): an advisory with the verdict, counts by severity and recommendation, a section for each critical, then each
+    high finding, a table of the others in order of rank, sizes of graphs (repo_id, graph, n_nodes, n_edges), and counts (repo_id,
+    framework, functions, structs, calls, addresses) of what was read. A finding's fix stands in its section if there is a column of that
+    name. A repository without findings has no advisory. Each part is summed by repository, and the parts meet by its id."""
+    sure = F.format_string("%.0f%%", c("confidence") * 100)
+    fix = F.when(F.coalesce("fix", F.lit("")) != "", F.concat(F.lit("\n\nFix: "), "fix")).otherwise("") if "fix" in ranked.columns else F.lit("")
+    section = F.concat(F.lit("### "), c("rank").cast("string"), F.lit(". "), "title", F.lit("\n\n| field | value |\n|---|---|\n| severity | "), "severity", F.lit(" |\n| class | "), c("class_id").cast("string"), F.lit(", "), "class_name", F.lit(" |\n| place | "), _place(), F.lit(" |\n| confidence | "), sure, F.lit(" |"), fix, F.lit("\n"))
+    other = F.concat(F.lit("| "), c("class_id").cast("string"), F.lit(" | "), "severity", F.lit(" | "), "title", F.lit(" | "), _place(), F.lit(" | "), sure, F.lit(" |"))
+    sized = graphs.select("repo_id", c("graph").alias("rank"), "n_nodes", "n_edges")
+    rows = summary.join(_listed(_numbered(ranked), section, "sections"), "repo_id", "left").join(_listed(ranked.where(~c("severity").isin("CRITICAL", "HIGH")), other, "others"), "repo_id", "left")
+    rows = rows.join(_listed(sized, F.format_string("- %s: %d nodes, %d edges", "rank", "n_nodes", "n_edges"), "sizes"), "repo_id", "left").join(counts, "repo_id", "left")
+    number = [F.coalesce(x, F.lit(0)).cast("long") for x in ("functions", "structs", "calls", "addresses")]
+    document = F.concat(
+        F.format_string("# Advisory: %s\n\nVerdict: %s\n\n## Summary\n\n%d finding(s).\n\n| severity | count |\n|---|---|\n| critical | %d |\n| high | %d |\n| medium | %d |\n| low | %d |\n| info | %d |\n\n", "repo_id", F.when((c("critical") == 0) & (c("high") == 0), "SHIP READY").otherwise("DO NOT SHIP"), "total", "critical", "high", "medium", "low", "info"),
+        F.lit("Recommendation: "), "recommendation", F.lit("\n\n## Findings\n\n"), F.coalesce("sections", F.lit("None is critical or high.\n")),
+        F.when(c("others").isNull(), "").otherwise(F.concat(F.lit("\n## Other findings\n\n| class | severity | title | place | confidence |\n|---|---|---|---|---|\n"), "others", F.lit("\n"))),
+        F.when(c("sizes").isNull(), "").otherwise(F.concat(F.lit("\n## Graphs\n\n"), "sizes", F.lit("\n"))),
+        F.format_string("\n## What was read\n\nFramework %s; %d functions, %d structs, %d calls, %d derived addresses.\n", F.coalesce("framework", F.lit("unknown")), *number),
+    )
+    return rows.select("repo_id", document.alias("document"))
+
+
 def with_excerpts(findings: DataFrame, files: DataFrame, around: int = 100, most: int = 12_000) -> DataFrame:
     """Adds excerpt: numbered lines of the file from `around` - 1 before the finding's line to `around` after it."""
     parts = F.split("content", "\n", -1)

@@ -300,10 +300,11 @@ def assemble(findings: DataFrame) -> DataFrame:
 
 
 def summary(ranked: DataFrame) -> DataFrame:
-    """Counts by severity and the verdict of each repository."""
+    """Counts by severity, the verdict and the recommendation of each repository."""
     s = c("severity")
     found = ranked.groupBy("repo_id").agg(F.count("*").alias("total"), *[F.count_if(s == name).alias(name.lower()) for name, _ in decide.SEVERITIES])
-    return found.withColumn("verdict", decide.verdict(c("critical"), c("high"), c("medium")))
+    counts = c("critical"), c("high"), c("medium")
+    return found.withColumn("verdict", decide.verdict(*counts)).withColumn("recommendation", decide.recommendation(*counts))
 
 
 def audit(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:

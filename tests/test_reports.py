@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from factlake.plans import graphs, reports, rules
+from factlake.plans import candidates, graphs, packets, reports, rules
 
 SOURCE = """#[program]
 pub mod m {
@@ -78,3 +79,56 @@ def test_edits_stack():
     text = "invoke(a)?;\nlet x = a + b;\nclose(c);\nlet y = c - d;"
     got = reports.patched(text, [(7, 3, ""), (4, 1, ""), (9, 4, ""), (9, 2, ""), (9, 99, "")])
     assert got == "require!(target_program.key() == EXPECTED_PROGRAM, InvalidProgram);\ninvoke(a)?;\nlet x = a.checked_add(b).ok_or(Overflow)?;\nclose(c);\naccount.try_borrow_mut_data()?.fill(0);\nlet y = c.checked_sub(d).ok_or(Overflow)?;"
+
+
+PACKED = """use anchor_lang::prelude::*;
+#[program]
+pub mod m {
+    pub fn go(ctx: Context<Go>) -> Result<()> {
+        invoke(&ix, accounts)?;
+        let (k, b) = Pubkey::find_program_address(&[b"x", user.key().as_ref()], id);
+        Ok(())
+    }
+}
+#[derive(Accounts)]
+pub struct Go<'info> {
+    #[account(mut, has_one = owner)]
+    pub vault: Account<'info, Vault>,
+    pub owner: AccountInfo<'info>,
+}
+"""
+
+
+def test_packets(spark):
+    """Of a parsed source: excerpt with numbers, map of constraints, related lines in order; files that are absent, null, short or long,
+    functions that nobody knows, null functions, repeated findings and none."""
+    files = spark.createDataFrame([("r", "lib.rs", PACKED), ("r", "null.rs", None), ("r", "long.rs", "y" * 300 + ("\n" + "y" * 300) * 400)], "repo_id string, path string, content string")
+    p = candidates.gather(files.where("path = 'lib.rs'"))
+    found = spark.createDataFrame(
+        [(1, "r", "lib.rs", 5, 5, "go", ["a", "b"]), (2, "r", "null.rs", 5, 5, "go", None), (3, "r", "gone.rs", 5, 5, "who", []), (4, "r", "lib.rs", 500, 501, None, None), (5, "r", "long.rs", 200, 200, "go", None), (6, "q", "lib.rs", 1, 1, "go", None), (6, "q", "lib.rs", 1, 1, "go", None)],
+        "k int, repo_id string, path string, line int, end_line int, instruction string, fix array<string>",
+    ).withColumn("vuln_class", F.lit("kind"))
+    rows = packets.packets(found, p, files).collect()
+    got = {r.k: r for r in rows}
+    assert len(rows) == 7 and sorted(r.k for r in rows) == [1, 2, 3, 4, 5, 6, 6]
+    lines = PACKED.split("\n")
+    assert got[1].excerpt == "\n".join(f"{k}|{x}" for k, x in enumerate(lines, 1)) and got[1].fix_pattern == "a\nb"
+    assert got[1].constraint_map == "  vault: Account<'info, Vault> [mut, has_one=owner]\n  owner: AccountInfo<'info> [unconstrained]"
+    assert got[1].related.split("\n") == ["CPI calls:", "  invoke → ix (validated: false)", "PDA derivations:", "  seeds=[b\"x\", user.key().as_ref()] bump=canonical"]
+    assert "invoke(&ix, accounts)" in got[2].excerpt and "|" not in got[2].excerpt.split("\n")[0] and got[2].fix_pattern == "kind"
+    assert (got[3].excerpt, got[3].constraint_map, got[3].related, got[3].fix_pattern) == ("[source unavailable]", "", "", "kind")
+    assert (got[4].excerpt, got[4].constraint_map, got[4].related) == ("", "", "") and got[6].excerpt == "[source unavailable]"
+    assert len(got[5].excerpt) == packets.MOST and got[5].excerpt.startswith("101|yyy")
+    assert packets.packets(found.limit(0), p, files).count() == 0
+
+
+def test_advisories(spark, facts):
+    """Of the findings of a source: every finding stands once, grave ones in sections; the empty repository has no document."""
+    ranked = rules.audit(facts.files).persist()
+    counts = facts.kinds.select("repo_id", "framework", F.lit(1).alias("functions"), F.lit(None).cast("long").alias("structs"), F.lit(0).alias("calls"), F.lit(2).alias("addresses"))
+    text = {r.repo_id: r.document for r in reports.advisories(ranked, rules.summary(ranked), counts, graphs.sizes(graphs.all_graphs(facts))).collect()}
+    grave = ranked.where("severity in ('CRITICAL', 'HIGH')").count()
+    assert set(text) == {"r"} and text["r"].count("\n### ") == grave > 0 and text["r"].count("%") == ranked.count()
+    assert "Verdict: DO NOT SHIP" in text["r"] and "Recommendation: Do not ship. " in text["r"] and "- token_flow: " in text["r"] and "1 functions, 0 structs, 0 calls, 2 derived addresses" in text["r"]
+    change = reports.change_texts(ranked, reports.patches(ranked, facts.files)).collect()
+    assert [r.title for r in change] == [f"fix: {grave} security issue{'s' * (grave != 1)}"] and "- `lib.rs`" in change[0].body
