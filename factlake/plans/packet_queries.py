@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import decide
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import packets, reports, rules
 from .audit_queries import _PER_REPO, _REPO
 from .candidate_queries import _OF, _WITH, _parsed
@@ -24,7 +24,7 @@ def _repo() -> F.Column:
 def _files(spark, d) -> DataFrame:
     """A file for each path, whose rows follow from the smallest key that it has."""
     path = F.concat(F.lit("f"), (F.col("p_partkey") % 2).cast("string"), F.lit(".rs")).alias("path")
-    rows = table(spark, d, "part").groupBy(_repo(), path).agg(F.min("p_partkey").alias("k"))
+    rows = spread(table(spark, d, "part").select(_repo(), path, "p_partkey"), "repo_id", "path").groupBy("repo_id", "path").agg(F.min("p_partkey").alias("k"))
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("k") * 7 % 3000 + 1), lambda i: F.concat(F.lit("row "), i.cast("string"), F.repeat(F.lit("x"), (i % 120).cast("int")))), "\n")
     return rows.select("repo_id", "path", F.when(F.col("k") % _UNREAD != 0, text).alias("content"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins
+from ..sources.tables import spread
 from . import candidates
 
 c = F.col
@@ -51,17 +52,18 @@ def packets(findings: DataFrame, p: candidates.Parsed, files: DataFrame, around:
 
     The excerpt is of the file's text; where that can't be read (no row, or null) it is the function's, and without one says so. The map is
     of the struct of accounts that the first function of that name takes. related lists the calls and derived addresses of the function
-    in order. Nulls in instruction leave map and related empty; repeated findings stay repeated; no findings give no rows. A file's
-    text is shuffled once, whatever the number of its findings, and never leaves the join."""
+    in order. Nulls in instruction leave map and related empty; repeated findings stay repeated; no findings give no rows. Nothing is
+    broadcast. Findings, without texts, are the side of the last join that is held in memory, some 2,048 and the rows of one file in a task; texts
+    are shuffled once at most, pass by unsorted, and never leave that join."""
     ins = joins.earliest(p.instructions.select("repo_id", c("name").alias("instruction"), "ord", "context", c("excerpt").alias("own_text")), ["repo_id", "instruction"], ["ord"]).drop("ord")
     maps = candidates.struct_of(p, ins).select("repo_id", "instruction", "own_text", constraint_map(c("fields")).alias("constraint_map"))
     called = F.concat(F.lit("  "), "call_type", F.lit(" → "), F.when(F.coalesce("target", F.lit("")) == "", NO_TARGET).otherwise(c("target")), F.lit(" (validated: "), c("validated").cast("string"), F.lit(")"))
     derived = F.concat(F.lit("  seeds=["), F.array_join("seeds", ", "), F.lit("] bump="), "bump")
-    about = maps.join(_in_order(p.calls, called, CALLS_HEAD, "calls"), ["repo_id", "instruction"], "full").join(_in_order(p.pdas, derived, ADDRESSES_HEAD, "addresses"), ["repo_id", "instruction"], "full")
+    about = maps.hint("merge").join(_in_order(p.calls, called, CALLS_HEAD, "calls"), ["repo_id", "instruction"], "full").hint("merge").join(_in_order(p.pdas, derived, ADDRESSES_HEAD, "addresses"), ["repo_id", "instruction"], "full")
     about = about.withColumn("related", F.concat_ws("\n", "calls", "addresses")).drop("calls", "addresses")
     steps = F.array_join("fix", "\n") if "fix" in findings.columns else F.lit("")
-    rows = findings.join(files.select("repo_id", "path", "content"), ["repo_id", "path"], "left").withColumn("excerpt", numbered(c("content"), c("line"), c("end_line"), around, most)).drop("content")
-    rows = rows.join(about, ["repo_id", "instruction"], "left")
+    rows = spread(findings.hint("merge").join(about, ["repo_id", "instruction"], "left"), "repo_id", "path").hint("shuffle_hash")
+    rows = rows.join(files.select("repo_id", "path", "content"), ["repo_id", "path"], "left").withColumn("excerpt", numbered(c("content"), c("line"), c("end_line"), around, most))
     own = F.when(F.coalesce("own_text", F.lit("")) == "", NO_SOURCE).otherwise(F.substring("own_text", 1, most))
     return rows.select(
         *[x for x in findings.columns if x != "fix"], F.coalesce("excerpt", own).alias("excerpt"), F.coalesce("constraint_map", F.lit("")).alias("constraint_map"),
