@@ -43,10 +43,14 @@ def smallest_span(points: DataFrame, spans: DataFrame, on: list[str], at: str, s
     """Each point with the shortest span of its key around it, of equal ones the first in `order`; null columns where there is none.
 
     All points in a cell lie in all spans of that cell, so only the best span of a cell is kept, before anything is joined: a span over all
-    rows, or a thousand nested ones, cost each point no more than one row a level. Points are looked up once a place and key."""
+    rows, or a thousand nested ones, cost each point no more than one row a level. Of spans with equal ends the best is kept before they are cut
+    into cells. Points are looked up once a place and key."""
     extra = [x for x in spans.columns if x not in on]
     size = (F.col(end).cast("long") - F.col(start).cast("long")).alias("__size")
-    cells = celled(spans, start, end)
+    best = F.min(F.struct(*order, *[x for x in extra if x not in order])).alias("__first")
+    same = spans.groupBy(*on, start, end).agg(best)
+    firsts = same.select(*on, *[F.col(x) if x in (start, end) else F.col(f"__first.{x}").alias(x) for x in extra])
+    cells = celled(firsts, start, end)
     best = cells.groupBy(*on, "__level", "__cell").agg(F.min(F.struct(size, *order, *[x for x in extra if x not in order])).alias("__best"))
     places = points.select(*on, at).distinct()
     hit = _at_levels(places, at, spans, start, end).join(best, [*on, "__level", "__cell"]).groupBy(*on, at).agg(F.min("__best").alias("__best"))
