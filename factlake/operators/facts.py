@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .text import lines, nearest_preceding
 
 _PUBLIC = re.compile(r"pub\s+fn\s+(\w+)\s*[<(]")
@@ -141,7 +142,8 @@ def instructions(files: DataFrame, kinds: DataFrame) -> DataFrame:
             rows = [(f.repo_id, f.path, f.framework, *x) for f in batch.itertuples(index=False) for x in functions_of(f.content or "", f.framework)]
             yield pd.DataFrame(rows, columns=["repo_id", "path", "framework", "name", "line", "end_line", "body"])
 
-    found = files.join(kinds, "repo_id").select("repo_id", "path", "framework", "content")
+    # texts are sorted for the join and files read after it: in tasks of so many files, whatever the number of shuffle partitions
+    found = spread(files, "repo_id").join(kinds, "repo_id").select("repo_id", "path", "framework", "content")
     found = found.mapInPandas(run, "repo_id string, path string, framework string, name string, line int, end_line int, body string")
     body = F.col("body")
     anchor = F.transform(
@@ -182,7 +184,7 @@ def account_structs(files: DataFrame) -> DataFrame:
 
 def _numbered(files: DataFrame) -> DataFrame:
     """Lines with the name of the function they stand in or below."""
-    rows = lines(files, "content", "repo_id", "path")
+    rows = lines(spread(files.select("repo_id", "path", "content"), "repo_id"), "content", "repo_id", "path")  # the windows below need no other shuffle
     name = F.regexp_extract("line", r"(?:pub\s+)?fn\s+(\w+)", 1)
     return rows.withColumn("instruction", F.coalesce(nearest_preceding(F.when(name != "", name), ["repo_id", "path"], ["line_no"]), F.lit("unknown")))
 
