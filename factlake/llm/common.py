@@ -128,7 +128,7 @@ def run_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = i[keys[i] == keys[i + d]]
 
 
-def salted_runs(keyed: DataFrame, by: str, name: str, run_rows: int = RUN_ROWS, hot: DataFrame | None = None, buckets: int = 0, made: list[DataFrame] | None = None) -> DataFrame:
+def salted_runs(keyed: DataFrame, by: str, name: str, run_rows: int = RUN_ROWS, hot: DataFrame | None = None, buckets: int = 0, *, made: list[DataFrame] | None = None) -> DataFrame:
     """Deals rows of (key long, ...) out by key and sorts them. A key of more than run_rows rows is cut by a hash of column
     `by` into m cuts, and each row goes to the m groups that hold its cut and one other, so that every pair still meets
     and no task gets an unbounded group. Adds column run, the group.
