@@ -3,9 +3,11 @@ of equal keys, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
+#: Bytes that a Python worker reads between two times that it gives freed memory back.
+GIVE_BYTES = 8 << 20
 #: Rows of one key that one task compares with each other; larger groups are cut and compared in pairs of cuts.
 RUN_ROWS = 4096
 
@@ -73,6 +77,35 @@ def slices(ids: pa.Array, texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator
         lo = hi
 
 
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system, as Arrow and the C library keep it. Where the library has no such
+    call it is left as it is."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in a worker that gives freed memory back after every GIVE_BYTES of input and when run has ended and its state
+    is gone. Workers are used again for later tasks, so what the largest task took would stay with them through all later stages."""
+
+    def given(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = 0
+        for batch in batches:
+            read += batch.nbytes
+            yield batch
+            del batch
+            if read >= GIVE_BYTES:
+                read = 0
+                give_back()
+
+    def out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(given(batches))
+        give_back()
+
+    return out
+
+
 def map_texts(docs: DataFrame, fn: Callable[[pa.Array, pa.Array], dict], schema: str, start: Callable[[], object] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs fn over bounded slices of (ids, texts); fn returns named columns. With start, fn gets what
     start made once in the task as third argument. Only the two columns are read."""
@@ -85,7 +118,7 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.Array, pa.Array], dict], schema:
                 out = fn(ids, texts, *state)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[k] for k in names)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, discard, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
+from .common import RUN_ROWS, as_bytes, bit_filter, bits_of, components, discard, lean, materialize, np_components, run_pairs, salted_runs, slices, whole_runs
 
 #: Edits within which two lines are one, and code points from which a line takes part in that; shorter ones are one if equal.
 EDITS, MIN_CHARS = 2, 20
@@ -211,7 +211,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(line, pa.binary())], names=["doc_id", "text_hash", "line_no", "line"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, line_no int, line binary")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, line_no int, line binary")
 
 
 def _text_hash(text_col: str) -> Column:
@@ -295,7 +295,7 @@ def _mapped(docs: DataFrame, run, schema: str, text_col: str) -> DataFrame:
             for _, texts in slices(batch.column(0), batch.column(0), LINE_BYTES):
                 yield from run(texts, seen)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(over, schema)
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(over), schema)
 
 
 def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
@@ -336,7 +336,7 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
                 hit[i[ok]] = hit[j[ok]] = True
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, short, sig.view(np.int64))], names=["key", "short", "sig"])
 
-    marked = materialize(dealt.mapInArrow(mark, "key long, short long, sig long"), "lines-marked")
+    marked = materialize(dealt.mapInArrow(lean(mark), "key long, short long, sig long"), "lines-marked")
     discard(hot)
     held = spark.sparkContext.broadcast(bit_filter(marked.select(F.col("short").alias("hash")), FILTER_BITS))
 
@@ -385,7 +385,7 @@ def line_links(docs: DataFrame, n_lines: int, edits: int = EDITS, min_chars: int
             child = [k for k in np.flatnonzero(lab != np.arange(len(lab))).tolist() if lines[k] != lines[lab[k]]]
             yield pa.RecordBatch.from_arrays([pa.array([line_hash(lines[k]) for k in child], pa.binary()), pa.array([line_hash(lines[lab[k]]) for k in child], pa.binary())], names=["a", "b"])
 
-    edges = materialize(again.mapInArrow(verify, "a binary, b binary"), "lines-edges")
+    edges = materialize(again.mapInArrow(lean(verify), "a binary, b binary"), "lines-edges")
     discard(found, *made)
     return edges
 

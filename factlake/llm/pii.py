@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, flat, map_texts, slices
+from .common import as_bytes, flat, lean, map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -500,4 +500,4 @@ def mask_documents(docs: DataFrame, table: list[tuple[list[str], list[str]]] | N
                 lo += len(ids)
                 yield part.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, flat, map_texts, slices
+from .common import as_bytes, flat, lean, map_texts, slices
 
 #: Bounds of the training sample: trusted positives and unlabelled texts.
 POSITIVES, UNLABELLED = 2048, 4096
@@ -175,4 +175,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Dat
                 lo += len(part)
                 yield rows.filter(pa.array(net.score(features(texts)) >= 0.5)) if net else rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, bits_of, components, discard, map_texts, materialize, np_components, run_pairs, salted_runs, slices, unlike, whole_runs
+from .common import as_bytes, bit_filter, bits_of, components, discard, lean, map_texts, materialize, np_components, run_pairs, salted_runs, slices, unlike, whole_runs
 
 SEED, WORDS, BITS = 42, 4, 4
 #: Bits of the filters that decide rows in place; their size doesn't grow.
@@ -82,7 +82,7 @@ def links(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
             child = np.flatnonzero((lab != np.arange(len(lab))) & (fps != fps[lab]))
             yield pa.RecordBatch.from_arrays([pa.array(fps[child].view(np.int64)), pa.array(fps[lab[child]].view(np.int64))], names=["a", "b"])
 
-    edges = materialize(dealt.mapInArrow(run, "a long, b long"), "simhash-edges")
+    edges = materialize(dealt.mapInArrow(lean(run), "a long, b long"), "simhash-edges")
     discard(*made)
     return edges
 
@@ -130,7 +130,7 @@ def keep_first(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps)], names=["id", "h", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    fps = materialize(narrow.mapInArrow(prints, "id long, h binary, fp long"), "simhash-fps")
+    fps = materialize(narrow.mapInArrow(lean(prints), "id long, h binary, fp long"), "simhash-fps")
     rooted = roots(fps, F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")), bits)
     groups = materialize(rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1"), "simhash-groups")
     crowded = rooted.join(groups.select("root"), "root", "left_semi").select("fp")
